@@ -59,3 +59,8 @@ def sampled_labels(labels: DataFrame, label: str, bound: int, *, hold_out: bool)
     if hold_out:
         rows = rows.filter(~held_out(F.col("doc_id")))
     return rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """df, to be broadcast if it has few rows as counted, else left to a shuffled join. df must be cheap to count (written)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

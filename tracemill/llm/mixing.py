@@ -103,7 +103,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it was taken, with the columns of docs."""
     plan = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("copies").alias("m_copies")).groupBy("m_id").agg(F.max("m_copies").alias("m_copies"))
     joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["m_id"]))
-    return joined.withColumn("m_turn", F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn("m_turn", F.explode(F.sequence(F.lit(1), plan["m_copies"].cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 MIX_SQL = r"""
