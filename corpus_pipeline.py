@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import common, mixing, quality_rules
+from tracemill.llm import common, line_dedup, minhash, mixing, quality_rules, sentencepiece_nbest
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +14,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_documents(docs, quality_rules.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match an earlier line; those of which nothing is left go."""
+    common.small_batches(spark)
+    return line_dedup.deduplicated(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (shingles of five words, similarity of 0.8 or more)."""
+    common.small_batches(spark)
+    return minhash.deduplicated(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document that is left, with the scores of the four best segmentations."""
+    common.small_batches(spark)
+    return sentencepiece_nbest.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("mixing", mix), ("SentencePiece", encode)]
 #: The quality trees and segmentations have no SQL form.
 ORACLE_SQL = None
 

@@ -77,7 +77,7 @@ def sketch(elements: np.ndarray, size: int) -> np.ndarray:
             filled |= new
         first += at_once
     for j in np.flatnonzero(~filled):
-        out[j] = mixed(mixed(elements + np.uint64(size + j + 1) * _STEP)).min()
+        out[j] = mixed(mixed(elements + np.array([size + j + 1], dtype=np.uint64) * _STEP)).min()
     return out
 
 
