@@ -4,9 +4,10 @@
 2. Documents with equal sets are one class; its smallest doc_id stands for it from here on.
 3. Classes that share a band key are candidates. Pairs of a bucket are not listed: its hub (the class that shares most
    band keys) is verified against each other member first, on full sets, and what links becomes one component.
-4. Buckets that still hold several components list pairs across components only. A pair is left out just where
-   a bound proves that it can't link: the shingles of either that occur nowhere else among these classes are outside
-   any intersection. All others are verified.
+4. Classes of buckets that still hold several components are joined across components by an exact prefix filter: with a
+   set's shingles ordered by rarity, two sets that link share one among the first n - ceil(0.8 n) + 1 of each, and at the
+   first such one the rest of both still reaches the overlap needed. All pairs that the filter leaves are verified. (Rarity is
+   counted in a fixed number of hashed counters; any fixed order keeps the filter exact.)
 5. Components of all verified links; members of a class follow it.
 
 Bands of 5 rows, 40 of them: a pair at the threshold of 0.8 goes unseen with probability (1 - 0.8**5)**40 = 1.3e-7.
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 from . import common, components, shingles
 
 ROWS, BANDS = 5, 40
+COUNTERS = 2**18
+_SHIFT = np.uint64(64 - 18)
 
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -77,6 +80,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How often elements occur in sets(elements), in hashed counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            counts += np.bincount((flat >> _SHIFT).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["counter", "n"])
+
+    table = sets.select("elements").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[table["counter"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    """element, id, component, n, place: the rarest n - ceil(percent n / 100) + 1 elements of each set, in order."""
+    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, ids, components, sizes, places = [], [], [], [], []
+            for key, component, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                n = len(own)
+                head = own[np.lexsort((own, shared.value[own >> _SHIFT]))[: n - (percent * n + 99) // 100 + 1]]
+                elements.append(head.view(np.int64))
+                ids.append(np.full(len(head), key))
+                components.append(np.full(len(head), component))
+                sizes.append(np.full(len(head), n))
+                places.append(np.arange(len(head)))
+            if ids:
+                columns = [np.concatenate(x).astype(np.int64) for x in (elements, ids, components, sizes, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["element", "id", "component", "n", "place"])
+
+    return sets.select("id", "component", "elements").mapInArrow(run, "element long, id long, component long, n long, place long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id for each row of docs(doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -99,19 +142,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     star_links = common.written(_verified(stars, sets, percent), "star-links")
     found = components.components(star_links)
 
-    # what is left: buckets that hold several components
+    # what is left: classes of buckets that hold several components, joined by the rarest shingles of their sets
     labelled = entries.select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    labelled = labelled.join(open_keys, "key", "left_semi")
-    shared = sets.join(labelled.select("id").distinct(), "id").select("id", F.explode("elements").alias("e"))
-    lonely = shared.groupBy("e").agg(F.count("*").alias("times"), F.min("id").alias("id")).filter("times = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    labelled = labelled.join(lonely, "id", "left").select("key", "id", "component", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
-    labelled = common.written(labelled.filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")), "open")
-    left, right = (labelled.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "component", "n", "m")]) for s in "12")
-    most = F.least("m1", "m2")
+    open_ids = common.written(labelled.join(open_keys, "key", "left_semi").select("id", "component").distinct(), "open")
+    open_sets = sets.join(common.small_side(open_ids), "id")
+    heads = _prefixes(open_sets, _rarity(open_sets), percent)
+    mixed = heads.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("element")
+    heads = common.written(heads.join(mixed, "element", "left_semi"), "prefixes")
+    left, right = (heads.select("element", *[F.col(c).alias(f"{c}{s}") for c in ("id", "component", "n", "place")]) for s in "12")
+    reach = 1 + F.least(F.col("n1") - F.col("place1") - 1, F.col("n2") - F.col("place2") - 1)
     pairs = left.join(
         right,
-        (left["key"] == right["key"]) & (F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & (F.lit(100) * most >= F.lit(percent) * (F.col("n1") + F.col("n2") - most)),
+        (left["element"] == right["element"])
+        & (F.col("id1") < F.col("id2"))
+        & (F.col("component1") != F.col("component2"))
+        & (F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2"))
+        & (F.lit(100 + percent) * reach >= F.lit(percent) * (F.col("n1") + F.col("n2"))),
     )
     pairs = pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
     more = common.written(_verified(pairs, sets, percent), "links")
