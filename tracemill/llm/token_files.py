@@ -12,7 +12,7 @@ A task writes under a name of its own and renames at the end, so that a repeated
 of the ranges are prefix sums over the manifest, which has a row for each range.
 
 Encoding: texts in which all white space is single spaces and line feeds between words are cut before those, where the
-byte-level pattern always cuts; each distinct piece is encoded once per task by the tokenizer and then looked up. Other texts
+byte-level pattern always cuts; each distinct word is encoded once by the tokenizer and then looked up (by a 64-bit hash). Other texts
 are encoded whole. Both give the tokenizer's own ids (tested). Special strings in a text count as ordinary text.
 
 Defined results: null text is empty and has the end id alone; equal ids follow each other by text; null ids come first
@@ -22,8 +22,10 @@ and are stored as -1; an empty table leaves an empty folder and no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -33,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, words
 
 
 class PieceEncoder:
-    """Ids of whole texts as bytes of ``dtype``; distinct pieces are encoded once, up to ``limit`` of them at a time."""
+    """Ids of whole texts as bytes of ``dtype``; distinct words are encoded once, until ``limit`` of them are known."""
 
-    limit = 250_000
+    limit = 1_000_000
 
     def __init__(self, tokenizer_path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,36 +50,70 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
-        self.known: dict[str, bytes] = {}
+        self.known = words.KnownUnits(dtype, 0, self.limit)
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        if len(self.feed) != 1:
+            raise ValueError("the vocabulary needs an id for the line feed")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        """Words with the space before them, and line feeds; None for other white space."""
-        spaces, feeds = text.count(" "), text.count("\n")
-        if len(text.split()) != spaces + feeds + 1:
-            return None
-        if not feeds:
-            first, *rest = text.split(" ")
-            return [first, *map(" ".__add__, rest)]
-        out: list[str] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out += (first, *map(" ".__add__, rest), "\n")
-        out.pop()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list({p for c in cut if c is not None for p in c if p not in self.known})
-        self.known.update(zip(new, self.whole(new), strict=True))
-        plain = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        get = self.known.__getitem__
-        return [next(plain) if c is None else b"".join(map(get, c)) for c in cut]
+    def _found(self, units: words.Units, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units: lines of few texts, cut at the line feeds' ids; a unit after a line feed keeps that feed's id."""
+        kind = units.kind[new]
+        order = np.argsort(kind, kind="stable")
+        flat, size = [], []
+        for k in (0, 1, 2):
+            own = new[order[kind[order] == k]]
+            before = b" " if k == 1 else b""
+            for first in range(0, len(own), 4000):
+                some = own[first : first + 4000]
+                lines = (b"\n" + before).join([units.joined[x:y] for x, y in zip(units.starts[some].tolist(), units.ends[some].tolist(), strict=True)])
+                text = (before + lines).decode()
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+                feeds = np.flatnonzero(ids == self.feed[0])
+                if len(feeds) != len(some) - 1:
+                    raise ValueError("a word holds a line feed's id")
+                ends = np.append(feeds, len(ids))
+                starts = np.concatenate([[0], feeds + 1])
+                if k == 2:
+                    ids = np.insert(ids, starts, self.feed[0])
+                    flat.append(ids[words.gathered(starts + np.arange(len(starts)), ends - starts + 1)])
+                    size.append(ends - starts + 1)
+                else:
+                    flat.append(ids[words.gathered(starts, ends - starts)])
+                    size.append(ends - starts)
+        sizes, flat_ids = np.concatenate(size), np.concatenate(flat)
+        back = np.empty(len(new), dtype=np.int64)
+        back[order] = np.arange(len(new))
+        first_of = np.cumsum(sizes) - sizes
+        return flat_ids[words.gathered(first_of[back], sizes[back])], sizes[back], np.empty((0, len(new)))
+
+    def encode(self, bodies: list[bytes]) -> list[bytes]:
+        """Where all white space of a text is single spaces and line feeds between words, word by word; else as a whole."""
+        # white space beyond ASCII at the border of a word would join the space there
+        odd = [not b.isascii() and bool(_ODD_SPACE.search(b)) for b in bodies]
+        units = words.Units([None if o else b for b, o in zip(bodies, odd, strict=True)])
+        size = self.dtype.itemsize
+        if len(units.keys):
+            # irregular texts have units too; they are not used
+            places = self.known.places(units, lambda new: self._found(units, new))
+            raw = self.known.ids(places).tobytes()
+            ends = np.concatenate([[0], np.cumsum(self.known.size[places])])[units.bounds] * size
+        else:
+            raw, ends = b"", np.zeros(len(bodies) + 1, dtype=np.int64)
+        whole = iter(self.whole([b.decode() for b, r in zip(bodies, units.regular, strict=True) if not r]))
+        return [raw[x:y] if r else next(whole) for x, y, r in zip(ends.tolist(), ends[1:].tolist(), units.regular.tolist())]
+
+
+#: White space beyond ASCII in UTF-8.
+_ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+@lru_cache(maxsize=2)
+def encoder_of(tokenizer_path: str, dtype: str) -> PieceEncoder:
+    """One encoder per worker: words stay known from task to task, within its limit."""
+    return PieceEncoder(tokenizer_path, dtype)
 
 
 def _local(path: str) -> str:
@@ -97,15 +133,15 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, vo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = PieceEncoder(tokenizer_path, dtype)
+        encoder = encoder_of(tokenizer_path, dtype)
         end = np.array([end_id], dtype=dtype).tobytes()
         os.makedirs(local, exist_ok=True)
         own = f"{local}/.{part}-{TaskContext.get().taskAttemptId()}"
         n_docs = n_ids = 0
         with open(f"{own}.ids", "wb") as ids, open(f"{own}.off", "wb") as offsets:
             for batch in batches:
-                for first in range(0, batch.num_rows, 200):
-                    rows = batch.slice(first, 200)
+                for first in range(0, batch.num_rows, 500):
+                    rows = batch.slice(first, 500)
                     encoded = encoder.encode(rows.column(1).to_pylist())
                     sizes = np.array([len(e) // np.dtype(dtype).itemsize + 1 for e in encoded], dtype=np.int64)
                     pairs = np.empty((len(sizes), 2), dtype="<i8")
@@ -119,7 +155,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, vo
         os.replace(f"{own}.off", f"{local}/off-{part:05d}.bin")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     sorted_rows = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     sorted_rows.mapInArrow(run, "part long, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return spark.read.schema("part long, n_docs long, n_ids long").parquet(f"{folder}/manifest")
