@@ -5,8 +5,8 @@ fallback for each character that is no piece. Forward Viterbi scores (best score
 remaining cost of a backward A-star search from the end, which therefore leaves the segmentations in order of score and
 expands little else.
 
-A lattice is cut where no piece crosses: before a space that follows another character, around line feeds, and
-between a letter and the punctuation that follows it, as far as the model has no such piece (checked on loading). The N-best of a text are
+A lattice is cut where no piece crosses: before a space that follows another character and around line feeds, as far as
+the model has no such piece (checked on loading). The N-best of a text are
 those of its parts, merged. A part is searched once per task for its best segmentation and the gap to the second; only parts with the smallest gaps of a text can
 matter to its N-best, and only those are searched further.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
+
 Segmentation = tuple[float, tuple[int, ...]]
 
 
@@ -90,7 +92,7 @@ def lattice_of(model_path: str) -> PieceLattice:
 class PieceLattice:
     """Pieces and scores of a model; N-best of parts and of texts."""
 
-    limit = 400_000
+    limit = 1_000_000
     unknown_penalty = 10.0
 
     def __init__(self, model_path: str) -> None:
@@ -118,34 +120,15 @@ class PieceLattice:
         inner = [(a, b) for p in self.pieces for a, b in zip(p, p[1:])]
         self.cut_spaces = all(a == " " for a, b in inner if b == " ")
         self.cut_feeds = not any("\n" in pair for pair in inner)
-        self.cut_marks = not any(a.isalpha() and b in ".,!" for a, b in inner)
         self.tables: dict[int, _PieceTable] = {}
         for size in range(1, self.longest + 1):
             if own := [(p, *v) for p, v in self.pieces.items() if len(p) == size]:
                 self.tables[size] = _PieceTable(own)
         self.nbest_known: dict[tuple[str, int], list[Segmentation]] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """Parts known so far: their places, ids of the best segmentation (bytes), scores and gaps to the second."""
-        self.known: dict[str, int] = {}
-        self.best_ids: list[bytes] = []
-        self.best_scores = np.empty(0)
-        self.gaps = np.empty(0)
-        self.uses = np.empty(0, dtype=np.int64)
-
-    def forget_rare(self) -> None:
-        """Keep what was used in two calls or more, or nothing if that is half of the limit or more."""
-        keep = np.flatnonzero(self.uses > 1)
-        if 2 * len(keep) >= self.limit:
-            self.forget()
-            return
-        new_place = np.full(len(self.uses), -1, dtype=np.int64)
-        new_place[keep] = np.arange(len(keep))
-        moved = new_place.tolist()
-        self.known = {p: moved[k] for p, k in self.known.items() if moved[k] >= 0}
-        self.best_ids = [self.best_ids[k] for k in keep.tolist()]
-        self.best_scores, self.gaps, self.uses = self.best_scores[keep], self.gaps[keep], np.zeros(len(keep), dtype=np.int64)
+        self.loose: dict[str, tuple[bytes, float, float]] = {}
+        # ids of whole words with what joins them, their scores and the gaps to the second best
+        self.known = words.KnownUnits("<i4", 2, self.limit)
+        self.feed = self._best_and_gap("\n")
 
     def _edges(self, part: str) -> list[list[tuple[int, int, float]]]:
         """By end position: (start, id or -1, score)."""
@@ -265,40 +248,43 @@ class PieceLattice:
         bounds = [0, *ends.tolist()]
         return [flat[x:y] for x, y in zip(bounds, bounds[1:])], forward[size], forward[size] - second
 
-    def learn(self, parts: set[str]) -> None:
-        """Make the best segmentation of each part known."""
-        if len(self.known) > self.limit:
-            self.forget_rare()
-        new = parts - self.known.keys()
-        stems: dict[str, str] = {}
-        if self.cut_marks:
-            for p in new:
-                if p[-1] in ".,!" and (stem := p.rstrip(".,!")) and stem[-1].isalpha():
-                    stems[p] = stem
-        whole = (new - stems.keys()) | (set(stems.values()) - self.known.keys()) | ({p[len(s) :] for p, s in stems.items()} - self.known.keys())
-        by_size: dict[int, list[str]] = {}
-        for p in whole:
-            by_size.setdefault(len(p) if len(p) <= 32 and self.single.issuperset(p) else 0, []).append(p)
-        ids, scores, gaps = [], [], []
+    def _best(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (flat), sizes and (score, gap) rows of parts, those of one length at once."""
+        by_size: dict[int, list[int]] = {}
+        for k, p in enumerate(parts):
+            by_size.setdefault(len(p) if len(p) <= 32 and self.single.issuperset(p) else 0, []).append(k)
+        ids: list[bytes] = [b""] * len(parts)
+        numbers = np.empty((2, len(parts)))
         for size, group in by_size.items():
-            if size:
-                found = self._many(group)
-            else:
-                found = tuple(zip(*map(self._best_and_gap, group), strict=True))
-            self.known.update(zip(group, range(len(self.best_ids) + len(ids), len(self.best_ids) + len(ids) + len(group)), strict=True))
-            ids += found[0]
-            scores.append(np.asarray(found[1], dtype=float))
-            gaps.append(np.asarray(found[2], dtype=float))
-        self.best_ids += ids
-        self.best_scores, self.gaps = np.concatenate([self.best_scores, *scores]), np.concatenate([self.gaps, *gaps])
-        if stems:
-            heads = np.array([self.known[s] for s in stems.values()])
-            tails = np.array([self.known[p[len(s) :]] for p, s in stems.items()])
-            self.known.update(zip(stems, range(len(self.best_ids), len(self.best_ids) + len(stems)), strict=True))
-            self.best_ids += [self.best_ids[x] + self.best_ids[y] for x, y in zip(heads.tolist(), tails.tolist(), strict=True)]
-            self.best_scores = np.concatenate([self.best_scores, self.best_scores[heads] + self.best_scores[tails]])
-            self.gaps = np.concatenate([self.gaps, np.minimum(self.gaps[heads], self.gaps[tails])])
-        self.uses = np.concatenate([self.uses, np.zeros(len(self.best_ids) - len(self.uses), dtype=np.int64)])
+            own = [parts[k] for k in group]
+            found = self._many(own) if size else tuple(zip(*map(self._best_and_gap, own), strict=True))
+            for k, x in zip(group, found[0], strict=True):
+                ids[k] = x
+            numbers[0, group], numbers[1, group] = found[1], found[2]
+        return np.frombuffer(b"".join(ids), dtype="<i4"), np.array([len(x) // 4 for x in ids], dtype=np.int64), numbers
+
+    def _found(self, units: words.Units, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for units: a word after a line feed has that feed before it, any other a space."""
+        kinds = units.kind[new].tolist()
+        texts = [units.joined[x:y].decode() for x, y in zip(units.starts[new].tolist(), units.ends[new].tolist(), strict=True)]
+        flat, sizes, numbers = self._best([t if k == 2 else f" {t}" for t, k in zip(texts, kinds, strict=True)])
+        fed = np.flatnonzero(np.array(kinds) == 2)
+        if len(fed):
+            feed = np.frombuffer(self.feed[0], dtype="<i4")
+            starts = np.cumsum(sizes) - sizes
+            flat = np.insert(flat, np.repeat(starts[fed], len(feed)), np.tile(feed, len(fed)))
+            sizes = sizes.copy()
+            sizes[fed] += len(feed)
+            numbers[0, fed] += self.feed[1]
+        return flat, sizes, numbers
+
+    def part(self, part: str) -> tuple[bytes, float, float]:
+        found = self.loose.get(part)
+        if found is None:
+            if len(self.loose) >= 50_000:
+                self.loose.clear()
+            found = self.loose[part] = self._best_and_gap(part)
+        return found
 
     def parts(self, text: str) -> list[str]:
         if not text:
@@ -310,26 +296,24 @@ class PieceLattice:
     def nbest(self, text: str, n: int) -> list[Segmentation]:
         """The n best segmentations of a text, best first."""
         parts = self.parts(text)
-        (_, scores), = self.encode([parts], n)
-        places = np.array([self.known[p] for p in parts], dtype=np.int64)
-        choices, order = self._choices(parts, places, n)
-        out = []
-        for score, picked in zip(scores, self._combined(choices, n), strict=True):
+        found = list(map(self.part, parts))
+        choices, order = self._choices(np.array([f[2] for f in found]), parts.__getitem__, n)
+        best, out = float(sum(f[1] for f in found)), []
+        for picked in self._combined(choices, n):
             other = {k: choices[m][picked[m]][1] for m, k in enumerate(order)}
-            ids = [i for k, at in enumerate(places.tolist()) for i in (other[k] if k in other else np.frombuffer(self.best_ids[at], dtype="<i4").tolist())]
-            out.append((score, tuple(ids)))
+            ids = [i for k, f in enumerate(found) for i in (other[k] if k in other else np.frombuffer(f[0], dtype="<i4").tolist())]
+            out.append((best - self._loss(choices, picked), tuple(ids)))
         return out
 
-    def _choices(self, parts: list[str], places: np.ndarray, n: int) -> tuple[list[list[Segmentation]], list[int]]:
+    def _choices(self, gaps: np.ndarray, part: Callable[[int], str], n: int) -> tuple[list[list[Segmentation]], list[int]]:
         """N-best of the n - 1 parts with the smallest gaps, and their places: no other part differs in the n best of the text."""
-        gaps = self.gaps[places]
         few = min(n - 1, len(gaps))
         if few < 1:
             return [], []
         order = sorted(k for k in np.argpartition(gaps, few - 1)[:few].tolist() if gaps[k] < np.inf)
         out = []
         for k in order:
-            key = (parts[k], n)
+            key = (part(k), n)
             if key not in self.nbest_known:
                 if len(self.nbest_known) > 50_000:
                     self.nbest_known.clear()
@@ -337,6 +321,10 @@ class PieceLattice:
             out.append(self.nbest_known[key])
         return out, order
 
+    @staticmethod
+    def _loss(choices: list[list[Segmentation]], picked: tuple[int, ...]) -> float:
+        return sum(o[0][0] - o[i][0] for o, i in zip(choices, picked, strict=True))
+
     @staticmethod
     def _combined(choices: list[list[Segmentation]], n: int) -> list[tuple[int, ...]]:
         """The n best picks, one of each list, by the sum of scores."""
@@ -350,21 +338,38 @@ class PieceLattice:
                     new = (*picked[:k], picked[k] + 1, *picked[k + 1 :])
                     if new not in seen:
                         seen.add(new)
-                        heapq.heappush(agenda, (sum(o[0][0] - o[i][0] for o, i in zip(choices, new, strict=True)), new))
+                        heapq.heappush(agenda, (PieceLattice._loss(choices, new), new))
         return out
 
-    def encode(self, texts: list[list[str]], n: int) -> list[tuple[bytes, list[float]]]:
-        """For each text, given as its parts: ids of the best segmentation (little-endian int32) and the scores of the n best."""
-        distinct = set().union(*texts)
-        self.learn(distinct)
-        self.uses[list(map(self.known.__getitem__, distinct))] += 1
+    def encode(self, bodies: list[bytes], n: int) -> list[tuple[bytes, list[float]]]:
+        """For each text (UTF-8): ids of the best segmentation (little-endian int32) and the scores of the n best.
+
+        Texts that are words with one space or line feed between any two go by their words, all of a batch at once.
+        """
+        units = words.Units(bodies)
+        regular = units.regular if self.cut_spaces and self.cut_feeds else np.zeros(len(bodies), dtype=bool)
+        places = self.known.places(units, lambda new: self._found(units, new)) if len(units.keys) and regular.any() else np.empty(0, dtype=np.int64)
+        raw = self.known.ids(places).tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.known.size[places])]) * 4
+        scores, gaps = self.known.numbers[:, places]
+        totals = np.concatenate([[0.0], np.cumsum(scores)])
         out = []
-        for parts in texts:
-            places = np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
-            best = float(self.best_scores[places].sum())
-            choices, _ = self._choices(parts, places, n)
-            losses = [sum(o[0][0] - o[i][0] for o, i in zip(choices, picked, strict=True)) for picked in self._combined(choices, n)]
-            out.append((b"".join(map(self.best_ids.__getitem__, places.tolist())), [best - x for x in losses]))
+        for k, body in enumerate(bodies):
+            x, y = units.bounds[k], units.bounds[k + 1]
+            if regular[k]:
+
+                def part(at: int, first: int = x) -> str:
+                    word = units.joined[units.starts[first + at] : units.ends[first + at]].decode()
+                    return word if units.kind[first + at] == 2 else f" {word}"
+
+                ids, best = raw[ends[x] : ends[y]], float(totals[y] - totals[x])
+                choices, _ = self._choices(gaps[x:y], part, n)
+            else:
+                parts = self.parts(body.decode())
+                found = list(map(self.part, parts))
+                ids, best = b"".join([f[0] for f in found]), float(sum(f[1] for f in found))
+                choices, _ = self._choices(np.array([f[2] for f in found]), parts.__getitem__, n)
+            out.append((ids, [best - self._loss(choices, picked) for picked in self._combined(choices, n)]))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -382,10 +387,11 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model_path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                rows = batch.slice(first, 200)
-                texts = rows.column(1).to_pylist()
-                both = lattice.encode([lattice.parts(t) for t in texts], n)
+            for first in range(0, batch.num_rows, 500):
+                rows = batch.slice(first, 500)
+                bodies = rows.column(1).to_pylist()
+                texts = [b.decode() for b in bodies]
+                both = lattice.encode(bodies, n)
                 ids = [b for b, _ in both]
                 sizes = np.array([len(b) // 4 for b in ids], dtype=np.int64)
                 flat = np.frombuffer(b"".join(ids), dtype="<i4")
@@ -399,7 +405,7 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
                     names=[f.split()[0] for f in FIELDS.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, FIELDS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body")).mapInArrow(run, FIELDS)
 
 
 def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
