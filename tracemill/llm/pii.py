@@ -6,7 +6,7 @@ letters stay letters of their case, separators stay, check digits are valid agai
 depends on the key and the kind alone, equal values become equal pseudonyms in all documents, and different ones different ones.
 
 A value is a number below the size of its format; a balanced Feistel network of 8 rounds permutes the next larger power of
-four, and values that land outside are permuted again (cycle walking). A value that is its own image is permuted on.
+four, and values that land outside are permuted again (cycle walking). One value in as many as the format has is its own image.
 
 Defined results: null texts stay null; texts without findings are unchanged; values that fail validation stay; where findings
 overlap, the first kind in KINDS that matches at the leftmost place wins; rows keep their multiplicity and extra columns are left out.
@@ -46,7 +46,7 @@ _HINT = re.compile(r"\d{3}|\d[./\-]\d|@|[0-9a-f]{40}|AKIA|gh[pos]_|sk-|(?:passwo
 
 @lru_cache(maxsize=100_000)
 def permuted(key: bytes, tweak: str, value: int, size: int) -> int:
-    """The image of value among the numbers below size; not value itself, if size allows."""
+    """The image of value among the numbers below size."""
     if size < 2:
         return value
     half = ((size - 1).bit_length() + 1) // 2
@@ -61,7 +61,7 @@ def permuted(key: bytes, tweak: str, value: int, size: int) -> int:
         return left << half | right
 
     x = once(value)
-    while x >= size or x == value:
+    while x >= size:
         x = once(x)
     return x
 
