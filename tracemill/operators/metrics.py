@@ -259,9 +259,3 @@ def loss_summary(history: DataFrame) -> DataFrame:
     return history.filter("loss IS NOT NULL").agg(
         F.count("*").alias("count"), F.min_by("loss", "step").alias("first"), F.max_by("loss", "step").alias("last"), F.min("loss").alias("min"), (F.max_by("loss", "step") < F.min_by("loss", "step")).alias("decreased")
     )
-
-
-def mask_report(rows: DataFrame, counters: Sequence[str]) -> DataFrame:
-    """Token counters summed over all rows and by task, with the share of assistant tokens."""
-    out = rows.rollup("task").agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in counters], F.count_if(F.col("truncated_tokens") > 0).alias("rows_with_truncated"))
-    return out.select(F.coalesce("task", F.lit("all")).alias("task"), "rows", *counters, "rows_with_truncated", rate(F.col("assistant_tokens"), F.col("total_tokens")).alias("assistant_fraction"))
