@@ -136,5 +136,5 @@ def mergeable(manifests: DataFrame) -> DataFrame:
 
 def interleaved(rows: DataFrame, per_task: int, *, order: Sequence[str] = ("ordinal",)) -> DataFrame:
     """The first rows of each task, policy and next-frame rows in turn: (turn, task_rank) order."""
-    ranked = rows.withColumn("turn", F.row_number().over(W.partitionBy("task").orderBy(*order)) - 1).filter(F.col("turn") < per_task)
-    return ranked.withColumn("task_rank", F.when(F.col("task") == "policy_action", 0).otherwise(1)).orderBy("turn", "task_rank")
+    ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy("task").orderBy(*order))).filter(F.col("_n") <= per_task)
+    return ranked.withColumn("turn", F.col("_n") - 1).drop("_n").withColumn("task_rank", F.when(F.col("task") == "policy_action", 0).otherwise(1)).orderBy("turn", "task_rank")

@@ -18,13 +18,12 @@ def with_split(rows: DataFrame, key: str, seed: int, train: float = 0.90, valida
 def top_by_hash(rows: DataFrame, key: str, seed: int, counts: dict[str, int]) -> DataFrame:
     """The first keys of each split by sha256("seed:split:key"), as many as counts says.
 
-    Hash values bound each split's share first, so that the ranking window gets little more than the rows that it keeps
-    only if counts are small; it is partitioned by split.
+    The constant bound on the rank lets Spark keep the first rows of each split before it shuffles them.
     """
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("split"), F.col(key).cast("string")).cast("binary"), 256)
     wanted = F.element_at(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(v))]), F.col("split"))
     ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy("split").orderBy(digest, key)))
-    return ranked.filter(F.col("_n") <= wanted).drop("_n")
+    return ranked.filter(F.col("_n") <= max(counts.values())).filter(F.col("_n") <= wanted).drop("_n")
 
 
 def round_robin(rows: DataFrame, *, groups: Sequence[str], order: Sequence[Column | str], ranks: Sequence[Column | str] | None = None) -> DataFrame:

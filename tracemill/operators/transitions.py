@@ -96,7 +96,7 @@ def terminal_reason(observation: Column, rows: int = 24, cols: int = 80) -> Colu
 
 
 def capped_by_split(rows: DataFrame, caps: dict[str, int], *, order: Sequence[str]) -> DataFrame:
-    """The first rows of each split up to its cap."""
+    """The first rows of each split up to its cap; the constant bound on the rank is applied before the shuffle."""
     ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy("split").orderBy(*order)))
     cap = F.element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))]), F.col("split"))
-    return ranked.filter(F.col("_n") <= cap).drop("_n")
+    return ranked.filter(F.col("_n") <= max(caps.values())).filter(F.col("_n") <= cap).drop("_n")
