@@ -25,7 +25,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,16 +82,10 @@ class _PieceTable:
         return place, hit
 
 
-@lru_cache(maxsize=2)
-def lattice_of(model_path: str) -> PieceLattice:
-    """One lattice per worker: parts stay known from task to task, within its limit."""
-    return PieceLattice(model_path)
-
-
 class PieceLattice:
     """Pieces and scores of a model; N-best of parts and of texts."""
 
-    limit = 1_000_000
+    limit = 250_000
     unknown_penalty = 10.0
 
     def __init__(self, model_path: str) -> None:
@@ -281,7 +274,7 @@ class PieceLattice:
     def part(self, part: str) -> tuple[bytes, float, float]:
         found = self.loose.get(part)
         if found is None:
-            if len(self.loose) >= 50_000:
+            if len(self.loose) >= 20_000:
                 self.loose.clear()
             found = self.loose[part] = self._best_and_gap(part)
         return found
@@ -315,7 +308,7 @@ class PieceLattice:
         for k in order:
             key = (part(k), n)
             if key not in self.nbest_known:
-                if len(self.nbest_known) > 50_000:
+                if len(self.nbest_known) > 20_000:
                     self.nbest_known.clear()
                 self.nbest_known[key] = self.nbest_part(*key)
             out.append(self.nbest_known[key])
@@ -385,7 +378,7 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     """FIELDS for each row of docs(doc_id, text): ids of the best segmentation, scores of the n best, and whether decoding the ids gives the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = lattice_of(model_path)
+        lattice = PieceLattice(model_path)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 rows = batch.slice(first, 500)
@@ -412,7 +405,7 @@ def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
     """doc_id, text from tokens(doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = lattice_of(model_path)
+        lattice = PieceLattice(model_path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lattice.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

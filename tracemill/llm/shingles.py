@@ -19,7 +19,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordNumbers(dict):
     """Word -> 64-bit hash; forgets all at ``limit`` words, so that a task's memory is bounded."""
 
-    limit = 300_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
