@@ -158,6 +158,29 @@ def test_large_buckets_go_through_in_parts(spark, monkeypatch):
     assert {(r.doc_id, k) for r in line_dedup.removed_lines(docs).collect() for k in r.removed} == removed(rows)
 
 
+def line_links(rows):
+    """doc_id -> its lines' matches among the different sets of all lines, earlier or later, by comparing all."""
+    lines = [(i, frozenset(x.split())) for i, t in rows for x in t.encode().lower().split(b"\n") if x.split()]
+    sets = {w for _, w in lines}
+    degree = {w: sum(v != w and 100 * len(w & v) >= 80 * len(w | v) for v in sets) for w in sets}
+    out = {}
+    for i, w in lines:
+        out[i] = out.get(i, 0) + degree[w]
+    return out
+
+
+@pytest.mark.parametrize("compared", [512, 4])
+def test_links_are_those_of_brute_force(spark, monkeypatch, compared):
+    """A chain and a dense group: links that come later, several earlier ones, and pairs beside a bucket's hub."""
+    monkeypatch.setattr(line_dedup, "_COMPARED", compared)
+    base = [f"b{k}" for k in range(20)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(12)] + [(100 + i, " ".join(f"c{k}" for k in range(i, i + 20))) for i in range(8)]
+    rows += [(200 + i, t) for i, t in line_corpus(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in line_dedup.removed_lines(docs).collect()}
+    assert got == line_links(rows) and got[0] == 11
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = [(1, "a b c\nx", 5, "m"), (2, "C B A\nnew line here\n\n", 99, "n"), (3, None, None, None), (None, "a b c", 5, "o"), (4, "x", 1, "p"), (5, "", 0, "q"), (2, "C B A\nnew line here\n\n", 99, "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, cut_lines string")

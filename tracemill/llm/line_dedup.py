@@ -10,9 +10,9 @@ has a set with Jaccard similarity of 0.8 or more; whether that earlier line goes
    positions. Two sets that match share a word in their prefixes, and at the first such word the rest of both must still reach
    the overlap needed (positional filter); sizes must be within 0.8 (length filter).
 4. A further filter compares parities of words in 128 bits: sets that match differ in few words, so their parities in few bits.
-   In each word's bucket all classes meet its hub first; pairs that the filters leave are verified on full sets.
-   Classes that have an earlier match then are done, and need no more pairs.
-5. Every other class is verified against all classes of its buckets that the filters leave.
+   In each word's bucket all pairs of classes go through the filters; large buckets are cut into parts, and parts meet in pairs.
+5. All pairs that the filters leave are verified on full sets. Each is a link of both its classes: links are counted on both
+   sides, and the later line of a link goes.
 
 Classes of up to 3 words match equal sets only. Class keys and words are 64-bit hashes.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, minhash, shingles, words
@@ -130,7 +130,7 @@ def _rarity(keyed: DataFrame) -> np.ndarray:
 
 
 def _prefixes(bodies: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """word, class, low, high, doc_id, n, place for the prefix of each line of over 3 words; a class once per task.
+    """word, class, low, high, n, place for the prefix of each line of over 3 words; a class once per task.
 
     Words of a counter at one line are left out: they can't be shared.
     """
@@ -153,11 +153,10 @@ def _prefixes(bodies: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
             word = found.words[found.starts[line] + place] if len(line) else np.empty(0, dtype=np.uint64)
             common_words = shared.value[word >> _SHIFT] > 0
             line, place, word = line[common_words], place[common_words], word[common_words]
-            doc_id = batch.column(0).to_numpy(zero_copy_only=False)[found.owner[line]]
-            columns = (word.view(np.int64), found.classes[line], found.low[line], found.high[line], doc_id, n[line].astype(np.int32), place.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "class", "low", "high", "doc_id", "n", "place"])
+            columns = (word.view(np.int64), found.classes[line], found.low[line], found.high[line], n[line].astype(np.int32), place.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "class", "low", "high", "n", "place"])
 
-    return bodies.mapInArrow(run, "word long, class long, low long, high long, doc_id long, n int, place int")
+    return bodies.mapInArrow(run, "word long, class long, low long, high long, n int, place int")
 
 
 def _possible(percent: int, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -168,49 +167,51 @@ def _possible(percent: int, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]
     return good & ((100 + percent) * (np.bitwise_count((l1 ^ l2).view(np.uint64)).astype(np.int64) + np.bitwise_count((h1 ^ h2).view(np.uint64))) <= (100 - percent) * (n1 + n2))
 
 
-def _met(entries: DataFrame, percent: int) -> DataFrame:
-    """Buckets of entries by word: pairs of each class with the bucket's hub (star), and the entries that other pairs could come from.
+def _met(entries: DataFrame, percent: int, split: bool = False) -> DataFrame:
+    """Buckets of entries by word: rows a, b for the pairs of classes that the filters leave.
 
-    The hub is the class of the smallest doc_id: of near copies often the one that the others were made of. Rows: star, word, class, low, high, n, place, and
-    the hub's h_class. An entry is kept if the filters leave it any other partner in its bucket (in buckets of over 512, all are kept without
-    looking). Rows come sorted by (word, doc_id, place, class); a bucket of more than 50,000 rows goes through in parts, with its hub remembered.
+    Buckets of over 512 classes come back as they are (b null, a the class, and the entry's other fields), to be split first. With ``split``
+    nothing comes back: word is the key of a part of a bucket, of which pairs of entries of different ``own``, or of 2 both, are compared.
+    Rows come sorted by word; a bucket of more than 50,000 rows goes through in pieces, which may repeat a class.
     """
-    names = ["word", "class", "low", "high", "n", "place"]
-    fields = "star boolean, word long, class long, low long, high long, n int, place int, h_class long"
-
-    def met(rows: list[np.ndarray], hub: list[int] | None) -> pa.RecordBatch:
-        order = np.lexsort((np.arange(len(rows[0])), rows[1], rows[0]))
+    names = ["word", "class", "low", "high", "n", "place", *(["own"] if split else [])]
+    fields = "a long, b long, word long, low long, high long, n int, place int"
+
+    def row(columns: list[np.ndarray]) -> pa.RecordBatch:
+        arrays = [pa.array(x) for x in columns]
+        if len(arrays) == 2:
+            arrays += [pa.nulls(len(arrays[0]), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+        else:
+            arrays.insert(1, pa.nulls(len(arrays[0]), pa.int64()))
+        return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in fields.split(", ")])
+
+    def met(rows: list[np.ndarray], hot: int | None) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((rows[1], rows[4], rows[0]))
+        rows = [x[order].astype(np.int64) for x in rows]
         first = np.ones(len(order), dtype=bool)
-        first[1:] = (rows[0][order][1:] != rows[0][order][:-1]) | (rows[1][order][1:] != rows[1][order][:-1])
-        keep = np.sort(order[first])
-        word, cls, low, high, n, place = (x[keep].astype(np.int64) for x in rows)
+        first[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        word, cls, low, high, n, place, *own = (x[first] for x in rows)
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         sizes = np.diff(np.append(starts, len(word)))
-        at_hub = np.repeat(starts, sizes)
-        h_cls, h_low, h_high, h_n, h_place = (x[at_hub].copy() for x in (cls, low, high, n, place))
-        large = np.repeat(sizes, sizes) > _COMPARED
-        if hub is not None:
-            same = word == hub[0]
-            large |= same
-            for target, value in zip((h_cls, h_low, h_high, h_n, h_place), hub[1:], strict=True):
-                target[same] = value
-        is_hub = cls == h_cls
-        star = ~is_hub & _possible(percent, (low, high, n, place), (h_low, h_high, h_n, h_place))
-        kept = large & ~is_hub
-        rest = np.flatnonzero(~large & ~is_hub)
-        for d in range(1, _COMPARED):
-            near = word[rest[:-d]] == word[rest[d:]]
-            if not near.any():
-                break
-            a, b = rest[:-d][near], rest[d:][near]
+        ends = np.repeat(starts + sizes, sizes)
+        large = np.zeros(len(word), dtype=bool) if split else (np.repeat(sizes, sizes) > _COMPARED) | (word == hot if hot is not None else False)
+        if large.any():
+            yield row([cls[large], word[large], low[large], high[large], n[large].astype(np.int32), place[large].astype(np.int32)])
+        # each with the next, the one after that and so on, as long as sizes are near enough: they rise in a bucket
+        a, d, waiting, count = np.flatnonzero(~large), 1, [], 0
+        while len(a := a[a + d < ends[a]]) and len(a := a[100 * n[a] >= percent * n[a + d]]):
+            b = a + d
             good = _possible(percent, (low[a], high[a], n[a], place[a]), (low[b], high[b], n[b], place[b]))
-            kept[a[good]] = True
-            kept[b[good]] = True
-        at = np.concatenate([np.flatnonzero(star), np.flatnonzero(kept)])
-        flag = np.arange(len(at)) < star.sum()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(flag), *(pa.array(x[at]) for x in (word, cls, low, high)), *(pa.array(x[at].astype(np.int32)) for x in (n, place)), pa.array(h_cls[at])], names=[f.split()[0] for f in fields.split(", ")]
-        )
+            if own:
+                good &= (own[0][a] != own[0][b]) | (own[0][a] == 2)
+            waiting.append((cls[a[good]], cls[b[good]]))
+            count += len(waiting[-1][0])
+            if count > 500_000:
+                yield row([np.concatenate(x) for x in zip(*waiting, strict=True)])
+                waiting, count = [], 0
+            d += 1
+        if count:
+            yield row([np.concatenate(x) for x in zip(*waiting, strict=True)])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         waiting, count = [], 0
@@ -225,25 +226,37 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        hub: list[int] | None = None
+        hot: int | None = None
         for rows in blocks(batches):
             if held is not None:
                 rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if cut:
-                yield met([x[:cut] for x in rows], hub)
+                yield from met([x[:cut] for x in rows], hot)
             held = [x[cut:] for x in rows]
-            if len(held[0]) > _BLOCK:
-                if hub is None or hub[0] != held[0][0]:
-                    hub = [int(x[0]) for x in held]
-                yield met(held, hub)
+            if not split and len(held[0]) > _BLOCK:
+                hot = int(held[0][0])
+                yield from met(held, hot)
                 held = None
         if held is not None and len(held[0]):
-            yield met(held, hub)
+            yield from met(held, hot)
 
     return entries.select(*names).mapInArrow(run, fields)
 
 
+def _split(large: DataFrame, ranges: int) -> DataFrame:
+    """Entries of large buckets, dealt into parts of about 512 classes: each with its own part and with every other one.
+
+    A hash stands for word and parts; where two share one, more pairs are compared, and none is lost.
+    """
+    large = common.written(large.dropDuplicates(["word", "class"]), "line-large")
+    parts = common.written(large.groupBy("word").agg(F.ceil(F.count("*") / _COMPARED).cast("long").alias("parts")), "line-parts")
+    dealt = large.join(common.small_side(parts), "word").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    own = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    key = F.xxhash64("word", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.select(key.alias("word"), "class", "low", "high", "n", "place", own.alias("own")).repartition(ranges, "word").sortWithinPartitions("word")
+
+
 def _sets(bodies: DataFrame, lines: DataFrame) -> DataFrame:
     """id (class), elements of the first lines (id, doc_id, line) given."""
     wanted = common.written(lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "line-places")
@@ -259,28 +272,23 @@ def _sets(bodies: DataFrame, lines: DataFrame) -> DataFrame:
     return common.written(rows.mapInArrow(run, "id long, elements array<long>").dropDuplicates(["id"]), "line-sets")
 
 
-def _can_match(percent: int, a: str, b: str) -> Column:
-    """Length, positional and parity filter for two entries of the same word."""
-    n1, n2, p1, p2 = (F.col(x) for x in (f"n{a}", f"n{b}", f"place{a}", f"place{b}"))
-    longest = 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    reached = (F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)) & (F.lit(100 + percent) * longest >= F.lit(percent) * (n1 + n2))
-    return reached & (F.lit(100 + percent) * (F.bit_count(F.col(f"low{a}").bitwiseXOR(F.col(f"low{b}"))) + F.bit_count(F.col(f"high{a}").bitwiseXOR(F.col(f"high{b}")))) <= F.lit(100 - percent) * (n1 + n2))
-
-
 def _matched(pairs: DataFrame, firsts: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) of classes -> the verified ones as (a, b), a first seen before b."""
+    """pairs(a, b) of classes -> class, degree (other classes that match), later (whether one of them is seen before it)."""
     pairs = common.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     used = common.written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
     lines = common.written(firsts.withColumnRenamed("class", "id").join(common.small_side(used), "id").select("id", "first.*"), "line-firsts")
-    links = minhash._verified(pairs, _sets(bodies, lines), percent)
+    links = common.written(minhash._verified(pairs, _sets(bodies, lines), percent), "line-links")
     at = lambda s: lines.select(F.col("id").alias(s), F.struct("doc_id", "line").alias(f"at_{s}"))
-    ordered = links.join(at("a"), "a").join(at("b"), "b")
-    early = F.col("at_a") < F.col("at_b")
-    return common.written(ordered.select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("b")), "line-links")
+    ordered = links.join(common.small_side(at("a")), "a").join(common.small_side(at("b")), "b")
+    sides = ordered.select(F.explode(F.array(*(F.struct(F.col(x).alias("class"), (F.col(f"at_{x}") > F.col(f"at_{y}")).alias("later")) for x, y in ("ab", "ba")))).alias("s"))
+    return common.written(sides.groupBy("s.class").agg(F.count("*").alias("degree"), F.max("s.later").alias("later")), "line-degrees")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_lines (with words), removed (line numbers from 0), n_links (removed lines that match a different set), class_id; for documents with such lines."""
+    """doc_id, n_lines (with words), removed (line numbers from 0), n_links, class_id; for documents with such lines.
+
+    n_links sums over the document's lines the number of classes other than their own that match them, earlier or later.
+    """
     spark = docs.sparkSession
     bodies = _bodies(docs)
     keyed = common.written(_keyed(bodies), "lines")
@@ -289,26 +297,20 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     firsts = common.written(lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-classes")
 
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries = _prefixes(bodies, rarity, percent).repartition(ranges, "word").sortWithinPartitions("word", "doc_id", "place", "class")
+    entries = _prefixes(bodies, rarity, percent).repartition(ranges, "word").sortWithinPartitions("word")
     met = common.written(_met(entries, percent), "line-buckets")
-    star_links = _matched(met.filter("star").select(F.col("h_class").alias("a"), F.col("class").alias("b")), firsts, bodies, percent)
-
-    # classes with an earlier match are done; every other one has yet to meet the rest of its buckets
-    done = common.written(star_links.select(F.col("b").alias("class")).distinct(), "line-done")
-    rest = met.filter("NOT star").select("word", "class", "low", "high", "n", "place")
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns])
-    x, e = side(rest.join(common.small_side(done), "class", "left_anti"), "x"), side(rest, "e")
-    more = x.join(e, (F.col("word_x") == F.col("word_e")) & (F.col("class_e") != F.col("class_x")) & _can_match(percent, "_x", "_e"))
-    links = star_links.union(_matched(more.select(F.col("class_e").alias("a"), F.col("class_x").alias("b")), firsts, bodies, percent)).select(F.col("b").alias("l_class")).distinct()
+    large = met.filter("b IS NULL").select("word", F.col("a").alias("class"), "low", "high", "n", "place")
+    pairs = met.filter("b IS NOT NULL").select("a", "b").union(_met(_split(large, ranges), percent, split=True).select("a", "b"))
+    links = _matched(pairs, firsts, bodies, percent).withColumnRenamed("class", "l_class")
 
-    firsts = firsts.join(links, F.col("class") == F.col("l_class"), "left").select(F.col("class").alias("f_class"), "first", F.col("l_class").isNotNull().alias("linked"))
+    firsts = firsts.join(links, F.col("class") == F.col("l_class"), "left").select(F.col("class").alias("f_class"), "first", F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("degree", F.lit(0)).alias("degree"))
     judged = lines.join(firsts, lines["class"] == firsts["f_class"]).select(
-        "doc_id", "line", "linked", (F.col("linked") | (F.struct("doc_id", "line") > F.col("first"))).alias("gone"), F.col("first.doc_id").alias("class_doc")
+        "doc_id", "line", "degree", (F.col("later") | (F.struct("doc_id", "line") > F.col("first"))).alias("gone"), F.col("first.doc_id").alias("class_doc")
     )
     return judged.groupBy("doc_id").agg(
         F.countDistinct("line").cast("long").alias("n_lines"),
         F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"),
-        F.count(F.when(F.col("linked"), 1)).cast("long").alias("n_links"),
+        F.sum("degree").cast("long").alias("n_links"),
         F.min("class_doc").alias("class_id"),
     )
 
