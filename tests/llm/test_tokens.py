@@ -192,6 +192,35 @@ def test_pseudonyms_over_documents(spark):
     assert linked and all(len(v) == 1 for v in linked.values())
 
 
+@pytest.mark.parametrize(
+    ("value", "kind", "after"),
+    [
+        ("4111 1111 1111 1111", "card", " 123"),
+        ("4111 1111 1111 1111", "card", " 12/26"),
+        ("4111-1111-1111-1111", "card", "-123"),
+        ("ES91 2100 0418 4502 0005 1332", "iban", " EUR"),
+        ("ES9121000418450200051332", "iban", " EURO"),
+        ("+1 (826) 555-4081", "phone", " 190.137.223.204"),
+        ("+1 (826) 555-4081", "phone", " 21.7.6.1"),
+        ("+1 826 555 4081", "phone", " 12.05.2024"),
+        ("+1 826 555 4081", "phone", " 2024-05-12"),
+        ("+1 826 555 4081", "phone", " 4111 1111 1111 1111"),
+    ],
+)
+def test_values_before_other_numbers(value, kind, after):
+    alone = pii.pseudonymised(value, KEY)[1]
+    new, found = pii.pseudonymised(value + after, KEY)
+    assert alone[0][0] == kind and found[0] == alone[0]
+    rest = pii.pseudonymised(after, KEY)
+    assert [f[0] for f in found[1:]] == [f[0] for f in rest[1]] and new.endswith(rest[0])
+
+
+def test_part_of_a_number_gives_way_to_a_whole_card():
+    for head in range(100):
+        found = pii.pseudonymised(f"{head:02d} 4111 1111 1111 1111 123", KEY)[1]
+        assert len(found) == 1 and sum(c.isdigit() for c in found[0][3]) >= 16
+
+
 def brute(ids, x, k, keep):
     norm = np.linalg.norm(x, axis=1)
     out = {}

@@ -8,6 +8,9 @@ depends on the key and the kind alone, equal values become equal pseudonyms in a
 A value is a number below the size of its format; a balanced Feistel network of 8 rounds permutes the next larger power of
 four, and values that land outside are permuted again (cycle walking). One value in as many as the format has is its own image.
 
+Cards, IBANs and phones may run on into what follows: at each place the longest end at a group border that is valid counts. A phone doesn't
+reach into a valid number of another kind if it can end before it, and part of a card gives way to a longer valid card that starts within.
+
 Defined results: null texts stay null; texts without findings are unchanged; values that fail validation stay; where findings
 overlap, the first kind in KINDS that matches at the leftmost place wins; rows keep their multiplicity and extra columns are left out.
 """
@@ -177,6 +180,43 @@ PSEUDONYM: dict[str, Callable[[bytes, str], str | None]] = {
 }
 
 
+#: Kinds whose matches may run on into what follows, and values that a phone leaves alone (of cards, those in their usual groups).
+_OPEN = ("iban", "phone", "card")
+_APART = {k: _EACH[k] for k in ("address", "date", "ssn")} | {"card": re.compile(r"\d{4}(?:([ \-])\d{4}(?:\1\d{4}){2}|([ \-])\d{6}\2\d{5})(?!\d|[ \-]\d{4}(?!\d))", re.A)}
+
+
+def _ends(kind: str, text: str, start: int) -> list[int]:
+    """The ends of the kind at this place, longest first: the match's own and, for open kinds, the group borders within it."""
+    found = _EACH[kind].match(text, start)
+    if found is None:
+        return []
+    if kind not in _OPEN:
+        return [found.end()]
+    borders = (e for e in range(found.end() - 1, start, -1) if text[e] in " .-" and text[e - 1] not in " .-")
+    return [found.end(), *(e for e in borders if _EACH[kind].fullmatch(text, start, e))]
+
+
+def _valid(kind: str, key: bytes, text: str, start: int) -> tuple[int, str] | None:
+    """End and pseudonym of the longest valid value of the kind at this place."""
+    ends = _ends(kind, text, start)
+    valid = [(e, new) for e in ends if (new := PSEUDONYM[kind](key, text[start:e])) is not None]
+    if not valid:
+        return None
+    end, new = valid[0]
+    later = [b for b in range(start + 1, ends[0]) if text[b - 1] in " -" and text[b].isalnum()] if kind in _OPEN else []
+    if kind == "phone":
+        spans = [(b, w.end()) for b in later if text[b - 1] == " " for k, p in _APART.items() if (w := p.match(text, b)) and PSEUDONYM[k](key, w.group()) is not None]
+        clear = [(e, n) for e, n in valid if all(e <= first for first, _ in spans)]
+        uncut = [(e, n) for e, n in valid if all(e <= first or e >= last for first, last in spans)]
+        return (clear or uncut or valid)[0]
+    if kind == "card" and end < ends[0]:
+        digits = lambda a, b: sum(c.isdigit() for c in text[a:b])
+        for b in later:
+            if b < end and (w := next((e for e in _ends(kind, text, b) if _card(key, text[b:e]) is not None), None)) is not None and digits(b, w) > digits(start, end):
+                return None
+    return end, new
+
+
 def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The new text and what was replaced: kind, start, end in the new text, and the pseudonym."""
     if not _HINT.search(text):
@@ -184,20 +224,19 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int,
     out, found, at, length = [], [], 0, 0
     place = 0
     while m := _ANY.search(text, place):
-        kind = m.lastgroup
-        new = PSEUDONYM[kind](key, m.group())
-        if new is None:
-            # what fails as one kind may hold another: look again one run of digits or letters later
-            others = ((k, w) for k, p in _EACH.items() if k != kind and (w := p.match(text, m.start())))
-            kind, m, new = next(((k, w, x) for k, w in others if (x := PSEUDONYM[k](key, w.group())) is not None), (kind, m, None))
-            if new is None:
-                place = _RUN.match(text, m.start()).end()
-                continue
-        out += [text[at : m.start()], new]
-        length += m.start() - at
+        start = m.start()
+        # what fails as one kind may hold another; else look again one run of digits or letters later
+        kinds = (m.lastgroup, *(k for k in KINDS if k != m.lastgroup))
+        kind, best = next(((k, w) for k in kinds if (w := _valid(k, key, text, start)) is not None), (None, None))
+        if best is None:
+            place = _RUN.match(text, start).end()
+            continue
+        end, new = best
+        out += [text[at:start], new]
+        length += start - at
         found.append((kind, length, length + len(new), new))
         length += len(new)
-        at = place = m.end()
+        at = place = end
     return "".join([*out, text[at:]]), found
 
 
