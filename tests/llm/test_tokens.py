@@ -215,6 +215,24 @@ def test_values_before_other_numbers(value, kind, after):
     assert [f[0] for f in found[1:]] == [f[0] for f in rest[1]] and new.endswith(rest[0])
 
 
+@pytest.mark.parametrize("text", ["+33 1 42 68 53 00", "+45 12 34 56 78", "41 11 11 11 11 11 11 11"])
+def test_values_in_pairs_need_no_other_number(text):
+    kind = "phone" if text[0] == "+" else "card"
+    assert [f[0] for f in pii.pseudonymised(f"call {text} now", KEY)[1]] == [kind]
+
+
+def test_hint_refuses_no_match():
+    rng = random.Random(11)
+    parts = ["+", "4", "11", "12", "(8", ")", " ", " ", "-", ".", "/", "GB", "AB", "CDEF", "x", "@", "sk-", "token=", "deadbeef" * 5, "abcdefgh"]
+    refused = 0
+    for _ in range(40_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 16)))
+        if not pii._HINT.search(text):
+            refused += 1
+            assert not any(p.search(text) for p in pii._EACH.values())
+    assert refused > 1000
+
+
 def test_part_of_a_number_gives_way_to_a_whole_card():
     for head in range(100):
         found = pii.pseudonymised(f"{head:02d} 4111 1111 1111 1111 123", KEY)[1]
