@@ -32,3 +32,30 @@ def test_message_similarity_is_difflib(spark):
     for r in got:
         a, b = first[r["conv_id"], r["turn"]], first[r["conv_id"], r["turn"] + 1]
         assert r["similarity"] == pytest.approx(SequenceMatcher(None, a, b).ratio(), abs=1e-6)
+
+
+def test_whole_sequences_are_compared(spark, tmp_path):
+    from itertools import combinations
+
+    import duckdb
+
+    folder = str(tmp_path)
+    # equal for 20 steps and different later, and one that is shorter
+    lengths = {1: 25, 2: 25, 3: 25, 4: 22, 5: 3}
+    kinds = ("click", "view", "error", "purchase", "signup")
+    rows = [(user, k, kinds[(k + (user == 2 and k > 21)) % 5]) for user, n in lengths.items() for k in range(n)]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE given AS SELECT * FROM (VALUES " + ", ".join(f"({u}, {k}, '{e}')" for u, k, e in rows) + ") v(u, k, e)")
+    duck.execute(
+        f"""COPY (SELECT e.* REPLACE (g.u * 100 + g.k AS event_id, g.u AS user_id, g.e AS event_type)
+        FROM given g CROSS JOIN (SELECT * FROM '{SMALL}/events.parquet' ORDER BY event_id LIMIT 1) e) TO '{folder}/events.parquet' (FORMAT parquet)"""
+    )
+    steps = plans.tables.event_steps(spark, folder).orderBy("user_id", "step").collect()
+    of = {u: [r["action_id"] for r in steps if r["user_id"] == u] for u in lengths}
+    assert {u: len(a) for u, a in of.items()} == lengths
+    pairs = list(combinations(of.values(), 2))
+    share = [sum(x == y for x, y in zip(a, b)) / max(len(a), len(b)) for a, b in pairs]
+    got = plans.QUERIES["whole_sequence_similarity"](spark, folder).head()
+    assert (got.pair_count, got.equal_pairs) == (len(pairs), sum(a == b for a, b in pairs))
+    assert got.mean_similarity == pytest.approx(sum(share) / len(pairs), abs=1e-6)
+    assert plans.QUERIES["sequence_similarity"](spark, folder).head().equal_pairs > got.equal_pairs

@@ -175,16 +175,15 @@ def sequence_similarity(sequences: DataFrame, *, key: str, actions: str) -> Data
     """One row: over all unordered pairs of sequences, the share that are equal and the mean share of equal places (of the longer length).
 
     The equal share comes from counts of whole sequences, and the place share, for sequences of one length, from counts of actions per place: no
-    pair is formed. Sequences of different lengths meet only as counts per (place, action, length).
+    pair is formed. Sequences of different lengths meet only as counts per (place, action, length), summed up over the shorter ones.
     """
     own = sequences.select(F.col(key).alias("k"), F.col(actions).alias("a"), F.size(actions).alias("n"))
     total = own.agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
     equal = own.groupBy("a").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("equal_pairs"))
-    placed = own.select("n", F.posexplode("a").alias("at", "x")).groupBy("at", "x", "n").agg(F.count("*").alias("c"))
-    left, right = placed.select("at", "x", F.col("n").alias("n1"), F.col("c").alias("c1")), placed.select("at", "x", F.col("n").alias("n2"), F.col("c").alias("c2"))
-    met = left.join(right, ["at", "x"]).filter("n1 <= n2")
-    pairs = F.when(F.col("n1") == F.col("n2"), F.col("c1") * (F.col("c1") - 1) / 2).otherwise(F.col("c1") * F.col("c2"))
-    places = met.agg(F.sum(pairs / F.greatest("n1", "n2")).alias("same"))
+    placed = own.select("n", F.posexplode("a").alias("at", "x")).filter("x IS NOT NULL").groupBy("at", "x", "n").agg(F.count("*").alias("c"))
+    shorter = F.coalesce(F.sum("c").over(W.partitionBy("at", "x").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = placed.select("n", (F.col("c") * shorter + F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
+    places = met.agg(F.sum(F.col("pairs") / F.col("n")).alias("same"))
     # two empty sequences are equal in full
     empty = own.filter("n = 0").agg((F.count("*") * (F.count("*") - 1) / 2).alias("empty_pairs"))
     one = total.crossJoin(equal).crossJoin(places).crossJoin(empty)

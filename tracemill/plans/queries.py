@@ -649,6 +649,14 @@ def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollouts.sequence_similarity(sequences, key="user_id", actions="actions")
 
 
+@registered()
+def whole_sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of all actions of all users."""
+    steps = tables.event_steps(spark, sf_dir)
+    sequences = steps.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "action_id"))), lambda x: x["action_id"]).alias("actions"))
+    return rollouts.sequence_similarity(sequences, key="user_id", actions="actions")
+
+
 @registered(f"WITH {WATCH_SQL} SELECT seed, side, count(*) FILTER (stuck) AS stuck, count(*) FILTER (prompted) AS prompts FROM f GROUP BY ALL")
 def stuck_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import events
