@@ -181,6 +181,13 @@ def test_links_are_those_of_brute_force(spark, monkeypatch, compared):
     assert got == line_links(rows) and got[0] == 11
 
 
+def test_frequent_words_do_not_wrap_their_counter(spark):
+    """One document of 2**16 + 1 lines with a word in common, which would be counted as in one line."""
+    docs = spark.createDataFrame([(1, "\n".join(["same"] * (2**16 + 1)))], "doc_id long, text string")
+    table = line_dedup._rarity(line_dedup._keyed(line_dedup._bodies(docs)).cache())
+    assert table.max() >= int(2000 * np.log2(50_000)) and (table > 0).sum() == 1
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = [(1, "a b c\nx", 5, "m"), (2, "C B A\nnew line here\n\n", 99, "n"), (3, None, None, None), (None, "a b c", 5, "o"), (4, "x", 1, "p"), (5, "", 0, "q"), (2, "C B A\nnew line here\n\n", 99, "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, cut_lines string")

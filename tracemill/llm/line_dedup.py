@@ -91,6 +91,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(first, 200)
 
 
+def _add(counts: np.ndarray, counters: np.ndarray) -> None:
+    """Raise 16-bit counts by how often each counter occurs; from 50,000 they stop, by parts too small to reach 2**16."""
+    for first in range(0, len(counters), 15_000):
+        part = counters[first : first + 15_000]
+        np.add.at(counts, part[counts[part] < 50_000], 1)
+
+
 def _keyed(bodies: DataFrame) -> DataFrame:
     """Lines (doc_id, line, class, n), and pieces of the task's counters as rows with a payload (line: which piece)."""
 
@@ -100,8 +107,7 @@ def _keyed(bodies: DataFrame) -> DataFrame:
         for batch in _slices(batches):
             found = Lines(batch.column(1).to_pylist())
             counters = (found.words >> _SHIFT).astype(np.int64)
-            # a counter holds 2**16 - 1; it stops well before, as a slice has few lines
-            np.add.at(counts, counters[counts[counters] < 50_000], 1)
+            _add(counts, counters)
             doc_id = batch.column(0).take(pa.array(found.owner))
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(found.number), pa.array(found.classes), pa.array(found.sizes), pa.nulls(len(found.sizes), pa.binary())], names=names)
         pieces = counts.reshape(-1, _PIECE)
