@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +29,17 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what setCheckpointDir() was given; an own one in local mode alone."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if not root:
         jvm_dir = context._jsc.sc().getCheckpointDir()
-        root = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if jvm_dir.isDefined():
+            root = jvm_dir.get()
+        elif re.fullmatch(r"local(\[.*\])?", context.master):
+            root = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -61,6 +73,34 @@ def sampled_labels(labels: DataFrame, label: str, bound: int, *, hold_out: bool)
     return rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
-    """df, to be broadcast if it has few rows as counted, else left to a shuffled join. df must be cheap to count (written)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_side(df: DataFrame, rows: int = 300_000, size: int = 2**24) -> DataFrame:
+    """df, to be broadcast if it has few rows and bytes as counted, else left to a shuffled join. df must be cheap to count (written)."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+
+    def held(name: str, kind: str) -> Column:
+        if kind.startswith("array"):
+            return F.greatest(F.size(name), F.lit(0)) * 8
+        return F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(8)
+
+    held_bytes = sum((held(name, kind) for name, kind in df.dtypes), F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(held_bytes.cast("long"))).first()[0] or 0) <= size else df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 200, size: int = 2**20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with at most so many rows and bytes of text in that column; a longer text is alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = min(first + rows, max(first + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def release() -> None:
+    """Give what a task has freed back to the system, as Python workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)

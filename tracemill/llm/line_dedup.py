@@ -5,19 +5,23 @@ has a set with Jaccard similarity of 0.8 or more; whether that earlier line goes
 
 1. One pass over the texts gives each line the key of its set, and counts in how many lines words occur, in a fixed number of
    hashed counters of 32 MB in all (a word's rarity is the count of its counter; any fixed order of words keeps the join exact).
+   Tasks send the counters they used; sums run over one piece of 2**16 counters at a time.
 2. Lines with equal sets are one class. All but its first line go.
 3. A second pass orders each line's words by rarity and emits its prefix: of n words the first n - ceil(0.8 n) + 1, with their
    positions. Two sets that match share a word in their prefixes, and at the first such word the rest of both must still reach
    the overlap needed (positional filter); sizes must be within 0.8 (length filter).
 4. A further filter compares parities of words in 128 bits: sets that match differ in few words, so their parities in few bits.
-   In each word's bucket all pairs of classes go through the filters; large buckets are cut into parts, and parts meet in pairs.
-5. All pairs that the filters leave are verified on full sets. Each is a link of both its classes: links are counted on both
-   sides, and the later line of a link goes.
+   In each word's bucket all pairs of up to 512 classes go through the filters, and what they leave is verified on full sets.
+5. Larger buckets are cut into parts with full sets, and parts meet in pairs: intersections of all their classes are products of
+   two 0/1 matrices, so that a large group of near copies is counted where it is compared, and its pairs aren't listed. A
+   pair counts in the bucket of the first word that both sets have, there alone.
+6. Each match is a link of both its classes: links are counted on both sides, and the later line of a link goes.
 
-Classes of up to 3 words match equal sets only. Class keys and words are 64-bit hashes.
+Sets too small to be within the threshold of another (up to 3 words at 0.8) match equal sets only. Class keys and words are 64-bit hashes.
 
 Defined results: lines without words stay and match nothing; null texts stay null and have no lines; rows with a null doc_id stay as they are; rows with the same
-doc_id count as one document, whose lines at the same place aren't later than each other; an empty table gives no rows.
+doc_id count as one document, whose lines at the same place aren't later than each other; texts and lines of any length are taken whole; an empty table gives no
+rows; columns other than doc_id and text are passed on by ``deduplicated``, whatever their names (``n_chars`` is recounted), and ignored by ``removed_lines``.
 """
 
 from __future__ import annotations
@@ -25,18 +29,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, minhash, shingles, words
+from . import common, shingles, words
 
 #: Counters of lines that hold a word, by the first bits of its hash; the shared table has the logarithms of the counts.
 BITS = 24
 _SHIFT = np.uint64(64 - BITS)
 _PIECE = 2**16
-_BLOCK, _COMPARED = 50_000, 512
+_BLOCK, _COMPARED, _ELEMENTS = 50_000, 512, 2**16
 
 
 class Lines:
@@ -85,36 +88,34 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, 200):
-            yield batch.slice(first, 200)
-
-
 def _add(counts: np.ndarray, counters: np.ndarray) -> None:
-    """Raise 16-bit counts by how often each counter occurs; from 50,000 they stop, by parts too small to reach 2**16."""
-    for first in range(0, len(counters), 15_000):
-        part = counters[first : first + 15_000]
-        np.add.at(counts, part[counts[part] < 50_000], 1)
+    """Raise 16-bit counts by how often each counter occurs; they stop at 65,535."""
+    used, times = np.unique(counters, return_counts=True)
+    counts[used] = np.minimum(counts[used] + times, 65_535)
 
 
 def _keyed(bodies: DataFrame) -> DataFrame:
-    """Lines (doc_id, line, class, n), and pieces of the task's counters as rows with a payload (line: which piece)."""
+    """Lines (doc_id, line, class, n), and the counters that a task has used as rows with a payload (line: of which piece).
+
+    A payload holds places within the piece and then counts, 16 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2**BITS, dtype=np.uint16)
         names = ["doc_id", "line", "class", "n", "payload"]
-        for batch in _slices(batches):
+        for batch in common.slices(batches, 1):
             found = Lines(batch.column(1).to_pylist())
-            counters = (found.words >> _SHIFT).astype(np.int64)
-            _add(counts, counters)
+            _add(counts, (found.words >> _SHIFT).astype(np.int64))
             doc_id = batch.column(0).take(pa.array(found.owner))
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(found.number), pa.array(found.classes), pa.array(found.sizes), pa.nulls(len(found.sizes), pa.binary())], names=names)
         pieces = counts.reshape(-1, _PIECE)
         for first in range(0, len(pieces), 16):
-            used = [k for k in range(first, min(first + 16, len(pieces))) if pieces[k].any()]
-            empty = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, pa.array(used, pa.int32()), empty, empty, pa.array([pieces[k].tobytes() for k in used], pa.binary())], names=names)
+            used = {k: np.flatnonzero(pieces[k]) for k in range(first, min(first + 16, len(pieces)))}
+            payloads = {k: places.astype("<u2").tobytes() + pieces[k][places].astype("<u2").tobytes() for k, places in used.items() if len(places)}
+            empty = pa.nulls(len(payloads), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, pa.array(list(payloads), pa.int32()), empty, empty, pa.array(list(payloads.values()), pa.binary())], names=names)
+        del counts, pieces
+        common.release()
 
     return bodies.mapInArrow(run, "doc_id long, line int, class long, n long, payload binary")
 
@@ -122,29 +123,43 @@ def _keyed(bodies: DataFrame) -> DataFrame:
 def _rarity(keyed: DataFrame) -> np.ndarray:
     """2,000 times the binary logarithm of each counter over all tasks (0 for one line): a table of 32 MB, whatever the input."""
 
-    def add(pieces: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_PIECE, dtype=np.int64)
-        for p in pieces["payload"]:
-            total += np.frombuffer(p, dtype=np.uint16)
-        return pd.DataFrame({"line": pieces["line"].iloc[:1], "payload": [np.minimum(2000 * np.log2(np.maximum(total, 1)), 65535).astype(np.uint16).tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total = None, np.zeros(_PIECE, dtype=np.int64)
 
-    rows = keyed.filter("payload IS NOT NULL").select("line", "payload").groupBy("line").applyInPandas(add, "line int, payload binary").collect()
+        def closed() -> pa.RecordBatch:
+            ranks = np.minimum(2000 * np.log2(np.maximum(total, 1)), 65535).astype("<u2").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([ranks], pa.binary())], names=["line", "payload"])
+
+        for batch in batches:
+            for k, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != piece:
+                    if piece is not None:
+                        yield closed()
+                    piece, total[:] = k, 0
+                places, counts = np.frombuffer(payload.as_buffer(), dtype="<u2").reshape(2, -1)
+                total[places] += counts
+        if piece is not None:
+            yield closed()
+
+    payloads = keyed.filter("payload IS NOT NULL").select("line", "payload")
+    n = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = payloads.repartition(min(n, 2**BITS // _PIECE), "line").sortWithinPartitions("line").mapInArrow(add, "line int, payload binary").collect()
     table = np.zeros(2**BITS, dtype=np.uint16)
     for row in rows:
-        table[row["line"] * _PIECE : (row["line"] + 1) * _PIECE] = np.frombuffer(row["payload"], dtype=np.uint16)
+        table[row["line"] * _PIECE : (row["line"] + 1) * _PIECE] = np.frombuffer(row["payload"], dtype="<u2")
     return table
 
 
 def _prefixes(bodies: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """word, class, low, high, n, place for the prefix of each line of over 3 words; a class once per task.
+    """word, class, low, high, n, place for the prefix of each line that can match another set; a class once per task.
 
-    Words of a counter at one line are left out: they can't be shared.
+    Of two different sets, the smaller has at most all but one word of the larger. Words of a counter at one line are left out: they can't be shared.
     """
     shared = bodies.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in _slices(batches):
+        for batch in common.slices(batches, 1):
             found = Lines(batch.column(1).to_pylist(), shared.value)
             classes, index = np.unique(found.classes, return_index=True)
             if len(seen) > 200_000:
@@ -153,7 +168,7 @@ def _prefixes(bodies: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
             fresh[[k for c, k in zip(classes.tolist(), index.tolist(), strict=True) if c not in seen]] = True
             seen.update(classes.tolist())
             n = found.sizes
-            length = np.where(fresh & (n > 3), n - (percent * n + 99) // 100 + 1, 0)
+            length = np.where(fresh & (100 * n >= percent * (n + 1)), n - (percent * n + 99) // 100 + 1, 0)
             line = np.repeat(np.arange(len(n)), length)
             place = np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length)
             word = found.words[found.starts[line] + place] if len(line) else np.empty(0, dtype=np.uint64)
@@ -161,6 +176,7 @@ def _prefixes(bodies: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
             line, place, word = line[common_words], place[common_words], word[common_words]
             columns = (word.view(np.int64), found.classes[line], found.low[line], found.high[line], n[line].astype(np.int32), place.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "class", "low", "high", "n", "place"])
+        common.release()
 
     return bodies.mapInArrow(run, "word long, class long, low long, high long, n int, place int")
 
@@ -173,51 +189,43 @@ def _possible(percent: int, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]
     return good & ((100 + percent) * (np.bitwise_count((l1 ^ l2).view(np.uint64)).astype(np.int64) + np.bitwise_count((h1 ^ h2).view(np.uint64))) <= (100 - percent) * (n1 + n2))
 
 
-def _met(entries: DataFrame, percent: int, split: bool = False) -> DataFrame:
+def _met(entries: DataFrame, percent: int) -> DataFrame:
     """Buckets of entries by word: rows a, b for the pairs of classes that the filters leave.
 
-    Buckets of over 512 classes come back as they are (b null, a the class, and the entry's other fields), to be split first. With ``split``
-    nothing comes back: word is the key of a part of a bucket, of which pairs of entries of different ``own``, or of 2 both, are compared.
-    Rows come sorted by word; a bucket of more than 50,000 rows goes through in pieces, which may repeat a class.
+    Buckets of over 512 classes come back as they are (word, and a the class), to be split. Rows come sorted by word; a bucket of
+    more than 50,000 rows goes through in pieces, which may repeat a class.
     """
-    names = ["word", "class", "low", "high", "n", "place", *(["own"] if split else [])]
-    fields = "a long, b long, word long, low long, high long, n int, place int"
+    names = ["word", "class", "low", "high", "n", "place"]
 
-    def row(columns: list[np.ndarray]) -> pa.RecordBatch:
-        arrays = [pa.array(x) for x in columns]
-        if len(arrays) == 2:
-            arrays += [pa.nulls(len(arrays[0]), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-        else:
-            arrays.insert(1, pa.nulls(len(arrays[0]), pa.int64()))
-        return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in fields.split(", ")])
+    def row(a: np.ndarray, b: np.ndarray | None, word: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if word is None else pa.array(word)], names=["a", "b", "word"])
 
     def met(rows: list[np.ndarray], hot: int | None) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((rows[1], rows[4], rows[0]))
         rows = [x[order].astype(np.int64) for x in rows]
         first = np.ones(len(order), dtype=bool)
         first[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
-        word, cls, low, high, n, place, *own = (x[first] for x in rows)
+        word, cls, low, high, n, place = (x[first] for x in rows)
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         sizes = np.diff(np.append(starts, len(word)))
         ends = np.repeat(starts + sizes, sizes)
-        large = np.zeros(len(word), dtype=bool) if split else (np.repeat(sizes, sizes) > _COMPARED) | (word == hot if hot is not None else False)
+        large = (np.repeat(sizes, sizes) > _COMPARED) | (word == hot if hot is not None else False)
         if large.any():
-            yield row([cls[large], word[large], low[large], high[large], n[large].astype(np.int32), place[large].astype(np.int32)])
+            yield row(cls[large], None, word[large])
         # each with the next, the one after that and so on, as long as sizes are near enough: they rise in a bucket
         a, d, waiting, count = np.flatnonzero(~large), 1, [], 0
         while len(a := a[a + d < ends[a]]) and len(a := a[100 * n[a] >= percent * n[a + d]]):
             b = a + d
             good = _possible(percent, (low[a], high[a], n[a], place[a]), (low[b], high[b], n[b], place[b]))
-            if own:
-                good &= (own[0][a] != own[0][b]) | (own[0][a] == 2)
             waiting.append((cls[a[good]], cls[b[good]]))
             count += len(waiting[-1][0])
             if count > 500_000:
-                yield row([np.concatenate(x) for x in zip(*waiting, strict=True)])
+                yield row(*map(np.concatenate, zip(*waiting, strict=True)), None)
                 waiting, count = [], 0
             d += 1
         if count:
-            yield row([np.concatenate(x) for x in zip(*waiting, strict=True)])
+            yield row(*map(np.concatenate, zip(*waiting, strict=True)), None)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         waiting, count = [], 0
@@ -240,54 +248,139 @@ def _met(entries: DataFrame, percent: int, split: bool = False) -> DataFrame:
             if cut:
                 yield from met([x[:cut] for x in rows], hot)
             held = [x[cut:] for x in rows]
-            if not split and len(held[0]) > _BLOCK:
+            if len(held[0]) > _BLOCK:
                 hot = int(held[0][0])
                 yield from met(held, hot)
                 held = None
         if held is not None and len(held[0]):
             yield from met(held, hot)
+        common.release()
 
-    return entries.select(*names).mapInArrow(run, fields)
-
-
-def _split(large: DataFrame, ranges: int) -> DataFrame:
-    """Entries of large buckets, dealt into parts of about 512 classes: each with its own part and with every other one.
-
-    A hash stands for word and parts; where two share one, more pairs are compared, and none is lost.
-    """
-    large = common.written(large.dropDuplicates(["word", "class"]), "line-large")
-    parts = common.written(large.groupBy("word").agg(F.ceil(F.count("*") / _COMPARED).cast("long").alias("parts")), "line-parts")
-    dealt = large.join(common.small_side(parts), "word").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    own = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
-    key = F.xxhash64("word", F.least("part", "other"), F.greatest("part", "other"))
-    return dealt.select(key.alias("word"), "class", "low", "high", "n", "place", own.alias("own")).repartition(ranges, "word").sortWithinPartitions("word")
+    return entries.select(*names).mapInArrow(run, "a long, b long, word long")
 
 
-def _sets(bodies: DataFrame, lines: DataFrame) -> DataFrame:
-    """id (class), elements of the first lines (id, doc_id, line) given."""
+def _sets(bodies: DataFrame, lines: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """id (class), elements (words, rarest first) of the first lines (id, doc_id, line) given."""
     wanted = common.written(lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "line-places")
+    shared = bodies.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            found = Lines(batch.column(0).to_pylist(), wanted=[set(x) for x in batch.column(1).to_pylist()])
+        for batch in common.slices(batches, 0):
+            found = Lines(batch.column(0).to_pylist(), shared.value, wanted=[set(x) for x in batch.column(1).to_pylist()])
             offsets = np.append(found.starts, len(found.words)).astype(np.int32)
             elements = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.words.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(found.classes), elements], names=["id", "elements"])
+        common.release()
 
     rows = bodies.join(common.small_side(wanted), "doc_id").select("body", "lines")
     return common.written(rows.mapInArrow(run, "id long, elements array<long>").dropDuplicates(["id"]), "line-sets")
 
 
-def _matched(pairs: DataFrame, firsts: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) of classes -> class, degree (other classes that match), later (whether one of them is seen before it)."""
-    pairs = common.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    used = common.written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
+def _split(large: DataFrame, lines: DataFrame, sets: DataFrame, ranges: int) -> DataFrame:
+    """Large buckets (word, class), dealt into parts of about 512 classes or 2**16 elements: each with its own part and with every other one."""
+    placed = large.join(sets.select(F.col("id").alias("class"), "elements"), "class").join(lines.withColumnRenamed("id", "class"), "class")
+    placed = common.written(placed, "line-large")
+    count = F.greatest(F.ceil(F.count("*") / _COMPARED), F.ceil(F.sum(F.size("elements")) / _ELEMENTS))
+    parts = common.written(placed.groupBy("word").agg(count.cast("long").alias("parts")), "line-parts")
+    dealt = placed.join(common.small_side(parts), "word").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = dealt.select("word", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"), "class", "doc_id", "line", "elements")
+    return pair.repartition(ranges, "word", "p", "q").sortWithinPartitions("word", "p", "q")
+
+
+def _products(row: np.ndarray, column: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many columns each row of ``first`` has in common with each of ``second``, rows being sets of columns."""
+    size = max(len(first), len(second)) and int(max(first.max(), second.max())) + 1
+    used, column, times = np.unique(column, return_inverse=True, return_counts=True)
+    shared = times > 1  # others are in no two sets
+    column, row = (np.cumsum(shared) - 1)[column][shared[column]], row[shared[column]]
+    out, order = np.zeros((len(first), len(second)), dtype=np.float32), np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for begin in range(0, int(shared.sum()), 4096):
+        x, y = np.searchsorted(column, (begin, begin + 4096))
+        table = np.zeros((size, 4096), dtype=np.float32)
+        table[row[x:y], column[x:y] - begin] = 1
+        out += table[first] @ table[second].T
+    return out.astype(np.int64)
+
+
+def _linked(word: int, second: np.ndarray, at: np.ndarray, elements: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of two parts of a bucket: how many of the other part match it (all but itself, within one part), and whether one that is seen before it does.
+
+    ``at`` ranks the sets by where they are seen first. A match with a common word before the bucket's own counts in another bucket.
+    """
+    sizes = np.array([len(x) for x in elements], dtype=np.int64)
+    flat, row = np.concatenate(elements), np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - starts[row]
+    own = np.full(len(sizes), len(flat), dtype=np.int64)
+    own[row[flat == word]] = place[flat == word]
+    early = place < own[row]
+    a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(sizes)),) * 2
+    if not len(a):
+        return np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=bool)
+    common_words, before = _products(row, flat, a, b), _products(row[early], flat[early], a, b)
+    match = (100 * common_words >= percent * (sizes[a][:, None] + sizes[b][None, :] - common_words)) & (before == 0) & (a[:, None] != b[None, :])
+    degree, later = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=bool)
+    earlier = at[b][None, :] < at[a][:, None]
+    degree[a], later[a] = match.sum(axis=1), (match & earlier).any(axis=1)
+    if second.any():
+        degree[b], later[b] = match.sum(axis=0), (match & (at[a][:, None] < at[b][None, :])).any(axis=0)
+    return degree, later
+
+
+def _counted(dealt: DataFrame, percent: int) -> DataFrame:
+    """class, degree, later for classes of large buckets: matches whose first common word is the bucket's."""
+    names = ["word", "p", "q", "second", "class", "doc_id", "line", "elements"]
+
+    def counted(rows: pa.Table) -> pa.RecordBatch:
+        second, cls, doc_id, line = (rows.column(k).to_numpy() for k in names[3:7])
+        elements = [np.asarray(x.values) for x in rows.column("elements").combine_chunks()]
+        order = np.lexsort((line, doc_id))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (doc_id[order][1:] != doc_id[order][:-1]) | (line[order][1:] != line[order][:-1])
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.cumsum(new)
+        degree, later = _linked(rows.column("word")[0].as_py(), second.astype(bool), at, elements, percent)
+        used = degree > 0
+        return pa.RecordBatch.from_arrays([pa.array(cls[used]), pa.array(degree[used]), pa.array(later[used])], names=["class", "degree", "later"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if held and any(held[0].column(k)[0].as_py() != keys[x, k] for k in range(3)):
+                    yield counted(pa.Table.from_batches(held))
+                    held = []
+                if y > x:
+                    held.append(batch.slice(x, y - x))
+        if held:
+            yield counted(pa.Table.from_batches(held))
+        common.release()
+
+    return dealt.select(*names).mapInArrow(run, "class long, degree long, later boolean")
+
+
+def _matched(met: DataFrame, firsts: DataFrame, bodies: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    """Met pairs and large buckets -> class, degree (other classes that match), later (whether one of them is seen before it)."""
+    ranges = max(1, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = common.written(met.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    large = common.written(met.filter("b IS NULL").select("word", F.col("a").alias("class")).distinct(), "line-buckets-large")
+    used = common.written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select(F.col("class").alias("id"))).distinct(), "line-ids")
     lines = common.written(firsts.withColumnRenamed("class", "id").join(common.small_side(used), "id").select("id", "first.*"), "line-firsts")
-    links = common.written(minhash._verified(pairs, _sets(bodies, lines), percent), "line-links")
+    sets = _sets(bodies, lines, rarity)
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("elements").alias(f"e{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.array_intersect("ea", "eb"))
+    shared, total = F.size("common").cast("long"), (F.size("ea") + F.size("eb")).cast("long")
+    links = both.filter(F.lit(100) * shared >= F.lit(percent) * (total - shared)).select("a", "b", F.element_at("common", 1).alias("word"))
+    # those of a large bucket are counted there
+    links = common.written(links.join(common.small_side(common.written(large.select("word").distinct(), "line-words")), "word", "left_anti").select("a", "b"), "line-links")
     at = lambda s: lines.select(F.col("id").alias(s), F.struct("doc_id", "line").alias(f"at_{s}"))
     ordered = links.join(common.small_side(at("a")), "a").join(common.small_side(at("b")), "b")
-    sides = ordered.select(F.explode(F.array(*(F.struct(F.col(x).alias("class"), (F.col(f"at_{x}") > F.col(f"at_{y}")).alias("later")) for x, y in ("ab", "ba")))).alias("s"))
-    return common.written(sides.groupBy("s.class").agg(F.count("*").alias("degree"), F.max("s.later").alias("later")), "line-degrees")
+    sides = ordered.select(F.explode(F.array(*(F.struct(F.col(x).alias("class"), F.lit(1).cast("long").alias("degree"), (F.col(f"at_{x}") > F.col(f"at_{y}")).alias("later")) for x, y in ("ab", "ba")))).alias("s"))
+    counted = _counted(_split(large, lines, sets, ranges), percent)
+    return sides.select("s.*").union(counted).groupBy("class").agg(F.sum("degree").alias("degree"), F.max("later").alias("later"))
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -295,23 +388,26 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     n_links sums over the document's lines the number of classes other than their own that match them, earlier or later.
     """
-    spark = docs.sparkSession
     bodies = _bodies(docs)
     keyed = common.written(_keyed(bodies), "lines")
     rarity = _rarity(keyed)
-    lines = keyed.filter("doc_id IS NOT NULL")
-    firsts = common.written(lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-classes")
+    lines = keyed.filter("doc_id IS NOT NULL").select("doc_id", "line", "class")
+    firsts = common.written(lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")), "line-classes")
 
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     entries = _prefixes(bodies, rarity, percent).repartition(ranges, "word").sortWithinPartitions("word")
     met = common.written(_met(entries, percent), "line-buckets")
-    large = met.filter("b IS NULL").select("word", F.col("a").alias("class"), "low", "high", "n", "place")
-    pairs = met.filter("b IS NOT NULL").select("a", "b").union(_met(_split(large, ranges), percent, split=True).select("a", "b"))
-    links = _matched(pairs, firsts, bodies, percent).withColumnRenamed("class", "l_class")
-
-    firsts = firsts.join(links, F.col("class") == F.col("l_class"), "left").select(F.col("class").alias("f_class"), "first", F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    judged = lines.join(firsts, lines["class"] == firsts["f_class"]).select(
-        "doc_id", "line", "degree", (F.col("later") | (F.struct("doc_id", "line") > F.col("first"))).alias("gone"), F.col("first.doc_id").alias("class_doc")
+    links = _matched(met, firsts.select("class", "first"), bodies, rarity, percent)
+
+    # classes of one line without links need no look
+    judging = firsts.filter("times > 1").select("class", "first").join(links, "class", "full_outer").withColumnRenamed("class", "j_class")
+    judging = common.small_side(common.written(judging, "line-judging"))
+    judged = lines.join(judging, lines["class"] == judging["j_class"], "left").select(
+        "doc_id",
+        "line",
+        F.coalesce("degree", F.lit(0)).alias("degree"),
+        (F.coalesce("later", F.lit(False)) | F.coalesce(F.struct("doc_id", "line") > F.col("first"), F.lit(False))).alias("gone"),
+        F.coalesce("first.doc_id", "doc_id").alias("class_doc"),
     )
     return judged.groupBy("doc_id").agg(
         F.countDistinct("line").cast("long").alias("n_lines"),
@@ -335,7 +431,7 @@ def deduplicated(docs: DataFrame, percent: int = 80, drop_emptied: bool = True)
     names, text_at, chars_at = docs.columns, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in common.slices(batches, text_at):
             columns = batch.columns[:-1]
             texts, sizes = columns[text_at].to_pylist(), None if chars_at is None else columns[chars_at].to_pylist()
             for row, cut_lines in enumerate(batch.columns[-1].to_pylist()):
@@ -348,6 +444,7 @@ def deduplicated(docs: DataFrame, percent: int = 80, drop_emptied: bool = True)
             if sizes is not None:
                 columns[chars_at] = pa.array(sizes, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        common.release()
 
     # by place: the columns of docs may have any names
     return joined.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)], cut["cut_lines"].alias("gone")).mapInArrow(run, docs.schema)

@@ -16,7 +16,8 @@ Where the model was built by merging pairs, its scores are ranks, and the best s
 merging gives.
 
 Defined results: null texts are empty; an empty text has no pieces and one segmentation of score 0; ties go to the segmentation found
-first, which is the same on every run; rows keep their multiplicity, null ids included; an empty table gives no rows.
+first, which is the same on every run; texts of any length are encoded whole; rows keep their multiplicity, null ids included; columns other than doc_id
+and text are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import common, words
 
 Segmentation = tuple[float, tuple[int, ...]]
 
@@ -45,9 +46,7 @@ def _rolled(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 class _PieceTable:
-    """Hashes of the pieces of one length: two slots each are looked at, by different bits of the hash."""
-
-    bits = 17
+    """Hashes of the pieces of one length: up to three slots each are looked at, by different bits of the hash; as many bits as it takes."""
 
     def __init__(self, pieces: list[tuple[str, int, float]]) -> None:
         codes = np.array([list(map(ord, p)) for p, _, _ in pieces], dtype=np.uint64)
@@ -56,16 +55,17 @@ class _PieceTable:
             hashes = _rolled(hashes, codes[:, k])
         self.ids = np.array([x[1] for x in pieces])
         self.scores = np.array([x[2] for x in pieces])
-        self.hashes, left, self.slots = hashes, np.arange(len(pieces)), []
-        for shift in (64 - self.bits, 64 - 2 * self.bits, 64 - 3 * self.bits):
-            slot, table = self._slot(hashes[left], shift), np.zeros(1 << self.bits, dtype=np.int32)
-            table[slot] = left
-            self.slots.append((shift, table))
-            left = left[table[slot] != left]
-            if not len(left):
-                break
-        if len(left):
-            raise ValueError("pieces of one length collide in all slots")
+        self.hashes, left = hashes, np.arange(len(pieces))
+        for self.bits in range(max(8, 2 + len(pieces).bit_length()), 22):
+            left, self.slots = np.arange(len(pieces)), []
+            for shift in (64 - self.bits, 64 - 2 * self.bits, 64 - 3 * self.bits):
+                slot, table = self._slot(hashes[left], shift), np.zeros(1 << self.bits, dtype=np.int32)
+                table[slot] = left
+                self.slots.append((shift, table))
+                left = left[table[slot] != left]
+                if not len(left):
+                    return
+        raise ValueError("two pieces have the same hash")
 
     def _slot(self, hashes: np.ndarray, shift: int) -> np.ndarray:
         return ((hashes * _SPREAD >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -85,7 +85,7 @@ class _PieceTable:
 class PieceLattice:
     """Pieces and scores of a model; N-best of parts and of texts."""
 
-    limit = 250_000
+    limit = 150_000
     unknown_penalty = 10.0
 
     def __init__(self, model_path: str) -> None:
@@ -248,7 +248,7 @@ class PieceLattice:
             by_size.setdefault(len(p) if len(p) <= 32 and self.single.issuperset(p) else 0, []).append(k)
         ids: list[bytes] = [b""] * len(parts)
         numbers = np.empty((2, len(parts)))
-        for size, group in by_size.items():
+        for size, group in ((s, g[first : first + 4000]) for s, g in by_size.items() for first in range(0, len(g), 4000)):
             own = [parts[k] for k in group]
             found = self._many(own) if size else tuple(zip(*map(self._best_and_gap, own), strict=True))
             for k, x in zip(group, found[0], strict=True):
@@ -334,14 +334,17 @@ class PieceLattice:
                         heapq.heappush(agenda, (PieceLattice._loss(choices, new), new))
         return out
 
-    def encode(self, bodies: list[bytes], n: int) -> list[tuple[bytes, list[float]]]:
-        """For each text (UTF-8): ids of the best segmentation (little-endian int32) and the scores of the n best.
+    def encode(self, bodies: list[bytes], n: int) -> list[tuple[list[bytes], list[float]]]:
+        """For each text (UTF-8): ids (little-endian int32) and scores of the n best segmentations, best first.
 
         Texts that are words with one space or line feed between any two go by their words, all of a batch at once.
         """
         units = words.Units(bodies)
         regular = units.regular if self.cut_spaces and self.cut_feeds else np.zeros(len(bodies), dtype=bool)
-        places = self.known.places(units, lambda new: self._found(units, new)) if len(units.keys) and regular.any() else np.empty(0, dtype=np.int64)
+        places = np.empty(0, dtype=np.int64)
+        if len(units.keys) and regular.any():
+            places, clashes = self.known.places(units, lambda new: self._found(units, new))
+            regular = units.without(clashes)
         raw = self.known.ids(places).tobytes()
         ends = np.concatenate([[0], np.cumsum(self.known.size[places])]) * 4
         scores, gaps = self.known.numbers[:, places]
@@ -355,50 +358,86 @@ class PieceLattice:
                     word = units.joined[units.starts[first + at] : units.ends[first + at]].decode()
                     return word if units.kind[first + at] == 2 else f" {word}"
 
-                ids, best = raw[ends[x] : ends[y]], float(totals[y] - totals[x])
-                choices, _ = self._choices(gaps[x:y], part, n)
+                ids, best, bounds = raw[ends[x] : ends[y]], float(totals[y] - totals[x]), ends[x : y + 1] - ends[x]
+                choices, order = self._choices(gaps[x:y], part, n)
             else:
                 parts = self.parts(body.decode())
                 found = list(map(self.part, parts))
-                ids, best = b"".join([f[0] for f in found]), float(sum(f[1] for f in found))
-                choices, _ = self._choices(np.array([f[2] for f in found]), parts.__getitem__, n)
-            out.append((ids, [best - self._loss(choices, picked) for picked in self._combined(choices, n)]))
+                ids, best, bounds = b"".join([f[0] for f in found]), float(sum(f[1] for f in found)), np.cumsum([0, *(len(f[0]) for f in found)])
+                choices, order = self._choices(np.array([f[2] for f in found]), parts.__getitem__, n)
+            picks = self._combined(choices, n)
+            out.append(([ids, *(self._replaced(ids, bounds, order, choices, p) for p in picks[1:])], [best - self._loss(choices, p) for p in picks]))
         return out
 
+    @staticmethod
+    def _replaced(ids: bytes, bounds: np.ndarray, order: list[int], choices: list[list[Segmentation]], picked: tuple[int, ...]) -> bytes:
+        """The ids of the best segmentation with other segmentations of some parts."""
+        out, at = [], 0
+        for k, options, pick in zip(order, choices, picked, strict=True):
+            if pick:
+                out += [ids[at : bounds[k]], np.array(options[pick][1], dtype="<i4").tobytes()]
+                at = bounds[k + 1]
+        return b"".join([*out, ids[at:]])
+
     def decode(self, ids: list[int]) -> str:
         """The text of any ids; undecodable bytes become U+FFFD."""
         whole = b"".join(map(self.surface.__getitem__, ids))
         return whole[1:].decode(errors="replace") if whole.startswith(b" ") else whole.decode(errors="replace")
 
 
-FIELDS = "doc_id long, n_chars long, n_tokens long, ids array<int>, ids_crc32 long, score double, nbest_scores array<double>, decoded_ok boolean"
+FIELDS = "doc_id long, n_chars long, n_tokens long, ids array<int>, ids_crc32 long, score double, nbest_scores array<double>, nbest_crc32 array<long>, decoded_ok boolean"
+
+
+def _arrays(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32()))
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
 
 
 def encoded(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """FIELDS for each row of docs(doc_id, text): ids of the best segmentation, scores of the n best, and whether decoding the ids gives the text."""
+    """FIELDS for each row of docs(doc_id, text): ids of the best segmentation, scores and sums of the ids of the n best, and whether decoding the best gives the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = PieceLattice(model_path)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                rows = batch.slice(first, 500)
-                bodies = rows.column(1).to_pylist()
-                texts = [b.decode() for b in bodies]
-                both = lattice.encode(bodies, n)
-                ids = [b for b, _ in both]
-                sizes = np.array([len(b) // 4 for b in ids], dtype=np.int64)
-                flat = np.frombuffer(b"".join(ids), dtype="<i4")
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                good = [lattice.decode(flat[offsets[k] : offsets[k + 1]].tolist()) == t for k, t in enumerate(texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())),
-                        pa.array([zlib.crc32(b) for b in ids], pa.int64()), pa.array([s[0] for _, s in both], pa.float64()), pa.array([s for _, s in both], pa.list_(pa.float64())), pa.array(good, pa.bool_()),
-                    ],
-                    names=[f.split()[0] for f in FIELDS.split(", ")],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body")).mapInArrow(run, FIELDS)
+        for rows in common.slices(batches, 1, 500):
+            bodies = rows.column(1).to_pylist()
+            both = lattice.encode(bodies, n)
+            best = [b[0] for b, _ in both]
+            good = [lattice.decode(np.frombuffer(i, dtype="<i4").tolist()) == b.decode() for i, b in zip(best, bodies, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0), pa.array([len(b.decode()) for b in bodies], pa.int64()), pa.array([len(b) // 4 for b in best], pa.int64()), _arrays(best),
+                    pa.array([zlib.crc32(b) for b in best], pa.int64()), pa.array([s[0] for _, s in both], pa.float64()), pa.array([s for _, s in both], pa.list_(pa.float64())),
+                    pa.array([list(map(zlib.crc32, b)) for b, _ in both], pa.list_(pa.int64())), pa.array(good, pa.bool_()),
+                ],
+                names=[f.split()[0] for f in FIELDS.split(", ")],
+            )
+        del lattice
+        common.release()
+
+    return _bodies(docs).mapInArrow(run, FIELDS)
+
+
+def segmentations(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
+    """doc_id, rank (from 1), score, ids: the n best segmentations of each row of docs(doc_id, text), fewer where there are no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = PieceLattice(model_path)
+        for rows in common.slices(batches, 1, 200):
+            both = lattice.encode(rows.column(1).to_pylist(), n)
+            owner = np.repeat(np.arange(len(both)), [len(s) for _, s in both])
+            rank = [k + 1 for _, s in both for k in range(len(s))]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(pa.array(owner)), pa.array(rank, pa.int32()), pa.array([x for _, s in both for x in s], pa.float64()), _arrays([i for b, _ in both for i in b])],
+                names=["doc_id", "rank", "score", "ids"],
+            )
+        del lattice
+        common.release()
+
+    return _bodies(docs).mapInArrow(run, "doc_id long, rank int, score double, ids array<int>")
 
 
 def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
