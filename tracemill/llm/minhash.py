@@ -13,9 +13,9 @@
 Bands of 5 rows, 40 of them: a pair at the threshold of 0.8 goes unseen with probability (1 - 0.8**5)**40 = 1.3e-7.
 
 Defined results: null or wordless texts have an empty set and are linked with nothing; a text of fewer words than
-the width is one shingle; rows with the same doc_id are one vertex; a row with a null doc_id is kept and linked with
-nothing (component null); an empty table gives no rows; extra columns are ignored by ``near_duplicates`` and passed on by
-``deduplicated``.
+the width is one shingle; rows with the same doc_id are one vertex, so that all their texts are in one component; texts of any length are taken whole; a row with a null doc_id is kept and linked with
+nothing (component null); an empty table gives no rows; extra columns, whatever their names, are ignored by ``near_duplicates`` and passed on by
+``deduplicated``, which keeps all rows of a doc_id that stands for its component.
 """
 
 from __future__ import annotations
@@ -54,6 +54,8 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "k1", "k2", "keys"],
             )
+        numbers.clear()
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(run, schema)
 
@@ -68,6 +70,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(first, 64)
                 found = [shingles.shingle_set(t, width, numbers).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "elements"])
+        numbers.clear()
+        common.release()
 
     return docs.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))]))
 
@@ -90,6 +94,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
             counts += np.bincount((flat >> _SHIFT).astype(np.int64), minlength=COUNTERS)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["counter", "n"])
+        common.release()
 
     table = sets.select("elements").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(COUNTERS, dtype=np.int64)
@@ -116,6 +121,7 @@ def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
             if ids:
                 columns = [np.concatenate(x).astype(np.int64) for x in (elements, ids, components, sizes, places)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["element", "id", "component", "n", "place"])
+        common.release()
 
     return sets.select("id", "component", "elements").mapInArrow(run, "element long, id long, component long, n long, place long")
 
@@ -140,6 +146,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bodies = texts.withColumnRenamed("doc_id", "id").join(common.small_side(wanted), "id", "left_semi").select("id", F.col("text").cast("binary").alias("body"))
     sets = common.written(_sets(bodies, width).filter(F.size("elements") > 0), "sets")
     star_links = common.written(_verified(stars, sets, percent), "star-links")
+    # rows with the same doc_id and different texts: their classes are linked by the id
+    members = filled.select("doc_id", F.col("k1").alias("m1"), F.col("k2").alias("m2"))
+    of_doc = members.join(classes.select("k1", "k2", "class_id"), (F.col("m1") == F.col("k1")) & (F.col("m2") == F.col("k2"))).select("doc_id", "class_id")
+    lowest = of_doc.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("high")).filter("a < high").select("doc_id", "a")
+    lowest = common.written(lowest, "repeated-ids")
+    same_id = of_doc.join(common.small_side(lowest), "doc_id").filter("class_id != a").select("a", F.col("class_id").alias("b")).distinct()
+    star_links = star_links.union(common.written(same_id, "same-id"))
     found = components.components(star_links)
 
     # what is left: classes of buckets that hold several components, joined by the rarest shingles of their sets
