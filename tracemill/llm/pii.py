@@ -12,7 +12,8 @@ Cards, IBANs and phones may run on into what follows: at each place the longest
 reach into a valid number of another kind if it can end before it, and part of a card gives way to a longer valid card that starts within.
 
 Defined results: null texts stay null; texts without findings are unchanged; values that fail validation stay; where findings
-overlap, the first kind in KINDS that matches at the leftmost place wins; rows keep their multiplicity and extra columns are left out.
+overlap, the first kind in KINDS that matches at the leftmost place wins; texts of any length are searched whole; rows keep their multiplicity; columns other
+than doc_id and text are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -144,18 +145,35 @@ def _address(key: bytes, text: str) -> str | None:
 
 
 def _date(key: bytes, text: str) -> str | None:
+    """Days are permuted again until the image is written with as many digits and read in the same order: 25/12/1999, which is no date by month first, is one by day first."""
     mark = next(c for c in text if not c.isdigit())
     parts = text.split(mark)
-    year, month, day = (parts[0], parts[1], parts[2]) if mark == "-" else (parts[2], *((parts[0], parts[1]) if mark == "/" else (parts[1], parts[0])))
+    orders = ("ymd",) if mark == "-" else ("mdy", "dmy") if mark == "/" else ("dmy",)
+    order, ordinal = next(((o, n) for o in orders if (n := _ordinal(dict(zip(o, parts, strict=True)))) is not None), (None, None))
+    if order is None:
+        return None
+    short = any(len(p) == 1 for p in parts)
+
+    def written(ordinal: int) -> list[str]:
+        day = datetime.date.fromordinal(ordinal)
+        of = {"y": f"{day.year:04d}", "m": str(day.month), "d": str(day.day)}
+        return [of[o] if o == "y" or short else of[o].zfill(2) for o in order]
+
+    if written(ordinal) != parts:  # zeros before some parts and not before others
+        return None
+    while True:
+        ordinal = DAY_ZERO + permuted(key, "date", ordinal - DAY_ZERO, DAY_END - DAY_ZERO + 1)
+        new = written(ordinal)
+        if [len(x) for x in new] == [len(x) for x in parts] and (order == orders[0] or int(new[0]) > 12):
+            return mark.join(new)
+
+
+def _ordinal(parts: dict[str, str]) -> int | None:
     try:
-        ordinal = datetime.date(int(year), int(month), int(day)).toordinal()
+        ordinal = datetime.date(int(parts["y"]), int(parts["m"]), int(parts["d"])).toordinal()
     except ValueError:
         return None
-    if not DAY_ZERO <= ordinal <= DAY_END:
-        return None
-    new = datetime.date.fromordinal(DAY_ZERO + permuted(key, "date", ordinal - DAY_ZERO, DAY_END - DAY_ZERO + 1))
-    y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-    return mark.join((y, m, d) if mark == "-" else (m, d, y) if mark == "/" else (d, m, y))
+    return ordinal if DAY_ZERO <= ordinal <= DAY_END else None
 
 
 def _phone(key: bytes, text: str) -> str | None:
