@@ -5,7 +5,8 @@ Statistics are built-in column expressions over the whole text. Shallow boosted
 them; each kept rule becomes one boolean column expression, and the score is the logistic of their weighted sum.
 
 Defined results: null text counts as empty and gets a score too; a null id is not held out; without labels of both
-classes the score is the prior; rows keep their multiplicity; ids labelled twice take the larger label.
+classes the score is the prior; rows keep their multiplicity; ids labelled twice take the larger label; texts of any length are
+scored whole; columns other than doc_id and text are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ the score falling in the share of symbols, exclamation marks, capitals, repeated
 the tasks, where batches of documents are scored at once.
 
 Defined results: null text has no words, thus ``base_failed``; without labels of both classes the trees are a constant
-and only ``base_failed`` decides; rows keep their multiplicity, null ids included.
+and only ``base_failed`` decides; rows keep their multiplicity, null ids included; a score at the threshold passes; ids labelled twice take the larger
+label; texts of any length are counted whole; columns other than doc_id and text are left out by ``apply``, whatever their names, and kept by ``kept_documents``; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -102,6 +104,7 @@ def apply(docs: DataFrame, model: trees.Trees, threshold: float = 0.5) -> DataFr
                 [batch.column(0), *(pa.array(counts[:, k]) for k in range(len(BASE))), pa.array(score), pa.array(failed), pa.array(kept)],
                 names=["doc_id", *BASE, "score", "base_failed", "kept"],
             )
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(run, schema)
 
@@ -116,5 +119,6 @@ def kept_documents(docs: DataFrame, model: trees.Trees, threshold: float = 0.5)
             score = model.score(np.array([f for _, f in both], dtype=float).reshape(-1, len(FEATURES)))
             good = (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0]) & (score >= threshold)
             yield batch.filter(pa.array(good))
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)
