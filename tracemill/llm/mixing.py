@@ -7,13 +7,15 @@ is taken once, and a rest. The rest is a weighted sample without replacement: do
 ascending order of the key until their words reach the rest. The document that crosses the boundary is taken if
 that lands nearer to the rest.
 
-Hot sources: a source's keys are cut into ranges (``bins`` of them). Words per range are summed first, with map-side
+Hot sources: a source's keys are cut into ranges, ``bins`` to each factor of two: whatever the weights, at most 0.255 / bins of a
+source's rows are expected in one. Words per range are summed first, with map-side
 partial sums; ranges get their base from a prefix sum over that small table; only rows within one range are sorted
 together. No task holds a source.
 
 Defined results: null text counts 0 words and such documents follow the epochs like all others; null source is a
-source of its own, last in order; an empty table gives no rows; repeated ids tie on the key, broken by size and then by
-position-free equality (they are interchangeable); columns of the input that clash with those made here are replaced.
+source of its own, last in order; texts of any length are counted whole; an empty table gives no rows; rows with the same id tie on the
+uniform number, and on the key if size and symbols agree, which size and then nothing breaks: such rows are interchangeable, and ``mixed_documents`` gives
+them as many copies in all as the plan does; columns of the input that clash with those made here are left out of the plan and kept in the mix.
 """
 
 from __future__ import annotations
@@ -69,14 +71,23 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", bins: int = 1024) -> DataFrame:
+def mark(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", bins: int = 256) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, source, target, copies, taken; one row per document."""
+    return _plan(docs, weights, share, max_epochs, seed, bins).drop("mark")
+
+
+def _plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", bins: int = 256) -> DataFrame:
+    """The same with a mark of each text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), symbol_count(text).alias("symbols"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), symbol_count(text).alias("symbols"), mark(F.col("text")).alias("mark"))
     weight = (F.col("size") + 1) / (F.col("size") + 1 + 4 * F.col("symbols"))
-    # u ** (1 / w), the original form of the key, is in (0, 1) and falls where -ln(u) / w rises
-    keyed = sized.withColumn("key", -F.log(uniform(seed, F.col("doc_id"))) / weight).withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int"))
-    keyed = common.written(keyed.select("doc_id", "source", "size", "key", "bin"), "mix")
+    # u ** (1 / w), the original form of the key, falls where -ln(u) / w rises
+    keyed = sized.withColumn("key", -F.log(uniform(seed, F.col("doc_id"))) / weight).withColumn("bin", F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * bins).cast("int"))
+    keyed = common.written(keyed.select("doc_id", "source", "size", "key", "bin", "mark"), "mix")
     ranges = keyed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     sizes = ranges.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     of_source = targets(sizes, weights, share, max_epochs).select(
@@ -95,15 +106,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     before = F.col("base") + F.col("upto") - F.col("size")
     extra = F.when((rest > 0) & (before + F.col("size") / 2.0 <= rest), 1).otherwise(0)
     return rows.withColumn("copies", (F.col("epochs") + extra).cast("long")).select(
-        "doc_id", "size", "source_size", "source", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "size", "source_size", "source", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "mark"
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it was taken, with the columns of docs."""
-    plan = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("copies").alias("m_copies")).groupBy("m_id").agg(F.max("m_copies").alias("m_copies"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["m_id"]))
-    return joined.withColumn("m_turn", F.explode(F.sequence(F.lit(1), plan["m_copies"].cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: every document as often as it was taken, with the columns of docs.
+
+    Rows that agree in id, source and text share their plan: where it gives some of them one copy more, which is so for
+    those at a source's boundary alone, they are numbered, and the first ones get it.
+    """
+    names = docs.columns
+    rows = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)])
+    own = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text")}
+    rows = rows.select("*", own["doc_id"].alias("d_id"), own["source"].cast("string").alias("d_source"), mark(own["text"]).alias("d_mark"))
+    plan = _plan(docs, **options).groupBy("doc_id", "source", "mark").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("copies"), F.count("*").alias("times"))
+    plan = common.written(plan.filter("most > 0"), "mix-plan")
+    joined = lambda plan: rows.join(plan, F.col("d_id").eqNullSafe(F.col("doc_id")) & F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_mark") == F.col("mark")))
+    even = joined(plan.filter("least = most")).withColumn("turns", F.col("least"))
+    odd = joined(common.small_side(plan.filter("least < most")))
+    number = F.row_number().over(W.partitionBy("d_id", "d_source", "d_mark").orderBy(*[f"c{k}" for k, c in enumerate(names) if c in own]))
+    odd = odd.withColumn("turns", F.col("least") + (number <= F.col("copies") - F.col("least") * F.col("times")).cast("long"))
+    both = even.select(*rows.columns, "turns").union(odd.select(*rows.columns, "turns")).filter("turns > 0")
+    return both.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("turns").cast("int")))).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 
 
 MIX_SQL = r"""
