@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import frames
+from .scalars import let
 
 #: What marks walls, bad outcomes and prompts in lower-cased status text.
 WALL_MARKERS = ("wall", "solid stone")
@@ -106,11 +107,13 @@ def is_map_row(line: Column) -> Column:
 
 def map_tiles(frame: Column) -> Column:
     """array<string> row:col:char of the tiles between the lines MAP: and MESSAGE: of a frame."""
-    all_lines = frames.lines(F.coalesce(frame, F.lit("")))
+    return let(frames.lines(F.coalesce(frame, F.lit(""))), _tiles)
+
+
+def _tiles(all_lines: Column) -> Column:
     start = F.array_position(all_lines, "MAP:").cast("int")
-    rest = F.slice(all_lines, start + 1, F.size(all_lines))
-    stop = F.array_position(rest, "MESSAGE:").cast("int")
-    own = F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest)
+    placed = let(F.slice(all_lines, start + 1, F.size(all_lines)), lambda x: F.struct(x.alias("lines"), F.array_position(x, "MESSAGE:").cast("int").alias("k")))
+    own = let(placed, lambda s: F.when(s["k"] > 0, F.slice(s["lines"], 1, s["k"] - 1)).otherwise(s["lines"]))
     found = F.transform(
         own,
         lambda line, r: F.when(

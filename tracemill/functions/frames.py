@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import let
+
 #: Fixed values of the frame format.
 SECTIONS = ("MAP:", "MESSAGE:", "BLSTATS:", "INVENTORY:")
 OBSERVATION_MARKER = "Current observation:\n"
@@ -15,8 +17,7 @@ BLANKS = r"^\s+|\s+$"
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line, an empty text has none."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def strip(text: Column) -> Column:
@@ -70,13 +71,13 @@ def frame_text(observation: Column, *, compact: bool = False, message_limit: int
 
 def section(text: Column, header: str) -> Column:
     """Lines after the first line equal to header, up to the next line in capitals that ends with a colon; '' if there is none."""
-    all_lines = lines(text)
-    start = F.array_position(all_lines, header).cast("int")
-    rest = F.slice(all_lines, start + 1, F.size(all_lines))
     is_header = lambda x: x.endswith(":") & (F.upper(x) == x) & (F.lower(x) != x)
-    ends = F.filter(F.transform(rest, lambda x, k: F.when(is_header(x), k)), lambda k: k.isNotNull())
-    own = F.when(F.size(ends) > 0, F.slice(rest, 1, F.get(ends, F.lit(0)))).otherwise(rest)
-    return F.when(start > 0, F.array_join(own, "\n")).otherwise("")
+
+    placed = let(lines(text), lambda x: F.struct(x.alias("lines"), F.array_position(x, header).cast("int").alias("k")))
+    rest = let(placed, lambda s: F.when(s["k"] > 0, F.slice(s["lines"], s["k"] + 1, F.size(s["lines"]))))
+    placed = let(rest, lambda x: F.struct(x.alias("lines"), F.array_position(F.transform(x, is_header), True).cast("int").alias("k")))
+    own = let(placed, lambda s: F.when(s["k"] > 0, F.slice(s["lines"], 1, s["k"] - 1)).otherwise(s["lines"]))
+    return F.coalesce(F.array_join(own, "\n"), F.lit(""))
 
 
 def tolerant_section(text: Column, name: str) -> Column:
@@ -90,7 +91,7 @@ def tolerant_section(text: Column, name: str) -> Column:
             F.when(~strip(x).isin(*SECTIONS) & (acc["at"] == f"{name}:"), F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"),
         ),
     )
-    return F.when(tagged["seen"], F.array_join(tagged["out"], "\n"))
+    return let(tagged, lambda t: F.when(t["seen"], F.array_join(t["out"], "\n")))
 
 
 def map_cells(text: Column) -> Column:
@@ -102,18 +103,24 @@ def map_cells(text: Column) -> Column:
     return F.flatten(rows)
 
 
+def map_grid(text: Column) -> Column:
+    """array<array<string>> of the characters of the MAP section by line."""
+    return F.transform(lines(section(text, "MAP:")), lambda line: F.filter(F.split(line, ""), lambda c: c != ""))
+
+
 def player_position(cells: Column) -> Column:
     """struct<row, col> of the only '@', NULL if there are none or several."""
-    found = F.filter(cells, lambda c: c["char"] == "@")
-    return F.when(F.size(found) == 1, F.struct(found[0]["row"].alias("row"), found[0]["col"].alias("col")))
+    return let(F.filter(cells, lambda c: c["char"] == "@"), lambda found: F.when(F.size(found) == 1, F.struct(found[0]["row"].alias("row"), found[0]["col"].alias("col"))))
 
 
 def blstats_values(text: Column) -> Column:
     """array<string> of the BLSTATS section: JSON, or a Python literal with single quotes, None, True and False; else NULL."""
-    own = strip(section(text, "BLSTATS:"))
-    literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(own, "'", '"'), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    parsed = F.coalesce(F.from_json(own, "array<string>"), F.from_json(literal, "array<string>"))
-    return F.when((own != "") & (own != "<missing>") & own.startswith("["), parsed)
+
+    def parsed(own: Column) -> Column:
+        literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(own, "'", '"'), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+        return F.when((own != "") & (own != "<missing>") & own.startswith("["), F.coalesce(F.from_json(own, "array<string>"), F.from_json(literal, "array<string>")))
+
+    return let(strip(section(text, "BLSTATS:")), parsed)
 
 
 def normalized_message(text: Column) -> Column:
@@ -189,7 +196,12 @@ def sample_text(text: Column, limit: int = 2000) -> Column:
 
 def frame_validation(frame: Column, truth: Column | None = None) -> Column:
     """Struct of checks on a frame: sections, player glyph, 27 numeric BLSTATS; against a true frame, exactness by section."""
-    own = {n: tolerant_section(frame, n) for n in ("MAP", "MESSAGE", "BLSTATS", "INVENTORY")}
+    taken = F.struct(*[tolerant_section(frame, n).alias(n) for n in ("MAP", "MESSAGE", "BLSTATS", "INVENTORY")])
+    return let(taken, lambda own: _validated(own, frame, truth))
+
+
+def _validated(own: Column, frame: Column, truth: Column | None) -> Column:
+    own = {n: own[n] for n in ("MAP", "MESSAGE", "BLSTATS", "INVENTORY")}
     missing = F.filter(F.array(*[F.when(v.isNull(), F.lit(n)) for n, v in own.items()]), lambda x: x.isNotNull())
     map_lines = F.size(F.filter(F.coalesce(lines(own["MAP"]), F.array().cast("array<string>")), lambda x: strip(x) != ""))
     first = F.get(F.filter(F.transform(lines(own["BLSTATS"]), strip), lambda x: x != ""), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,10 +64,17 @@ def depth_bucket(depth: Column) -> Column:
 
 def int_list(text: Column) -> Column:
     """Integers of a comma-separated text, blanks skipped; NULL entries where one is no integer."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: x.try_cast("int"))
 
 
+def name_list(text: Column, known: list[str]) -> Column:
+    """Distinct names of a comma-separated text, in order; an unknown one or none at all is an error."""
+    names = F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
+    unknown = F.array_except(names, F.array(*map(F.lit, known)))
+    return F.when((F.size(names) > 0) & (F.size(unknown) == 0), names).otherwise(F.raise_error(F.concat(F.lit("unknown or no names: "), text)))
+
+
 def list_text(values: Column) -> Column:
     """[1, 2, 3]"""
     return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: x.cast("string")), ", "), F.lit("]"))
@@ -75,6 +84,11 @@ def action_text(action_id: Column) -> Column:
     return F.when(action_id.isNotNull(), F.format_string('{"action_id": %d}', action_id))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def element(values: Column, index: int) -> Column:
     """The element at a 0-based index, NULL outside."""
     return F.get(values, F.lit(index))

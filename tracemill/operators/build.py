@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import action_text, list_text
-from . import history
+from . import history, labels
 
 #: Own version of the row format; prompts and the length limit are fixed values.
 ROW_VERSION = "tracemill.row.v1"
@@ -55,9 +55,15 @@ def accepted_by_task(rows: DataFrame) -> DataFrame:
 
 
 def capped(rows: DataFrame, limit: int, *, groups: Sequence[str] = ("split", "task"), order: Sequence[str] = ("ordinal",)) -> DataFrame:
-    """rows with ``over_quota``: whether they come after the first ``limit`` accepted rows of their split and task."""
+    """rows with ``over_quota``: whether they come after the first ``limit`` accepted rows of their split and task. ``order`` tells rows apart.
+
+    The last row within a quota is found by a bounded top-k of each group; then rows are compared with it, and no group is sorted.
+    """
     w = W.partitionBy(*groups).orderBy(*order)
-    return rows.withColumn("over_quota", F.row_number().over(w) > limit)
+    first = rows.select(*groups, F.struct(*order).alias("_at"), F.row_number().over(w).alias("_k")).filter(F.col("_k") <= limit)
+    last = first.groupBy(*groups).agg(F.max("_at").alias("_last"), F.count("*").alias("_n")).select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(groups)], "_last", "_n")
+    joined = rows.join(last, [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(groups)])
+    return joined.withColumn("over_quota", (F.col("_n") == limit) & (F.struct(*order) > F.col("_last"))).select(*rows.columns, "over_quota")
 
 
 def global_cap(rows: DataFrame, limit: int, *, order: Sequence[str] = ("ordinal",)) -> DataFrame:
@@ -75,20 +81,20 @@ def messages(system: str, user: Column, assistant: Column) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit(system)), ("user", user), ("assistant", assistant))])
 
 
-def policy_row(rows: DataFrame, dataset: str, mode: str, valid_ids: Sequence[int], shown: Column) -> DataFrame:
+def policy_row(rows: DataFrame, dataset: str, mode: str, valid_ids: Sequence[int], shown: Column, metadata: Column | None = None) -> DataFrame:
     """Rows of the policy task. rows has split, gameid, step, action_id, observation_text; ``shown`` is the history that the mode shows."""
     ids = F.array(*[F.lit(int(i)) for i in valid_ids])
     user = history.prompt(F.concat(F.lit("Allowed action_ids: "), list_text(ids)), F.col("observation_text"), shown)
-    return _row(rows, dataset, mode, "policy_action", messages(POLICY_PROMPT, user, action_text(F.col("action_id"))))
+    return _row(rows, dataset, mode, "policy_action", messages(POLICY_PROMPT, user, action_text(F.col("action_id"))), metadata)
 
 
-def frame_row(rows: DataFrame, dataset: str, mode: str, shown: Column) -> DataFrame:
+def frame_row(rows: DataFrame, dataset: str, mode: str, shown: Column, metadata: Column | None = None) -> DataFrame:
     """Rows of the next-frame task; the frame is cut at 4,096 characters."""
     user = history.prompt(F.concat(F.lit("Action taken: "), action_text(F.col("action_id"))), F.col("observation_text"), shown)
-    return _row(rows, dataset, mode, "next_frame", messages(FRAME_PROMPT, user, F.substring("next_text", 1, MAX_FRAME_CHARACTERS)))
+    return _row(rows, dataset, mode, "next_frame", messages(FRAME_PROMPT, user, F.substring("next_text", 1, MAX_FRAME_CHARACTERS)), metadata)
 
 
-def _row(rows: DataFrame, dataset: str, mode: str, task: str, made: Column) -> DataFrame:
+def _row(rows: DataFrame, dataset: str, mode: str, task: str, made: Column, metadata: Column | None) -> DataFrame:
     sequence = F.col("sequence_id") if "sequence_id" in rows.columns else F.lit(None).cast("string")
     number = F.col("sequence_step") if "sequence_step" in rows.columns else F.lit(None).cast("int")
     return rows.select(
@@ -104,7 +110,77 @@ def _row(rows: DataFrame, dataset: str, mode: str, task: str, made: Column) -> D
         F.when(sequence.isNotNull(), F.coalesce(number, F.col("step"))).alias("sequence_step"),
         made.alias("messages"),
         F.col("action_id").alias("action_id"),
+        *([] if metadata is None else [metadata.alias("metadata")]),
+    )
+
+
+def pseudo_rows(rows: DataFrame, dataset: str, mode: str, valid_ids: Sequence[int], *, tasks: Sequence[str] = TASKS, token_budget: int = 2048) -> DataFrame:
+    """Rows of both tasks from frames with movement labels: rows(split, gameid, step, observation_text, next_text and labels.PSEUDO).
+
+    Steps without a label or a split give no rows and don't enter the history. ``metadata`` says where the label comes from.
+    """
+    labelled = rows.filter("split IS NOT NULL AND pseudo_action_id IS NOT NULL").withColumn("action_id", F.col("pseudo_action_id"))
+    items = history.with_history(labelled, game="gameid", order=["step"], items=["observation_text", "action_id"])
+    shown = history.for_mode(F.col("history"), mode, token_budget)
+    metadata = F.struct(
+        F.array(*[F.lit(int(i)) for i in valid_ids]).alias("valid_action_ids"),
+        F.lit(labels.LABEL_SOURCE).alias("label_source"),
+        F.lit(labels.LABEL_CONFIDENCE).alias("label_confidence"),
+        F.lit(labels.LABEL_REASON).alias("label_reason"),
+        *[F.col(c) for c in labels.PSEUDO if c != "pseudo_action_id"],
+        F.lit(False).alias("true_keypress_label_available"),
+    )
+    made = {"policy_action": lambda: policy_row(items, dataset, mode, valid_ids, shown, metadata), "next_frame": lambda: frame_row(items.filter("next_text IS NOT NULL"), dataset, mode, shown, metadata)}
+    return reduce(lambda a, b: a.unionByName(b), [made[t]() for t in tasks])
+
+
+def limit_contract(max_rows: int | None, limits: dict[str, int] | None) -> None:
+    """A build takes one limit over all rows or one for each split, all positive."""
+    if max_rows is not None and limits is not None:
+        raise ValueError("a build has max_rows or limits by split, not both")
+    if max_rows is not None and max_rows <= 0:
+        raise ValueError("max_rows must be positive")
+    if limits is not None and (set(limits) != set(SPLITS) or min(limits.values()) <= 0):
+        raise ValueError("each split needs a positive limit")
+
+
+def limit_status(counts: DataFrame, limits: dict[str, int], tasks: Sequence[str] = TASKS) -> DataFrame:
+    """counts(split, task, n) of acceptable rows against limits: row_limit, accepted, skipped, reached, and all_reached over all cells."""
+    limit_contract(None, limits)
+    grid = counts.sparkSession.createDataFrame([(s, t, limits[s]) for s in SPLITS for t in tasks], "split string, task string, row_limit int")
+    n = F.coalesce("n", F.lit(0))
+    told = grid.join(counts, ["split", "task"], "left").select(
+        "split", "task", "row_limit", F.least(n, "row_limit").cast("long").alias("accepted"), F.greatest(F.lit(0), n - F.col("row_limit")).cast("long").alias("skipped"), (n >= F.col("row_limit")).alias("reached")
+    )
+    return told.crossJoin(F.broadcast(told.agg(F.bool_and("reached").alias("all_reached"))))
+
+
+def required_limits(status: DataFrame) -> DataFrame:
+    """The same rows; a job over them fails where a limit isn't reached."""
+    return status.withColumn("reached", F.when(F.col("reached"), True).otherwise(F.raise_error(F.format_string("limit of %s %s not reached: %d of %d", "split", "task", "accepted", "row_limit"))))
+
+
+def write_dataset(rows: DataFrame, path: str, *, dataset_name: str, mode: str, env_id: str, label_source: str, actions: Sequence[tuple[int, str]], rejections: DataFrame | None = None, limits: dict[str, int] | None = None, max_rows: int | None = None) -> None:
+    """A dataset folder: rows by split and task, the split, action and rejection tables, sample rows and a manifest with counts."""
+    limit_contract(max_rows, limits)
+    spark = rows.sparkSession
+    if max_rows is not None:
+        rows = rows.orderBy("gameid", "step", "task").limit(max_rows)
+    if limits is not None:
+        number = F.row_number().over(W.partitionBy("split", "task").orderBy("gameid", "step"))
+        wanted = F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]), F.col("split"))
+        rows = rows.withColumn("_k", number).filter(F.col("_k") <= max(limits.values())).filter(F.col("_k") <= wanted).drop("_k")
+    rows.write.partitionBy("split", "task").json(f"{path}/rows")
+    written = spark.read.schema(rows.schema).json(f"{path}/rows")
+    written.select("split", "gameid").distinct().write.json(f"{path}/split_manifest")
+    written.filter("split = 'train'").orderBy("gameid", "step", "task").limit(10).write.json(f"{path}/sample_rows")
+    spark.createDataFrame([(env_id, k, i, n) for k, (i, n) in enumerate(actions)], "env_id string, ordinal int, action_id int, nle_action_name string").write.json(f"{path}/action_manifest")
+    (spark.createDataFrame([], "reason string, count bigint") if rejections is None else rejections).write.json(f"{path}/rejection_report")
+    counts = zero_filled(written.groupBy("split", "task").agg(F.count("*").alias("n")))
+    manifest = counts.agg(F.collect_list(F.struct("split", "task", "n")).alias("accepted_rows_by_split"), F.sum("n").alias("accepted_rows")).select(
+        F.lit(dataset_name).alias("dataset_name"), F.lit(mode).alias("mode"), F.lit(env_id).alias("env_id"), F.lit(label_source).alias("label_source"), "*"
     )
+    manifest.write.json(f"{path}/manifest")
 
 
 def zero_filled(counts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_bucket
+from ..functions.scalars import hash_bucket, rate
 
 #: Metrics in which lower is better, beside those that end in _mae.
 LOWER_IS_BETTER = ("next_frame_teacher_forced_mean_nll", "next_frame_teacher_forced_perplexity")
@@ -142,6 +142,24 @@ def shuffled_pairs(rows: DataFrame, *, group: Sequence[str], key: str, label: st
     return runs.join(partners, [*group, "_run"]).filter("_next IS NOT NULL").select(*rows.columns, F.col("_next.other_key").alias("other_key"), F.col("_next.other_label").alias("other_label"))
 
 
+def context_length(recorded: Column, user_text: Column) -> Column:
+    """How many items of history a prompt shows: as recorded, else the actions it names."""
+    return F.coalesce(recorded.cast("long"), F.regexp_count(user_text, F.lit("Previous action_id:")).cast("long"))
+
+
+def sensitivity(cases: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One row over cases(group, target, natural, shuffled predictions; shuffled NULL where a row has no partner): how far predictions depend on the current state."""
+    used = F.col("shuffled").isNotNull()
+    n = F.count_if(used)
+    share = lambda test: F.round(rate(F.count_if(used & test), n), 6)
+    key = F.struct(*group)
+    out = cases.agg(
+        F.count("*").alias("input_row_count"), n.alias("case_count"), F.countDistinct(key).alias("comparable_group_count"), F.countDistinct(F.when(used, key)).alias("used_group_count"),
+        share(F.col("natural") == F.col("target")).alias("natural_exact_match_rate"), share(F.col("shuffled") == F.col("target")).alias("shuffled_exact_match_rate"), share(F.col("natural") != F.col("shuffled")).alias("prediction_change_rate"),
+    )
+    return out.withColumns({"skipped_group_count": F.col("comparable_group_count") - F.col("used_group_count"), "dependence_gap": F.round(F.col("natural_exact_match_rate") - F.col("shuffled_exact_match_rate"), 6)})
+
+
 def flat_numbers(report: DataFrame) -> DataFrame:
     """path, value for every number and boolean of a one-row report, nested structs joined by slashes."""
     from pyspark.sql.types import BooleanType, NumericType, StructType

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import frames
+
 #: Items that a history holds, and feedback lines that a prompt shows.
 MAX_ITEMS = 16
 MAX_FEEDBACK_LINES = 6
+UNKNOWN = "<unknown>"
 
 
 def with_history(rows: DataFrame, *, game: str, order: Sequence[str], items: Sequence[str], alias: str = "history") -> DataFrame:
@@ -66,6 +69,16 @@ def feedback_text(feedback: Column) -> Column:
     return F.when(F.size(shown) > 0, F.concat_ws("\n", F.lit("Recent action feedback:"), F.array_join(F.transform(shown, line), "\n"))).otherwise("")
 
 
+def outcome_feedback(action_id: Column, observation: Column) -> Column:
+    """Feedback on an action from the observation after it, NULL without one; rewards and time are unknown to a replay."""
+    unknown = F.lit(UNKNOWN)
+    made = F.struct(
+        action_id.alias("action_id"), unknown.alias("reward"), unknown.alias("cumulative_reward"), frames.message_text(observation).alias("message"),
+        frames.blstat(observation, 10).alias("hp"), frames.blstat(observation, 12).alias("depth"), unknown.alias("game_time_advanced"),
+    )
+    return F.when(observation.isNotNull(), made)
+
+
 def with_feedback(observation_text: Column, feedback: Column) -> Column:
     own = feedback_text(feedback)
     return F.when(own == "", observation_text).otherwise(F.concat(own, F.lit("\n\nCurrent rendered observation:\n"), observation_text))

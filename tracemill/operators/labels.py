@@ -8,19 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import missing_as, rate
+from ..functions.scalars import let, missing_as, rate
 
 #: The player's glyph, and the direction of a move by (rows, columns).
 PLAYER_GLYPH = 64
 DIRECTIONS = {"N": (-1, 0), "NE": (-1, 1), "E": (0, 1), "SE": (1, 1), "S": (1, 0), "SW": (1, -1), "W": (0, -1), "NW": (-1, -1)}
 
 
+#: What a label of visible movement says about itself, and its columns.
+LABEL_SOURCE, LABEL_REASON, LABEL_CONFIDENCE = "pseudo_visible_player_delta", "single_visible_player_moved_one_cell", 1.0
+PSEUDO = ("pseudo_direction", "pseudo_action_id", "pseudo_action_name", "pseudo_key_label")
+
+
 def player_place(grid: Column) -> Column:
     """struct<row, col> of the player if the grid shows exactly one, else NULL."""
     places = F.flatten(
         F.transform(grid, lambda line, r: F.transform(F.filter(F.transform(line, lambda x, c: F.when(x == PLAYER_GLYPH, c)), lambda c: c.isNotNull()), lambda c: F.struct(r.alias("row"), c.alias("col"))))
     )
-    return F.when(F.size(places) == 1, places[0])
+    return let(places, lambda p: F.when(F.size(p) == 1, p[0]))
 
 
 def direction(before: Column, after: Column) -> Column:
@@ -36,7 +41,8 @@ def with_movement_labels(rows: DataFrame, actions: DataFrame, current: str = "ob
     """rows with pseudo_direction, pseudo_action_id, pseudo_action_name, pseudo_key_label; NULL where no label can be told."""
     by_name = actions.filter(F.col("nle_action_name").startswith("CompassDirection.")).groupBy(F.substring_index("nle_action_name", ".", -1).alias("_d"))
     moves = by_name.agg(F.min_by(F.struct(F.col("action_id").alias("a"), F.col("nle_action_name").alias("n"), F.col("key_label").alias("k")), "ordinal").alias("_m"))
-    told = rows.withColumn("_dir", direction(player_place(F.col(current)), player_place(F.col(following))))
+    places = rows.withColumns({"_from": player_place(F.col(current)), "_to": player_place(F.col(following))})
+    told = places.withColumn("_dir", direction(F.col("_from"), F.col("_to"))).drop("_from", "_to")
     joined = told.join(moves, F.col("_dir") == F.col("_d"), "left")
     return joined.withColumns(
         {"pseudo_direction": F.when(F.col("_m").isNotNull(), F.col("_dir")), "pseudo_action_id": F.col("_m.a"), "pseudo_action_name": F.col("_m.n"), "pseudo_key_label": F.col("_m.k")}

@@ -79,15 +79,13 @@ def frame_metrics(rows: DataFrame, prediction: str = "prediction", label: str =
 
 def changed_state_metrics(rows: DataFrame, current: str = "current_frame", prediction: str = "prediction", label: str = "label") -> DataFrame:
     """One row: precision, recall and F1 of changed map cells (right character needed), copies of unchanged cells, player place, BLSTATS fields and turn."""
-
-    def cells(text: Column) -> Column:
-        return F.map_from_entries(F.transform(frames.map_cells(text), lambda c: F.struct(F.concat_ws(":", c["row"], c["col"]).alias("k"), c["char"].alias("v"))))
-
     number = lambda x: x.try_cast("double")
-    mapped = rows.select(*[cells(F.col(c)).alias(n) for c, n in ((current, "c"), (prediction, "p"), (label, "t"))], *[frames.player_position(frames.map_cells(F.col(c))).alias(n) for c, n in ((prediction, "pp"), (label, "tp"))],
+    mapped = rows.select(*[frames.map_grid(F.col(c)).alias(n) for c, n in ((current, "c"), (prediction, "p"), (label, "t"))], *[frames.player_position(frames.map_cells(F.col(c))).alias(n) for c, n in ((prediction, "pp"), (label, "tp"))],
                          *[frames.blstats_values(F.col(c)).alias(n) for c, n in ((current, "cb"), (prediction, "pb"), (label, "tb"))])
-    keys = F.array_distinct(F.concat(F.map_keys("c"), F.map_keys("p"), F.map_keys("t")))
-    state = F.transform(keys, lambda k: F.struct(F.try_element_at("c", k).alias("c"), F.try_element_at("p", k).alias("p"), F.try_element_at("t", k).alias("t")))
+    none = F.array().cast("array<string>")
+    both = lambda a, b: F.zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda x, y: F.struct(x.alias("c"), y.alias("p")))
+    line = lambda cp, t: F.zip_with(F.coalesce(cp, F.array().cast("array<struct<c: string, p: string>>")), F.coalesce(t, none), lambda x, y: F.struct(x["c"].alias("c"), x["p"].alias("p"), y.alias("t")))
+    state = F.flatten(F.zip_with(F.zip_with("c", "p", both), F.col("t"), line))
     count = lambda test: F.size(F.filter("s", test))
     changed = lambda x, n: ~x[n].eqNullSafe(x["c"])
     fields = F.transform("tb", lambda v, k: F.struct(v.alias("t"), F.get("pb", k).alias("p")))
@@ -221,16 +219,18 @@ def binary_plane_sums(rows: DataFrame, prediction: str = "pred", map_cells: int
 def bootstrap_interval(pairs: DataFrame, *, seed: int, samples: int = 5000, confidence: float = 0.95) -> DataFrame:
     """Interval of the mean of candidate - baseline by the Poisson bootstrap.
 
-    Each pair draws its own weight for each of ``samples`` resamples, so the table is read once in place; tasks return sums per resample, merged by key.
+    Each pair has its own weight in each of ``samples`` resamples, from a hash of seed, key and resample, so that reruns agree; the table is read
+    once in place, a block of pairs at a time, and tasks return sums per resample, merged by key.
     """
 
     def run(batches):
         weight, total = np.zeros(samples), np.zeros(samples)
         for batch in batches:
-            for key, d in zip(batch["key"], batch["d"], strict=True):
-                w = np.random.default_rng([seed, int(key) & 0xFFFFFFFF]).poisson(1.0, samples)
-                weight += w
-                total += w * d
+            keys, d = batch["key"].to_numpy(dtype=np.int64), batch["d"].to_numpy(dtype=float)
+            for first in range(0, len(keys), 64):
+                w = poisson_weights(seed, keys[first : first + 64], samples)
+                weight += w.sum(axis=0)
+                total += d[first : first + 64] @ w
         yield pd.DataFrame({"resample": np.arange(samples), "w": weight, "t": total})
 
     rows = pairs.select(F.col("key"), (F.col("candidate") - F.col("baseline")).alias("d"))
@@ -240,6 +240,18 @@ def bootstrap_interval(pairs: DataFrame, *, seed: int, samples: int = 5000, conf
     return rows.agg(F.count("*").alias("pairs"), F.avg("d").alias("mean_difference")).crossJoin(bounds)
 
 
+#: Cumulative probabilities of 0, 1, 2 ... under the Poisson law of mean 1.
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 16)])))
+
+
+def poisson_weights(seed: int, keys: np.ndarray, samples: int) -> np.ndarray:
+    """(keys, samples) weights of mean 1: a hash of (seed, key, resample) as a uniform number, through the inverse distribution."""
+    x = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & 0xFFFFFFFF))[:, None] + np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(_POISSON, (x ^ (x >> np.uint64(31))) / 2.0**64, side="right").astype(float)
+
+
 def action_ranking(scores: DataFrame, *, row: str, action: str, true_action: str, score: str) -> DataFrame:
     """One row: mean reciprocal rank (as many ranks down as scores are at least the true one's) and strict top-1 share, from one row per (row, candidate)."""
     own = scores.groupBy(row).agg(F.max(F.when(F.col(action) == F.col(true_action), F.col(score))).alias("_true"), F.collect_list(score).alias("_all"))

@@ -68,6 +68,13 @@ TERMS = {
 }
 
 
+def long_events(reports: DataFrame, sides: Sequence[str] = ("current", "baseline")) -> DataFrame:
+    """reports(run_id, seed, events: array<struct<step, current, baseline>>) -> a row per step and side that took part, the side's fields as columns."""
+    steps = reports.select("run_id", "seed", F.explode("events").alias("e"))
+    both = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"e.{s}").alias("v")) for s in sides])
+    return steps.select("run_id", "seed", F.col("e.step").alias("step"), F.explode(both).alias("x")).filter("x.v IS NOT NULL").select("run_id", "seed", "step", "x.side", "x.v.*")
+
+
 def progress_flags(rows: DataFrame, *, episode: Sequence[str], order: str, dirty: Column) -> DataFrame:
     """rows with raw, clean and dirty progress: reward, or score or depth above the last known one. Rows without an action don't count and aren't remembered."""
     w = W.partitionBy(*episode).orderBy(order).rowsBetween(W.unboundedPreceding, -1)

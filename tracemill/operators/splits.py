@@ -26,6 +26,24 @@ def top_by_hash(rows: DataFrame, key: str, seed: int, counts: dict[str, int]) ->
     return ranked.filter(F.col("_n") <= max(counts.values())).filter(F.col("_n") <= wanted).drop("_n")
 
 
+RANGES = 64
+
+
+def ranked(rows: DataFrame, *, groups: Sequence[str], position: Column, order: Sequence[Column | str], alias: str) -> DataFrame:
+    """rows with their rank from 0 within the group, in the order of ``position`` (a number from 0 to 1) and then of ``order``.
+
+    Positions are cut into ranges; ranks within a range go on from the summed counts of the ranges before, so that no task sorts a group.
+    """
+    cut = rows.withColumn("_position", position).withColumn("_range", F.least(F.floor(F.col("_position") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    keys = [*groups, "_range"]
+    before = W.partitionBy(*[f"_b{k}" for k in range(len(groups))]).orderBy("_b_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_b{k}") for k, c in enumerate(groups)], F.col("_range").alias("_b_range"), "_n")
+    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = cut.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy("_position", *order)) - 1)
+    joined = own.join(base, [*[F.col(c).eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(groups)], F.col("_range") == F.col("_b_range")])
+    return joined.withColumn(alias, (F.col("_base") + F.col("_k")).cast("int")).select(*rows.columns, alias)
+
+
 def round_robin(rows: DataFrame, *, groups: Sequence[str], order: Sequence[Column | str], ranks: Sequence[Column | str] | None = None) -> DataFrame:
     """rows with ``turn`` (their place within the group); ordering by turn, then by ranks, takes one row of each group in turn."""
     return rows.withColumn("turn", F.row_number().over(W.partitionBy(*groups).orderBy(*order)) - 1)
@@ -35,12 +53,12 @@ def split_role_order(games: DataFrame, seed: int) -> DataFrame:
     """games(gameid, role) with split, role filled and (turn, role, split_rank), by which a build visits them."""
     rows = with_split(games, "gameid", seed).withColumn("role", missing_as(F.col("role"), "<missing>"))
     rows = rows.withColumn("split_rank", F.when(F.col("split") == "validation", 0).when(F.col("split") == "test", 1).otherwise(2))
-    return round_robin(rows, groups=["split", "role"], order=[hash_bucket(seed + 1, F.col("gameid")), "gameid"])
+    return ranked(rows, groups=["split", "role"], position=hash_bucket(seed + 1, F.col("gameid")), order=["gameid"], alias="turn")
 
 
 def stratified(rows: DataFrame, *, strata: Sequence[str], key: str, seed: int, limit: int) -> DataFrame:
     """``limit`` rows, one of each stratum in turn, in hash order within each."""
-    turned = round_robin(rows, groups=strata, order=[hash_bucket(seed, F.col(key)), key])
+    turned = ranked(rows, groups=strata, position=hash_bucket(seed, F.col(key)), order=[key], alias="turn")
     return turned.orderBy("turn", *strata).limit(limit)
 
 
@@ -61,3 +79,10 @@ def bernoulli(rows: DataFrame, key: str, seed: int, ratio: float) -> DataFrame:
 def exact_sample(rows: DataFrame, key: str, seed: int, count: int) -> DataFrame:
     """``count`` rows in hash order, back in the order of the key."""
     return rows.orderBy(hash_bucket(seed, F.col(key)), key).limit(count).orderBy(key)
+
+
+def share_sample(rows: DataFrame, key: str, seed: int, ratio: float) -> DataFrame:
+    """int(n * ratio) of the n rows, the first ones in hash order; all in one plan."""
+    total = rows.agg(F.floor(F.count("*") * F.lit(float(ratio))).alias("_wanted"))
+    placed = ranked(rows, groups=[], position=hash_bucket(seed, F.col(key)), order=[key], alias="_rank")
+    return placed.crossJoin(F.broadcast(total)).filter(F.col("_rank") < F.col("_wanted")).select(*rows.columns)

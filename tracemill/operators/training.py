@@ -18,13 +18,13 @@ COUNTERS = ("input_token_count", "prompt_token_count", "masked_prompt_token_coun
 Tokenizer = Callable[[Sequence[Sequence[dict]], bool], list[list[int]]]
 
 
-def minimal_rows(rows: DataFrame) -> DataFrame:
-    return rows.select("messages", "task")
+def minimal_rows(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return rows.select("messages", "task", *keep)
 
 
-def mixed_curriculum(policy: DataFrame, frames: DataFrame, *, key: str, ratio: float, seed: int) -> DataFrame:
-    """All policy rows and each frame row with probability ``ratio`` by the hash of its key: (messages, task)."""
-    return minimal_rows(policy).unionByName(minimal_rows(splits.bernoulli(frames, key, seed, ratio)))
+def mixed_curriculum(policy: DataFrame, frames: DataFrame, *, key: str, ratio: float, seed: int, keep: Sequence[str] = ()) -> DataFrame:
+    """All policy rows and each frame row with probability ``ratio`` by the hash of its key: (messages, task) and what is to be kept."""
+    return minimal_rows(policy, keep).unionByName(minimal_rows(splits.bernoulli(frames, key, seed, ratio), keep))
 
 
 def phases(rows: DataFrame, objective: str, *, key: str, ratio: float, seed: int) -> dict[str, DataFrame]:
@@ -36,7 +36,7 @@ def phases(rows: DataFrame, objective: str, *, key: str, ratio: float, seed: int
         return {"dynamics_only": frames}
     if objective != "multitask":
         raise ValueError(f"unknown training objective: {objective}")
-    sampled = splits.exact_sample(frames, key, seed, int(frames.count() * min(1.0, ratio))) if ratio > 0 else frames.limit(0)
+    sampled = splits.share_sample(frames, key, seed, min(1.0, ratio)) if ratio > 0 else frames.limit(0)
     return {"dynamics_warmup": frames, "mixed": policy.unionByName(sampled), "policy_calibration": policy}
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+from .splits import RANGES, ranked
+
+
 def flatten_batches(batches: DataFrame, arrays: Sequence[str], *, nested: bool) -> DataFrame:
     """One row per position of parallel arrays: (batch, lane, place, columns). Flat batches [N] have lane 0, sequence batches [B, T] one lane per B.
 
@@ -78,10 +81,19 @@ def rollout_starts(rows: DataFrame, *, sequence: str, step: str, horizon: int, c
 
 
 def dense_numbers(rows: DataFrame, *, key: str, order: Sequence[str], alias: str = "sequence_number") -> DataFrame:
-    """rows with a number from 0 for each key, in the order of its first row. Only one row per key is numbered in one task."""
+    """rows with a number from 0 for each key, in the order of its first row.
+
+    The first column of ``order`` (a number or a time) is cut at approximate percentiles; numbers in a range go on from the counts of those before.
+    """
     first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    numbers = first.select(key, (F.row_number().over(W.orderBy("_first", key)) - 1).alias(alias))
-    return rows.join(numbers, key)
+    lead = F.col("_first")[order[0]]
+    if dict(rows.dtypes)[order[0]].startswith(("timestamp", "date")):
+        lead = lead.cast("timestamp")
+    lead = lead.cast("double")
+    cuts = first.agg(F.percentile_approx(lead, [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).first()["c"] or []
+    place = sum(((lead > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    numbered = ranked(first, groups=[], position=place / RANGES, order=["_first", key], alias=alias)
+    return rows.join(numbered.select(key, alias), key)
 
 
 def terminal_reason(observation: Column, rows: int = 24, cols: int = 80) -> Column:

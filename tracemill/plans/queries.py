@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,31 +12,9 @@ from ..operators import audit, build, compare, history, labels, metrics, rollout
 from ..sources import readers
 from ..streaming import ledger
 from . import tables
+from .registry import ORACLES, QUERIES, bucket_sql, registered, split_sql  # noqa: F401
 from .tables import EVENTS_SQL, METRICS_SQL, SEED, STEPS_SQL, WATCH_SQL, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def registered(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        if sql is not None:
-            ORACLES[query.__name__] = sql
-        return query
-
-    return add
-
-
-def bucket_sql(seed: int, key: str) -> str:
-    return f"(('0x' || substr(sha256('{seed}:' || {key}), 1, 8))::BIGINT / 4294967295.0::DOUBLE)"
-
-
-def split_sql(seed: int, key: str) -> str:
-    return f"CASE WHEN {bucket_sql(seed, key)} < 0.9::DOUBLE THEN 'train' WHEN {bucket_sql(seed, key)} < 0.9::DOUBLE + 0.05::DOUBLE THEN 'validation' ELSE 'test' END"
-
-
 # Index and splits
 
 
@@ -291,9 +267,9 @@ def build_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"{BUILT_SQL} SELECT split, task, count(*) AS n FROM b GROUP BY 1, 2")
 def merge_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four shards by trace, counted apart and merged."""
-    rows = built_rows(spark, sf_dir)
-    return build.merge_counts([rows.filter(F.col("gameid") % 4 == k).groupBy("split", "task").agg(F.count("*").alias("n")) for k in range(4)])
+    """Four shards by trace, counted apart in one pass and merged."""
+    counts = built_rows(spark, sf_dir).groupBy((F.col("gameid") % 4).alias("shard"), "split", "task").agg(F.count("*").alias("n"))
+    return build.merge_counts([counts.drop("shard")])
 
 
 @registered(f"""
@@ -737,10 +713,10 @@ def ledger_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {STATES_SQL} SELECT name, arg_max(status, ordinal) AS status FROM u GROUP BY 1")
 def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """latest_status as a stream over the events table, run until all there is was read."""
-    name = f"ledger_{abs(hash(sf_dir)) % 10**8}"
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     states = F.create_map(*[x for k, v in STATES.items() for x in (F.lit(k), F.lit(v))])
     rows = source.select(F.col("user_id").alias("name"), F.col("event_id").alias("ordinal"), F.try_element_at(states, F.col("event_type")).alias("status"))
-    run = ledger.latest_status(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return ledger.run_to_end(ledger.latest_status(rows), ["name"])
+
+
+from . import audit_queries, frame_queries, run_queries  # noqa: E402, F401  (they register themselves)

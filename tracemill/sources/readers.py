@@ -121,6 +121,29 @@ def first_frames(rows: DataFrame, limit: int) -> DataFrame:
     return own.orderBy("ordinal").limit(limit).select("ordinal", F.element_at("messages", 3)["content"].alias("frame"))
 
 
+def eval_rows(spark: SparkSession, path: str, *, split: str, tasks: Sequence[str], mode: str, env_id: str, actions: Sequence[tuple[int, str]]) -> DataFrame:
+    """Rows of one split of a written dataset, once its manifest, its actions and its rows agree with what is asked for.
+
+    A wrong environment, mode or action list, a split unknown or without rows of a task, and rows outside the split table are errors.
+    """
+    if split not in ("train", "validation", "test"):
+        raise ValueError(f"unknown split: {split}")
+    manifest = spark.read.json(f"{path}/manifest").select("env_id", "mode").head()
+    if manifest is None or (manifest["env_id"], manifest["mode"]) != (env_id, mode):
+        raise ValueError(f"the dataset is of {manifest}, not of {env_id} and {mode}")
+    own = [(r["action_id"], r["nle_action_name"]) for r in spark.read.schema(schemas.ACTIONS).json(f"{path}/action_manifest").orderBy("ordinal").collect()]
+    if own != list(actions):
+        raise ValueError("the dataset has other actions")
+    rows = spark.read.schema(schemas.SUPERVISED_ROW).json(f"{path}/rows").filter((F.col("split") == split) & F.col("task").isin(*tasks))
+    found = {r["task"]: r["n"] for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    if missing := [t for t in tasks if not found.get(t)]:
+        raise ValueError(f"no rows of {missing} in {split}")
+    games = spark.read.schema(schemas.SPLIT_MANIFEST).json(f"{path}/split_manifest").filter(F.col("split") == split).select("gameid").distinct()
+    if rows.join(games, "gameid", "left_anti").limit(1).count():
+        raise ValueError("rows are missing from the split table")
+    return rows
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with an ordinal from 0 in the given order (one task: for small tables such as manifests)."""
     return rows.withColumn("ordinal", F.row_number().over(W.orderBy(*order)) - 1)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Fixed value: states after which a name is not tried again.
 SKIPPED_STATES = ("timeout", "deferred")
@@ -63,6 +66,30 @@ def session_counts(events: DataFrame, *, time: str, group: str, gap: str = "30 m
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), group).agg(F.count("*").alias("n"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; in local mode a temporary one where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_end(aggregate: DataFrame, key: list[str]) -> DataFrame:
+    """Read all a stream has so far and give the last row of each key: updates are written per batch as Parquet, beside the stream's checkpoint."""
+    spark, folder = aggregate.sparkSession, shared_folder(aggregate.sparkSession, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/updates/part={number}")
+
+    run = aggregate.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    others = [c for c in aggregate.columns if c not in key]
+    updates = spark.read.schema(StructType([*aggregate.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{folder}/updates")
+    return updates.groupBy(*key).agg(F.max_by(F.struct(*others), "_batch").alias("_last")).select(*key, "_last.*")
+
+
 def pair_stream(steps: DataFrame, *, key: str, step: str, value: str) -> DataFrame:
     """A stream of steps, in order per key, as (key, step, value, next_value): each row comes out once its next one is there.
 
