@@ -10,13 +10,13 @@ and the bounds of its loss mask, prefix sums of the segment lengths. A conversat
 one row, so that a conversation of any length is written and read back as a stream.
 
 Defined results: null role or text is empty; turns are ordered by (turn, role, text), null first; repeated rows are repeated
-turns; rows with a null conv_id form one conversation; an empty table gives no rows; only the role ``assistant`` is under the loss mask.
+turns; rows with a null conv_id form one conversation; texts of any length are encoded whole; columns other than conv_id, turn, role and text are left
+out, whatever their names; an empty table gives no rows; only the role ``assistant`` is under the loss mask.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, token_files
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Strings that mark turns here or in other templates.
@@ -36,21 +36,20 @@ _ESCAPED = re.compile(f"{ESCAPE}|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c
 _UNESCAPED = re.compile(f"{ESCAPE}({ESCAPE}?)")
 
 
+#: First characters of control strings; a text without any and without the escape character stays as it is.
+_FIRSTS = tuple(sorted({c[0] for c in CONTROL} | {ESCAPE}))
+
+
 def escape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: m.group() + ESCAPE, text)
+    return _ESCAPED.sub(lambda m: m.group() + ESCAPE, text) if any(c in text for c in _FIRSTS) else text
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPED.sub(r"\1", text)
-
+    return _UNESCAPED.sub(r"\1", text) if ESCAPE in text else text
 
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+def _encoder(path: str) -> token_files.PieceEncoder:
+    return token_files.encoder_of(path, "<i4", True)
 
 
 def _order() -> list[Column]:
@@ -58,49 +57,48 @@ def _order() -> list[Column]:
 
 
 def formatted(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
-    """conv_id, seq, ids, n_ids, start, loss_start, loss_end (positions in ids; equal for no loss), n_chars; a row per turn."""
-    fields = "conv_id long, turn long, role string, text string, ids array<int>, n_ids int, loss_start int, loss_end int, n_chars long"
+    """conv_id, seq, ids, n_ids, start, loss_start, loss_end (positions in ids; equal for no loss); a row per turn."""
+    fields = "conv_id long, turn long, role string, text string, ids array<int>, n_ids int, loss_start int, loss_end int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
-        turn_id = tokenizer.get_vocab_size()
-        says_id, end_id = turn_id + 1, turn_id + 2
-        for batch in batches:
-            roles = [escape(r or "") for r in batch.column(2).to_pylist()]
-            texts = [escape(t or "") for t in batch.column(3).to_pylist()]
-            role_ids = [e.ids for e in tokenizer.encode_batch_fast(roles, add_special_tokens=False)]
-            text_ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encoder = _encoder(tokenizer_path)
+        turn_id = encoder.tokenizer.get_vocab_size()
+        mark = [np.array([turn_id + k], dtype="<i4").tobytes() for k in range(3)]
+        for batch in common.slices(batches, 3, 1000):
+            roles = batch.column(2).to_pylist()
+            role_ids = {r: encoder.encode([escape(r or "").encode()])[0] for r in set(roles)}
+            text_ids = encoder.encode([escape(t or "").encode() for t in batch.column(3).to_pylist()])
             # lengths of the five segments of each turn; their prefix sums are the bounds of each
-            sizes = np.array([[1, len(r), 1, len(t), 1] for r, t in zip(role_ids, text_ids, strict=True)], dtype=np.int32).reshape(-1, 5)
+            sizes = np.array([[4, len(role_ids[r]), 4, len(t), 4] for r, t in zip(roles, text_ids, strict=True)], dtype=np.int32).reshape(-1, 5) // 4
             bounds = np.cumsum(sizes, axis=1, dtype=np.int32)
-            learned = np.array([r == "assistant" for r in batch.column(2).to_pylist()], dtype=bool)
-            ids = [[turn_id, *r, says_id, *t, end_id] for r, t in zip(role_ids, text_ids, strict=True)]
-            chars = [len(TURN) + len(SAYS) + len(END) + len(r) + len(t) for r, t in zip(roles, texts, strict=True)]
+            learned = np.array([r == "assistant" for r in roles], dtype=bool)
+            flat = np.frombuffer(b"".join([x for r, t in zip(roles, text_ids, strict=True) for x in (mark[0], role_ids[r], mark[1], t, mark[2])]), dtype="<i4")
+            offsets = np.concatenate([[0], np.cumsum(bounds[:, 4])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(k) for k in range(4)), pa.array(ids, pa.list_(pa.int32())), pa.array(bounds[:, 4]), pa.array(bounds[:, 2]),
-                    pa.array(np.where(learned, bounds[:, 3], bounds[:, 2])), pa.array(chars, pa.int64()),
+                    *(batch.column(k) for k in range(4)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bounds[:, 4]), pa.array(bounds[:, 2]),
+                    pa.array(np.where(learned, bounds[:, 3], bounds[:, 2])),
                 ],
-                names=["conv_id", "turn", "role", "text", "ids", "n_ids", "loss_start", "loss_end", "n_chars"],
+                names=[f.split()[0] for f in fields.split(", ")],
             )
+        common.release()
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     turns = rows.mapInArrow(run, fields)
     within = W.partitionBy("conv_id").orderBy(*_order())
     return turns.withColumns(
         {"seq": F.row_number().over(within), "start": F.sum("n_ids").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_ids")}
-    ).select("conv_id", "seq", "ids", "n_ids", "start", "loss_start", "loss_end", "n_chars")
+    ).select("conv_id", "seq", "ids", "n_ids", "start", "loss_start", "loss_end")
 
 
 def digests(turns: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Read formatted turns back: per conversation its turns, its text under the loss mask and their digests."""
+    """Read formatted turns back: per conversation its turns, its text under the loss mask, their digests and the length of it as a string."""
     fields = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
-        turn_id = tokenizer.get_vocab_size()
+        encoder = _encoder(tokenizer_path)
+        turn_id = encoder.tokenizer.get_vocab_size()
         says_id, end_id = turn_id + 1, turn_id + 2
-        decoded = lambda many: [unescape(t) for t in tokenizer.decode_batch(many, skip_special_tokens=False)]
         now: list | None = None
         done: list[list] = []
 
@@ -112,15 +110,15 @@ def digests(turns: DataFrame, tokenizer_path: str) -> DataFrame:
             done.clear()
 
         for batch in batches:
-            ids = [np.asarray(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
-            says = [int(np.flatnonzero(x == says_id)[0]) for x in ids]
-            if any(x[0] != turn_id or x[-1] != end_id for x in ids):
-                raise ValueError("a turn lacks its marks")
-            roles = decoded([x[1:k].tolist() for x, k in zip(ids, says, strict=True)])
-            texts = decoded([x[k + 1 : -1].tolist() for x, k in zip(ids, says, strict=True)])
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            losses = decoded([x[p:q].tolist() for x, p, q in zip(ids, a, b, strict=True)])
-            for conv, role, text, loss, chars in zip(batch.column(0).to_pylist(), roles, texts, losses, batch.column(4).to_pylist(), strict=True):
+            for conv, ids, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids[0] != turn_id or ids[-1] != end_id:
+                    raise ValueError("a turn lacks its marks")
+                says = ids.index(says_id)
+                role, text = encoder.decode(ids[1:says]), encoder.decode(ids[says + 1 : -1])
+                chars = len(TURN) + len(role) + len(SAYS) + len(text) + len(END)
+                # what the mask covers: as a rule a whole text or nothing
+                loss = "" if a == b else text if (a, b) == (says + 1, len(ids) - 1) else encoder.decode(ids[a:b])
+                role, text, loss = unescape(role), unescape(text), unescape(loss)
                 if now is None or now[0] != conv:
                     if now is not None:
                         done.append(now)
@@ -135,10 +133,11 @@ def digests(turns: DataFrame, tokenizer_path: str) -> DataFrame:
         if now is not None:
             done.append(now)
             yield from closed()
+        common.release()
 
     n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = turns.repartition(n, "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "seq")
-    return dealt.select("conv_id", "ids", "loss_start", "loss_end", "n_chars").mapInArrow(run, fields)
+    return dealt.select("conv_id", "ids", "loss_start", "loss_end").mapInArrow(run, fields)
 
 
 def round_trip(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
