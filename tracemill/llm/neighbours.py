@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 A rotation learned on a bounded sample (``sample`` rows; iterative quantisation: principal axes, then alternating between signs
-and the closest rotation) turns each vector into a binary code. The index is cut into shards of ``shard_rows`` vectors by a hash of the id; within a
+and the closest rotation) turns each vector into a binary code. The index is cut into shards by a hash of the id; within a
 shard the codes are cut into substrings of 8 bits, each with its own table from value to rows. All codes within Hamming radius r of a query agree
 with it up to floor(r / m) bits in one of the m substrings at least (the first r mod m + 1 substrings at that, the others one bit less): probing those
 values finds every such code. They are checked against r and ranked again by the cosine of the original vectors in double precision.
@@ -9,24 +9,29 @@ values finds every such code. They are checked against r and ranked again by the
 The radius is measured on the sample: ``quantile`` of the distances between the codes of rows and of their nearest rows there. In
 the whole table the nearest are nearer still. Queries with fewer than k rows in the radius are searched again over all codes (radius = all bits).
 
-Queries go to all shards in blocks of ``block_rows``; each (shard, block) is one task's group, of a bounded size. Shards return k rows a query.
+A shard holds about ``shard_bytes`` of vectors (or fewer, so that there are as many shards as shuffle partitions, down to ``least_rows`` rows each). Its rows are
+shuffled to one task, coded and put into tables once; the queries follow them in the same sort order and are answered in batches as they
+stream through, k rows a query. So rows + queries * shards vectors are shuffled, and a task holds a shard and a batch.
 
 Defined results: vectors that are null, zero, of another length than ``dimension`` (that of the smallest valid vec_id) or hold null or non-finite values take
-no part; rows with the id of a query are its own; a repeated id counts once per query, with its best score, and asks once, with its smallest vector; null ids take no part; an empty table gives no rows; ties go to the smaller vec_id.
+no part; rows with the id of a query are its own; a repeated id counts once per query, with its best score, and asks once, with its smallest vector; null ids take no part; an
+empty table gives no rows; ties go to the smaller vec_id; columns other than vec_id, embedding and those of the query condition are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 RESULT = "query_id long, vec_id long, score double"
+_CLOSE = 1e-9
 
 
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +103,40 @@ def _valid(x: Column, dimension: int) -> Column:
     return x.isNotNull() & (F.size(x) == dimension) & F.forall(d, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(d, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, sample: int = 4096, quantile: float = 0.985, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+class Shard:
+    """The rows of one shard, coded and in tables, to be asked."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> None:
+        self.ids, self.x, self.norms, self.model = ids, x, np.linalg.norm(x, axis=1), (mean, projection)
+        self.tables = Tables(encode(_unit(x), mean, projection))
+
+    def asked(self, query_ids: np.ndarray, q: np.ndarray, radius: int, k: int) -> pa.RecordBatch:
+        """The k nearest found of each query: by one product first, then, from just below the k-th, by sums that don't depend on the place of a row."""
+        codes, out = encode(_unit(q), *self.model), []
+        for query_id, vector, code in zip(query_ids, q, codes, strict=True):
+            near = self.tables.within(code, radius)
+            near = near[self.ids[near] != query_id]
+            length = np.linalg.norm(vector)
+            rough = (self.x[near] @ vector) / (self.norms[near] * length)
+            kept = k
+            while True:
+                best = near[rough >= np.partition(rough, -kept)[-kept] - _CLOSE] if len(near) > kept else near
+                score = (self.x[best] * vector).sum(axis=1) / (self.norms[best] * length)
+                order = np.lexsort((self.ids[best], -score))
+                order = order[np.sort(np.unique(self.ids[best][order], return_index=True)[1])[:k]]
+                if len(order) == k or len(best) == len(near):
+                    break
+                kept *= 4  # ids were repeated
+            out.append((np.full(len(order), query_id), self.ids[best][order], score[order]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, sample: int = 4096, quantile: float = 0.985, shard_bytes: int = 2**25, least_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows of every query row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -114,35 +152,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, sample: int = 4
     # directions matter, so codes are those of unit vectors
     mean, projection = learn_rotation(_unit(learned), dimension)
     radius = measured_radius(learned, encode(_unit(learned), mean, projection), k, quantile)
-    shards = max(1, -(-total // shard_rows))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, -(-total * dimension * 8 // shard_bytes), min(ranges, -(-total // least_rows)))
     queries = rows.filter("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    blocks = max(1, -(-queries.count() // block_rows))
-
-    def search(radius: int):
-        def run(key: tuple, index: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-            if not len(index) or not len(block):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            x, q = np.stack(index["v"].to_numpy()), np.stack(block["qv"].to_numpy())
-            ids, norms = index["vec_id"].to_numpy(), np.linalg.norm(x, axis=1)
-            tables = Tables(encode(_unit(x), mean, projection))
-            codes, out = encode(_unit(q), mean, projection), []
-            for query_id, vector, code in zip(block["query_id"].to_numpy(), q, codes, strict=True):
-                near = tables.within(code, radius)
-                near = near[ids[near] != query_id]
-                score = (x[near] @ vector) / (norms[near] * np.linalg.norm(vector))
-                best = np.lexsort((ids[near], -score))
-                best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])[:k]]
-                out.append((np.full(len(best), query_id), ids[near][best], score[best]))
-            return pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "vec_id", "score"))})
-
-        return run
 
     def scanned(queries: DataFrame, radius: int) -> DataFrame:
-        index = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        both = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search(radius), RESULT)
-        best = both.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-        return best
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, ids, held, shard = None, [], [], None
+            for batch in batches:
+                numbers, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero((numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(numbers)]
+                for first, last in zip(cuts, cuts[1:]):
+                    if first == last:
+                        continue
+                    part = batch.slice(first, last - first)
+                    if numbers[first] != number:
+                        number, ids, held, shard = numbers[first], [], [], None
+                    if not asks[first]:
+                        ids.append(part.column(2).to_numpy())
+                        held.append(_matrix(part.column(3)))
+                    elif held or shard:
+                        if shard is None:
+                            shard, ids, held = Shard(np.concatenate(ids), np.concatenate(held), mean, projection), [], []
+                        yield shard.asked(part.column(2).to_numpy(), _matrix(part.column(3)), radius, k)
+            common.release()
+
+        index = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "v")
+        asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("qv").alias("v"))
+        dealt = index.union(asked).repartition(ranges, "shard").sortWithinPartitions("shard", "asks")
+        found = dealt.mapInArrow(run, RESULT)
+        return found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
 
     queries = queries.groupBy("query_id").agg(F.min("qv").alias("qv"))
     found = common.written(scanned(queries, radius), "neighbours")
