@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import components, line_dedup, minhash, shingles, words
+from tracemill.llm import components, line_dedup, minhash, queries, shingles, words
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def union_find(links, vertices):
@@ -198,3 +200,63 @@ def test_line_dedup_of_odd_rows(spark):
     assert got == sorted([rows[0], two, two, rows[2], rows[3], rows[5]], key=str)
     assert line_dedup.deduplicated(docs, drop_emptied=False).count() == 7
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
+def thue_morse(n):
+    """Two different words of 2**n letters that hashes by powers of an odd number, modulo 2**64, can't tell apart from n = 10 on."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_a_known_pair_differ(spark):
+    a, b = thue_morse(10)
+    for fold in (False, True):
+        found = words.Words([a.encode(), b.encode(), a.encode()], fold, checks=True)
+        assert found.hashes[0] == found.hashes[2] != found.hashes[1] and found.checks[0] == found.checks[2] != found.checks[1]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()} == {1: [], 2: [], 3: [0]}
+
+
+@pytest.mark.parametrize("lines", [65_535, 65_536, 70_000])
+def test_links_of_a_very_long_text(spark, lines):
+    docs = spark.createDataFrame([(1, "\n".join(["pp qq rr ss"] * lines + ["pp qq rr ss tt"]))], "doc_id long, text string")
+    (row,) = line_dedup.removed_lines(docs).collect()
+    assert row.removed == list(range(1, lines + 1)) and (row.n_lines, row.n_links) == (lines + 1, lines + 1)
+
+
+@pytest.mark.parametrize(("percent", "removed"), [(80, []), (76, []), (75, [0]), (70, [0])])
+def test_small_sets_link_by_the_threshold(spark, percent, removed):
+    docs = spark.createDataFrame([(1, "w x y"), (2, "w x y z")], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(docs, percent).collect()} == {1: [], 2: removed}
+
+
+def test_line_query_is_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in queries.op2_line_dedup(spark, SMALL).collect()}
+    gone, links, first, counted = removed(rows), line_links([(i, t or "") for i, t in rows]), {}, {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        for x in (text or "").encode().lower().split(b"\n"):
+            if x.split():
+                first.setdefault(frozenset(x.split()), i)
+                counted.setdefault(i, []).append(first[frozenset(x.split())])
+    assert set(got) == {i for i, _ in rows}
+    for i, r in got.items():
+        assert sorted(r.removed or []) == sorted(k for j, k in gone if j == i)
+        assert (r.n_removed, r.n_links, r.n_lines, r.class_id) == (len(r.removed or []), links.get(i, 0), len(counted.get(i, [])), min(counted.get(i, [i])))
+
+
+def test_near_duplicate_query_is_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    sets, want = near(texts, 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op4_minhash_near_dedup(spark, SMALL).collect()}
+    assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in texts}
+
+
+def test_texts_of_one_id_are_in_one_component(spark):
+    rows = [(3, "a b c d e f"), (4, "q r s t u v"), (5, "a b c d e f"), (5, "q r s t u v"), (6, "x y z"), (6, "k l m"), (7, "k l m"), (2, "k l m n o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 4).collect())
+    assert got == [(2, 2, True), (3, 3, True), (4, 3, False), (5, 3, False), (5, 3, False), (6, 6, True), (6, 6, True), (7, 6, False)]
+    assert sorted(r.doc_id for r in minhash.deduplicated(docs, 4).collect()) == [2, 3, 6, 6]

@@ -6,7 +6,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_duplicates import near
+from tests.llm.test_duplicates import near, removed
+from tracemill.llm import mixing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,10 +17,19 @@ def test_stages_keep_the_columns(spark):
     columns, rows = docs.columns, []
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     for name, stage in corpus_pipeline.STAGES:
+        before = docs
         docs = corpus_pipeline.common.written(stage(spark, docs, DATA), name.replace(" ", "-"))
         rows.append((name, docs.count()))
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
+        if name == "line dedup":
+            own = [(r.doc_id, r.text) for r in before.collect()]
+            gone = removed(own)
+            left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in own}
+            assert {r.doc_id: r.text for r in docs.collect()} == {i: t for i, t in left.items() if t.split()}
+        if name == "mixing":
+            plan = {r.doc_id: r.copies for r in mixing.mix(before).collect() if r.copies}
+            assert {r.doc_id: r["count"] for r in docs.groupBy("doc_id").count().collect()} == plan
         if name == "MinHash near-dedup":
             texts = {r.doc_id: r.text for r in docs.collect()}
             assert len(texts) == rows[-1][1]

@@ -10,7 +10,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tracemill.llm import quality_classifier, quality_rules, queries, trees
+from pyspark.sql import functions as F
+
+from tracemill.llm import common, quality_classifier, quality_rules, queries, trees
 
 DATA = "/root/testdata/sf0.01"
 TEXTS = [None, "", " \n\t", "a b a b a b", "x\nx\n\nx\ny", "# $ a|b\n<c> * &", "the\xa0end é ü", "word " * 60, "one two three " * 40]
@@ -126,3 +128,48 @@ def test_rules_compile_to_columns(spark):
     frame = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in quality_classifier.STATISTICS))
     got = [r.s for r in frame.select(quality_classifier.compile_rules([rule], np.array([2.0]), -1.0).alias("s")).collect()]
     assert np.allclose(got, 1 / (1 + np.exp(-(trees.satisfied([rule], x)[:, 0] * 2.0 - 1.0))))
+
+
+def plain_statistics(text):
+    """STATISTICS of a text, counted character by character."""
+    t = text or ""
+    size, data = max(len(t.encode()), 1), t.encode()
+    words, lines = t.replace("\n", " ").count(" ") + 1, t.split("\n")
+    count = lambda chars: sum(c in chars for c in t)
+    return [
+        np.log1p(len(data)), len(data) / words, count("#*$%&<>") / size, count("!") / size, sum("A" <= c <= "Z" for c in t) / size, 1 - len(set(lines)) / len(lines),
+        len(set(t.split(" "))) / words, words / len(lines), count("|") / size, 1 - len(t) / size, len(re.findall("[0-9]+", t)) / size,
+    ]
+
+
+def test_classifier_query_is_brute_force(spark):
+    """Every score of the query, from the statistics of whole texts and the fitted rules."""
+    small = DATA.replace("sf0.01", "sf0.001")
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    rules, weights, intercept = quality_classifier.fit(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    x = np.array([plain_statistics(r.text) for r in rows])
+    want = dict(zip([r.doc_id for r in rows], 1 / (1 + np.exp(-(trees.satisfied(rules, x) @ weights + intercept))), strict=True))
+    got = queries.op5_quality_classifier(spark, small).collect()
+    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id], abs=1e-12) for r in got)
+
+
+def test_rules_on_a_held_out_fold(spark):
+    data = DATA.replace("sf0.01", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    held = common.held_out(F.col("doc_id"))
+    model = quality_rules.fit(docs, labels.filter(~held))
+    got = quality_rules.apply(docs.filter(held), model).toPandas().set_index("doc_id")
+    truth = pd.read_parquet(f"{data}/labels.parquet").groupby("doc_id").quality.max()
+    both = got[~got.base_failed].join(truth, how="inner")
+    assert len(both) > 100 and (both.kept == (both.quality == 1)).mean() > 0.95
+
+
+def test_very_long_texts(spark):
+    text = "one two three four\n" * 30_000
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rules = {r.doc_id: r for r in quality_rules.apply(docs, quality_rules.fit(docs, none)).collect()}
+    assert [rules[1][c] for c in quality_rules.BASE] == counted(text)
+    row = quality_classifier.with_statistics(docs).filter("doc_id = 1").head()
+    assert np.allclose([row[c] for c in quality_classifier.STATISTICS], plain_statistics(text))

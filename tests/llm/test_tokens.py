@@ -15,7 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracemill.llm import chat, neighbours, pii, queries, sentencepiece_nbest, token_files
+from tests.llm.test_duplicates import thue_morse
+from tracemill.llm import chat, neighbours, pii, queries, sentencepiece_nbest, token_files, words
 
 DATA = "/root/testdata/sf0.01"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -59,7 +60,7 @@ def test_nbest_is_that_of_all_segmentations(lattice):
             assert [s for s, _ in got] == want and len({i for _, i in got}) == len(got)
             assert all(lattice.decode(list(i)) == text for _, i in got)
             ((raw, scores),) = lattice.encode([text.encode()], n)
-            assert scores == want and np.frombuffer(raw, "<i4").tolist() == list(got[0][1])
+            assert scores == want and [np.frombuffer(r, "<i4").tolist() for r in raw] == [list(i) for _, i in got]
 
 
 def test_forgetting_changes_nothing(lattice):
@@ -85,18 +86,26 @@ def test_documents_decode(spark):
     assert encoded.filter("NOT decoded_ok").count() == 0 and encoded.count() == len(ODD) + 1
     back = {r.doc_id: r.text for r in sentencepiece_nbest.decoded(encoded, PIECES).collect()}
     assert back == {k: t for k, t in enumerate(ODD)} | {None: ""}
+    ranked = sentencepiece_nbest.segmentations(odd, PIECES, 3)
+    assert {r.text for r in sentencepiece_nbest.decoded(ranked, PIECES).collect()} == set(ODD)
+    by = {r.doc_id: (list(r.nbest_scores), list(r.nbest_crc32)) for r in sentencepiece_nbest.encoded(odd, PIECES, 3).collect()}
+    for key in by:
+        own = sorted((r for r in ranked.collect() if r.doc_id == key), key=lambda r: r["rank"])
+        assert by[key] == ([r.score for r in own], [zlib.crc32(np.array(r.ids, "<i4").tobytes()) for r in own]) and len({tuple(r.ids) for r in own}) == len(own)
     assert sentencepiece_nbest.encoded(odd.limit(0), PIECES).count() == 0
 
 
-def test_token_files(spark):
+@pytest.mark.parametrize("plain", [False, True])
+def test_token_files(spark, plain):
     tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
-    texts = ODD + ["long word " * 3000]
-    rows = [(k * 3 % 19, t, "x") for k, t in enumerate(texts)] + [(4, None, "y"), (-5, "z", None)]
+    tokenizer.encode_special_tokens = plain
+    texts = ODD + ["long word " * 3000, "a <|endoftext|> b", "x<|endoftext|>y z", *thue_morse(10)]
+    rows = [(k * 3 % 19, t, "x") for k, t in enumerate(texts)] + [(4, None, "y"), (-5, "z", None), (-1, "minus", "q"), (None, "null", "q"), (None, "another null", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
-    got = token_files.round_trip(docs, BYTES).orderBy("start").collect()
+    got = token_files.round_trip(docs, BYTES, plain=plain).orderBy("start").collect()
+    assert {r.n_tokens for r in got if r.doc_id == -1} == {2}
     start = 0
-    for r, (key, text, _) in zip(got, sorted(rows, key=lambda x: (x[0], x[1] or "")), strict=True):
+    for r, (key, text, _) in zip(got, sorted(rows, key=lambda x: (x[0] is not None, x[0], x[1] or "")), strict=True):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
@@ -108,11 +117,42 @@ def test_token_files(spark):
 def test_token_query_over_documents(spark):
     tokenizer = Tokenizer.from_file(BYTES)
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    got = queries.op7_token_files(spark, DATA).collect()
+    got = sorted(queries.op7_token_files(spark, DATA).collect(), key=lambda r: r.doc_id)
     assert len(got) == len(rows)
-    for r in got[:100]:
-        ids = tokenizer.encode(rows[r.doc_id], add_special_tokens=False).ids + [0]
-        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    start = 0
+    for r in got:
+        ids = tokenizer.encode(rows[r.doc_id] or "", add_special_tokens=False).ids + [0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_encoders_tell_a_known_pair_apart(lattice):
+    texts = [t.encode() for w in thue_morse(10) for t in (w, f"x {w}", f"x {w} y")]
+    tokenizer = Tokenizer.from_file(BYTES)
+    encoder = token_files.PieceEncoder(BYTES, "<i4")
+    assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)] == [tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    for t, (ids, _) in zip(texts, lattice.encode(texts, 1), strict=True):
+        assert lattice.decode(np.frombuffer(ids[0], "<i4").tolist()) == t.decode()
+
+
+def test_words_of_one_key_are_told_apart(lattice, monkeypatch):
+    """Were all words to share a key, texts would be encoded as wholes."""
+    hashed = words.Words._hashed
+    monkeypatch.setattr(words.Words, "_hashed", lambda self, eights, sizes, which: hashed(self, eights, sizes, 1) if which else np.zeros(len(sizes), dtype=np.uint64))
+    tokenizer, texts = Tokenizer.from_file(BYTES), ["one two", "two one", "three", "", "one two three"]
+    encoder = token_files.PieceEncoder(BYTES, "<i4")
+    for _ in range(2):
+        assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    found = sentencepiece_nbest.PieceLattice(PIECES).encode([t.encode() for t in texts], 2)
+    assert found == [([np.array(i, "<i4").tobytes() for _, i in n], [s for s, _ in n]) for n in (lattice.nbest(t, 2) for t in texts)]
+
+
+def test_decoding_gives_back_all_ids():
+    tokenizer = Tokenizer.from_file(BYTES)
+    encoder = token_files.PieceEncoder(BYTES, "<i4", True)
+    for text in ODD:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.decode(ids) == text == tokenizer.decode(ids, skip_special_tokens=False)
 
 
 def test_escapes_are_reversible():
@@ -133,6 +173,8 @@ def check_chat(conversations, got):
         loss = "".join(t for role, t in own if role == "assistant")
         whole = hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in own).encode()).hexdigest()
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), whole, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        string = "".join(chat.TURN + chat.escape(role) + chat.SAYS + chat.escape(t) + chat.END for role, t in own)
+        assert r.formatted_chars == len(string)
 
 
 def test_chat(spark):
@@ -239,6 +281,58 @@ def test_part_of_a_number_gives_way_to_a_whole_card():
         assert len(found) == 1 and sum(c.isdigit() for c in found[0][3]) >= 16
 
 
+@pytest.mark.parametrize("text", ["25/12/1999", "1/2/1999", "12/5/1999", "13/1/2005", "31.12.2001", "1.2.2001", "02/29/2000", "1999-02-28"])
+def test_dates_keep_their_width_and_order(text):
+    images = set()
+    for key in range(30):
+        new, found = pii.pseudonymised(f"born {text}.", bytes([key]) * 32)
+        assert [f[0] for f in found] == ["date"] and len(new) == len(f"born {text}.")
+        image = found[0][3]
+        assert re.sub(r"\d", "0", image) == re.sub(r"\d", "0", text)
+        if text in ("25/12/1999", "13/1/2005"):
+            assert int(image.split("/")[0]) > 12
+        images.add(image)
+    assert len(images) > 20
+
+
+def test_dates_are_permuted_within_their_format():
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(k) for k in range(365)]
+    for form in (lambda d: f"{d.month}/{d.day}/{d.year}", lambda d: f"{d.day:02d}/{d.month:02d}/{d.year}", lambda d: f"{d.day}.{d.month}.{d.year}"):
+        own = {form(d) for d in days}
+        assert len({pii.pseudonymised(t, KEY)[0] for t in own}) == len(own)
+
+
+def test_pseudonyms_of_a_table_are_one_to_one(spark):
+    """Values that a plain search finds in the documents: none is left, equal ones have equal pseudonyms, different ones different ones, repeated rows too."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = docs.union(docs.limit(20)).collect()
+    got = pii.pseudonyms(docs.union(docs.limit(20)), "k").collect()
+    assert len(got) == len(rows)
+    texts = {r.doc_id: r.text for r in rows}
+    there, back = {}, {}
+    for r in got:
+        old, at, end = texts[r.doc_id], 0, 0
+        if old is None:
+            assert r.text is None
+            continue
+        for f in r.findings:
+            # texts between findings are as before
+            start = at + f.start - end
+            assert old[at:start] == r.text[end : f.start]
+            value = re.match(r"[\d.]+\d", old[start:]).group() if f.kind == "address" else old[start : start + f.end - f.start]
+            assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", value))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", f.pseudonym))) or f.kind in ("address", "secret")
+            assert there.setdefault((f.kind, value), f.pseudonym) == f.pseudonym and back.setdefault((f.kind, f.pseudonym), value) == value
+            at, end = start + len(value), f.end
+        assert old[at:] == r.text[end:]
+    kinds = {k for k, _ in there}
+    assert {"email", "phone"} <= kinds
+
+
+def test_a_very_long_text_is_searched_whole():
+    new, found = pii.pseudonymised("word " * 100_000 + "bob@mail.example.com", KEY)
+    assert [f[0] for f in found] == ["email"] and "bob@" not in new
+
+
 def brute(ids, x, k, keep):
     norm = np.linalg.norm(x, axis=1)
     out = {}
@@ -277,6 +371,29 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(alone, F.lit(True)).count() == 0
 
 
+def test_shards_and_batches_change_nothing(spark, monkeypatch):
+    """Many small shards, ties among copies of one vector and repeated ids, against brute force; all codes are in the radius."""
+    monkeypatch.setattr(neighbours, "measured_radius", lambda x, codes, k, quantile: 8 * codes.shape[1])
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 16))
+    x[300:600] = x[7]
+    ids = np.arange(900)
+    ids[880:] = np.arange(860, 880)
+    frame = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(frame, F.col("vec_id") % 50 == 0, shard_bytes=16 * 8 * 100).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    norm = np.linalg.norm(x, axis=1)
+    for q in range(0, 880, 50):
+        score = (x * x[q]).sum(axis=1) / norm / norm[q]
+        best = {}
+        for i, s in zip(ids.tolist(), score.tolist(), strict=True):
+            if i != q:
+                best[i] = max(s, best.get(i, -2))
+        want = sorted(best.items(), key=lambda y: (-round(y[1], 12), y[0]))[:5]
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and np.allclose([s for _, s in got[q]], [s for _, s in want])
+
+
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 256, (3000, 4)).astype(np.uint8)
