@@ -37,20 +37,20 @@ def ledger_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.progress_summary(rows, ["k", "user_id", "event_type"]).drop("latest")
 
 
-@registered("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@registered("SELECT floor(epoch(date_trunc('hour', ts)))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ledger.windowed_counts(table(spark, sf_dir, "events"), time="ts", group="event_type")
-    return found.select(F.col("window.start").alias("start"), "event_type", "n")
+    return found.select(tables.epoch_seconds(F.col("window.start")).alias("start"), "event_type", "n")
 
 
 @registered("""
 WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM s)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM n GROUP BY user_id, session
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts) + INTERVAL 30 MINUTE))::BIGINT AS "end", count(*) AS n FROM n GROUP BY user_id, session
 """)
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ledger.session_counts(table(spark, sf_dir, "events"), time="ts", group="user_id")
-    return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return found.select("user_id", tables.epoch_seconds(F.col("session_window.start")).alias("start"), tables.epoch_seconds(F.col("session_window.end")).alias("end"), "n")
 
 
 @registered("SELECT DISTINCT p_brand AS name, '/source/' || p_brand AS source_path, 'shard-' || (p_size % 5) AS shard_path, 'uploaded_shard' AS status, 0 AS returncode, 0.0::DOUBLE AS elapsed_seconds FROM part")
@@ -245,10 +245,10 @@ def best_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.best_report(rows, run="run", value="score", prefix="corrected-", key=["lane"])
 
 
-@registered("SELECT user_id, max(ts) AS last FROM events GROUP BY 1 ORDER BY last DESC, user_id DESC LIMIT 12")
+@registered("SELECT user_id, floor(epoch(max(ts)))::BIGINT AS last FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id DESC LIMIT 12")
 def newest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve reports: the limit is the feature."""
-    return reports.newest(table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last")), 12, time="last", name="user_id")
+    return reports.newest(table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last")), 12, time="last", name="user_id").withColumn("last", tables.epoch_seconds(F.col("last")))
 
 
 @registered("SELECT count(*) AS report_count, (sum(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey END))::BIGINT AS game_total, (sum(s_nationkey))::BIGINT AS ttyrec_total FROM supplier")
