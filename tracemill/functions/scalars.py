@@ -75,6 +75,23 @@ def name_list(text: Column, known: list[str]) -> Column:
     return F.when((F.size(names) > 0) & (F.size(unknown) == 0), names).otherwise(F.raise_error(F.concat(F.lit("unknown or no names: "), text)))
 
 
+def horizon_list(text: Column) -> Column:
+    """Positive integers of a comma-separated text; anything else in it, or none at all, is an error."""
+    values = int_list(text)
+    good = (F.size(values) > 0) & F.forall(values, lambda x: F.coalesce(x > 0, F.lit(False)))
+    return F.when(good, values).otherwise(F.raise_error(F.concat(F.lit("horizons must be positive integers: "), text)))
+
+
+def first_present(*values: Column) -> Column:
+    """The first value that is neither NULL nor an empty text."""
+    return F.coalesce(*[F.nullif(v.cast("string"), F.lit("")) for v in values])
+
+
+def action_name(kind: Column, name: Column) -> Column:
+    """Kind.NAME, or the kind alone where there is no name."""
+    return F.when(name.isNull(), kind).otherwise(F.concat_ws(".", kind, name))
+
+
 def list_text(values: Column) -> Column:
     """[1, 2, 3]"""
     return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: x.cast("string")), ", "), F.lit("]"))

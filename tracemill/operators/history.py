@@ -79,6 +79,15 @@ def outcome_feedback(action_id: Column, observation: Column) -> Column:
     return F.when(observation.isNotNull(), made)
 
 
+def result_feedback(action_id: str = "action_id") -> Column:
+    """Feedback on a step from its own result: rewards 0.0 and message '' where they are missing, time not advanced unless it says so."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return F.struct(
+        F.col(action_id).cast("int").alias("action_id"), number("reward").alias("reward"), number("cumulative_reward").alias("cumulative_reward"), F.coalesce("message", F.lit("")).alias("message"),
+        F.col("hp").alias("hp"), F.col("depth").alias("depth"), F.coalesce("game_time_advanced", F.lit(False)).alias("game_time_advanced"),
+    )
+
+
 def with_feedback(observation_text: Column, feedback: Column) -> Column:
     own = feedback_text(feedback)
     return F.when(own == "", observation_text).otherwise(F.concat(own, F.lit("\n\nCurrent rendered observation:\n"), observation_text))

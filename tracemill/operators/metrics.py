@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -148,6 +148,28 @@ def copy_baseline(rows: DataFrame, *, sequence: str, step: str, frame: str, hori
     return windows.select(sequence, F.col(step).alias("start"), F.col("_frames")[0].alias("prediction"), F.posexplode("_frames").alias("offset", "label"))
 
 
+def predicted_rollouts(starts: DataFrame, predictor: Callable[[pd.Series, pd.Series], pd.Series], *, key: Sequence[str], frame: str = "frame", actions: str = "actions") -> DataFrame:
+    """starts(key, frame, actions: array) -> (key, offset from 1, action, prediction): a predictor fed with its own frames, one action at a time.
+
+    ``predictor(frames, actions)`` takes a step of all rollouts of a batch at once; rollouts end with their actions. Models are the caller's.
+    """
+    fields = starts.select(*key, F.lit(1).alias("offset"), F.element_at(actions, 1).alias("action"), F.col(frame).alias("prediction")).schema
+
+    def run(batches):
+        for batch in batches:
+            left = batch[[*key, frame, actions]].rename(columns={frame: "prediction"}).reset_index(drop=True)
+            left["prediction"] = left["prediction"].astype(object)
+            lengths, step = left[actions].map(lambda a: 0 if a is None else len(a)), 0
+            while (lengths > step).any():
+                left, lengths = left[lengths > step].reset_index(drop=True), lengths[lengths > step].reset_index(drop=True)
+                now = left[actions].map(lambda a, k=step: a[k])
+                left["prediction"] = pd.Series(list(predictor(left["prediction"], now)), dtype=object)
+                step += 1
+                yield left[[*key]].assign(offset=step, action=now, prediction=left["prediction"])
+
+    return starts.select(*key, frame, actions).mapInPandas(run, fields)
+
+
 # Planes of cells: arrays of equal length
 
 

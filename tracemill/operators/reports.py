@@ -59,6 +59,24 @@ def best_report(reports: DataFrame, *, run: str, value: str, prefix: str, key: S
     return joined.groupBy(*key).agg(F.min_by(F.struct(*[c for c in reports.columns if c not in key]), run).alias("_r")).select(*key, "_r.*")
 
 
+#: Metrics of a rollout that a summary shows.
+SHOWN = ("fitness_score", "cumulative_reward", "score_delta", "depth_delta", "wall_message_rate", "bad_message_rate", "action_repeat_rate", "non_advancing_step_rate", "menu_or_prompt_step_rate", "dirty_live_progress_event_count", "zero_progress_episode")
+
+
+def compact(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys and those of the SHOWN metrics that there are."""
+    return metrics.select(*keys, *[c for c in SHOWN if c in metrics.columns])
+
+
+def dashboard(metrics: DataFrame, keys: Sequence[str], sides: Sequence[str] = ("current", "baseline")) -> DataFrame:
+    """A row per key: the shown metrics of both sides as structs, and their differences where both are numbers."""
+    shown = [c for c in SHOWN if c in metrics.columns]
+    of = lambda s: F.max(F.when(F.col("side") == s, F.struct(*shown))).alias(s)
+    both = compact(metrics, [*keys, "side"]).groupBy(*keys).agg(*map(of, sides))
+    a, b = (F.col(s) for s in sides)
+    return both.withColumn("deltas", F.struct(*[(a[c].cast("double") - b[c].cast("double")).alias(c) for c in shown]))
+
+
 def newest(reports: DataFrame, limit: int, *, time: str, name: str) -> DataFrame:
     """The newest reports, ties to the greatest name."""
     return reports.orderBy(F.desc(time), F.desc(name)).limit(limit)

@@ -215,6 +215,36 @@ def existing_eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("task").agg(F.count("*").alias("n"), F.countDistinct("gameid").alias("games"), F.min("gameid").alias("first_game"), F.max("gameid").alias("last_game"))
 
 
+@registered(f"""
+{base.BUILT_SQL}, r AS (SELECT count(*) FILTER (reason IS NOT NULL) AS n FROM t) SELECT 'talk' AS dataset_name, 'context_2' AS mode, 'talk-v0' AS env_id, count(*) AS accepted_rows, count(*) AS row_count, count(DISTINCT gameid) AS game_count, max(r.n)::BIGINT AS rejected_rows FROM b, r
+""")
+def dataset_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset written whole, with the report of what was rejected, and summed up from its files."""
+    path = ledger.shared_folder(spark, "dataset")
+    rejected = build.accepted_by_task(tables.conversation_steps(spark, sf_dir)).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("count"))
+    build.write_dataset(base.built_rows(spark, sf_dir), path, dataset_name="talk", mode="context_2", env_id="talk-v0", label_source="role", actions=[(0, "user")], rejections=rejected)
+    return readers.dataset_summary(spark, path)
+
+
+@registered(f"""
+{base.BUILT_SQL}, oo AS (SELECT gameid * 1000000 + step * 2 + (task = 'next_frame')::INTEGER AS ordinal, user_text FROM b)
+SELECT ordinal, md5(substr(user_text, position('Current observation:' || chr(10) IN user_text) + 21)) AS frame_md5 FROM oo ORDER BY ordinal LIMIT 15
+""")
+def first_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 15 rows' current frames: the limit is the feature."""
+    rows = base.built_rows(spark, sf_dir).withColumn("ordinal", F.col("gameid") * 1000000 + F.col("step") * 2 + (F.col("task") == "next_frame").cast("int"))
+    return readers.initial_frames(rows, 15).select("ordinal", F.md5(F.col("frame").cast("binary")).alias("frame_md5"))
+
+
+@registered(f"""
+{base.BUILT_SQL}, oo AS (SELECT gameid * 1000000 + step AS ordinal, assistant_text FROM b WHERE task = 'next_frame') SELECT ordinal, md5(assistant_text) AS frame_md5 FROM oo ORDER BY ordinal LIMIT 15
+""")
+def first_true_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 15 true next frames: the limit is the feature."""
+    rows = base.built_rows(spark, sf_dir).withColumn("ordinal", F.col("gameid") * 1000000 + F.col("step"))
+    return readers.first_frames(rows, 15).select("ordinal", F.md5(F.col("frame").cast("binary")).alias("frame_md5"))
+
+
 # Training rows
 
 

@@ -186,6 +186,24 @@ def novel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollouts.novelty(rows, episode=["episode"])
 
 
+@registered("""
+WITH s AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS a FROM conversations),
+p AS (SELECT x.conv_id, x.turn, x.text, (y.n - x.n)::INTEGER + 1 AS "offset", y.a AS action, sum(y.a) OVER (PARTITION BY x.conv_id, x.turn ORDER BY y.n) AS shift FROM s x JOIN s y ON x.conv_id = y.conv_id AND y.n BETWEEN x.n AND x.n + 3)
+SELECT conv_id, turn, "offset", action, md5(CASE WHEN length(text) = 0 THEN '' ELSE substr(text, (shift % length(text))::BIGINT + 1) || left(text, (shift % length(text))::BIGINT) END) AS prediction_md5 FROM p
+""")
+def predicted_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn played on for up to four actions by a predictor that turns its text by as many characters as the action says."""
+    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(0, 3)
+    action = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    starts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("frame"), F.collect_list(action).over(w).alias("actions"))
+
+    def turned(texts, actions):
+        return [t[a % len(t) :] + t[: a % len(t)] if t else t for t, a in zip(texts, actions, strict=True)]
+
+    played = metrics.predicted_rollouts(starts, turned, key=["conv_id", "turn"])
+    return played.select("conv_id", "turn", "offset", "action", F.md5(F.col("prediction").cast("binary")).alias("prediction_md5"))
+
+
 # Planes
 
 

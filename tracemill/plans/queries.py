@@ -310,13 +310,15 @@ def failure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1), d AS (SELECT doc_id, max((n_chars > 1000)::INTEGER) AS p FROM documents WHERE lang <> 'de' GROUP BY 1)
+WITH l AS (SELECT CASE WHEN toxic = 1 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, max(quality) AS q FROM labels GROUP BY 1), d AS (SELECT doc_id, max((n_chars > 1000)::INTEGER) AS p FROM documents GROUP BY 1)
 SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS paired, count(*) FILTER (l.doc_id IS NULL) AS policy_only, count(*) FILTER (d.doc_id IS NULL) AS frame_only,
        count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL AND p <> q) AS mismatched FROM d FULL JOIN l ON d.doc_id = l.doc_id
 """)
 def paired_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = table(spark, sf_dir, "documents").filter("lang != 'de'").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("label"), F.col("doc_id").alias("ordinal"))
-    frame = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")).withColumn("ordinal", F.col("doc_id"))
+    """All documents and all labels as rows of the two tasks; labels of toxic documents have identities that no document has."""
+    policy = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("label"), F.col("doc_id").alias("ordinal"))
+    own = F.when(F.col("toxic") == 1, F.col("doc_id") + 1000000000).otherwise(F.col("doc_id"))
+    frame = table(spark, sf_dir, "labels").groupBy(own.alias("doc_id")).agg(F.max("quality").alias("label")).withColumn("ordinal", F.col("doc_id"))
     return audit.paired(policy, frame, ["doc_id"])
 
 
@@ -476,7 +478,7 @@ def plane_changed_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def message_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the first lines of turns that follow each other (tested against difflib)."""
+    """Similarity of the messages of turns that follow each other, a turn's message being its first line as in a frame (tested against difflib)."""
     rows = table(spark, sf_dir, "conversations").withColumn("m", F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
     rows = transitions.pair_next(rows, "m", lane=["conv_id"], order=["turn"]).filter("next_value IS NOT NULL")
     return rows.select("conv_id", "turn", F.round(similarity_ratio("m", "next_value"), 6).alias("similarity"))
@@ -521,7 +523,7 @@ def proof_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH r AS (SELECT item_id::VARCHAR AS benchmark_id, item_id % 3 AS k, length(text) AS n FROM benchmark), c AS (SELECT count(*)::DOUBLE AS estimate, count(*)::DOUBLE / 2 AS lower FROM documents WHERE lang = 'en')
+WITH r AS (SELECT item_id::VARCHAR AS benchmark_id, item_id % 3 AS k, length(text) AS n FROM benchmark), c AS (SELECT count(*)::DOUBLE AS estimate, count(*)::DOUBLE / 2 AS lower FROM documents)
 SELECT benchmark_id, CASE WHEN k = 0 THEN 'reference_only' WHEN k = 1 AND lower >= n THEN 'passed' WHEN k = 2 AND lower >= n / 2.0::DOUBLE THEN 'passed' ELSE 'failed' END AS status,
        CASE k WHEN 1 THEN n::DOUBLE WHEN 2 THEN n / 2.0::DOUBLE END AS threshold, CASE WHEN k <> 0 THEN CASE WHEN k = 1 THEN lower >= n ELSE lower >= n / 2.0::DOUBLE END END AS passed FROM r, c
 """)
@@ -533,7 +535,7 @@ def benchmark_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("item_id") % 3 == 0, "reference_only").when(F.col("item_id") % 3 == 1, "candidate_lower_at_least_target_estimate").otherwise("candidate_lower_at_least_target_lower").alias("comparison"),
         F.struct(size.alias("estimate"), (size / 2).alias("lower")).alias("target"),
     )
-    candidate = table(spark, sf_dir, "documents").filter("lang = 'en'").agg(F.count("*").cast("double").alias("estimate")).select(F.lit("count").alias("metric"), "estimate", (F.col("estimate") / 2).alias("lower"))
+    candidate = table(spark, sf_dir, "documents").agg(F.count("*").cast("double").alias("estimate")).select(F.lit("count").alias("metric"), "estimate", (F.col("estimate") / 2).alias("lower"))
     return compare.benchmark_comparison(registry, candidate, ["p"]).select("benchmark_id", "status", "threshold", "passed")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import frames, scalars
-from ..operators import compare, history, planes, reports, rollouts
+from ..operators import compare, history, planes, reports, rollouts, transitions
 from ..sources import readers
 from ..streaming import ledger
 from . import queries as base
@@ -60,6 +60,34 @@ def shard_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.shard_records(names, source_root="/source", shard_path=F.concat(F.lit("shard-"), (F.col("p_size") % 5).cast("string")))
 
 
+@registered("""
+WITH b AS (SELECT event_id // 100 AS k, count(*) AS n, max(event_id) AS last, count(*) FILTER (event_type = 'click') AS policy_rows, count(*) FILTER (event_type = 'view') AS frame_rows FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id, event_type FROM events) GROUP BY 1)
+SELECT (sum(n) OVER w)::BIGINT AS processed, last::BIGINT AS last, (sum(policy_rows) OVER w)::BIGINT AS policy_rows, (sum(frame_rows) OVER w)::BIGINT AS frame_rows FROM b WINDOW w AS (ORDER BY k)
+""")
+def build_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a build over the events reports after every hundredth."""
+    rows = transitions.dense_numbers(table(spark, sf_dir, "events").select("event_id", "event_type"), key="event_id", order=["event_id"], alias="ordinal")
+    kind = F.col("event_type")
+    return ledger.progress_records(rows.withColumn("ordinal", F.col("ordinal").cast("long")), 100, {"policy_rows": kind == "click", "frame_rows": kind == "view"})
+
+
+@registered("""
+WITH e AS (SELECT event_id % 100 AS r, event_type FROM events)
+SELECT event_type, count(*) AS n, count(*) FILTER (CASE event_type WHEN 'click' THEN r > 0 AND (r % 32 = 0 OR r >= 90) WHEN 'view' THEN r > 0 AND r % 32 = 0 WHEN 'error' THEN r > 0 AND (r % 32 = 0 OR r >= 50) ELSE false END) AS saved FROM e GROUP BY 1
+""")
+def saved_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as progress of rows (of 90), windows (of unknown many) and cases (of 50)."""
+    done = (F.col("event_id") % 100).cast("int")
+    of = lambda kind: F.when(F.col("event_type") == kind, done)
+    most = lambda kind, n: F.when(F.col("event_type") == kind, n)
+    none = F.lit(None).cast("int")
+    record = F.struct(
+        of("click").alias("evaluated_rows"), most("click", 90).alias("max_rows"), of("view").alias("evaluated_windows"), none.alias("max_windows"), none.alias("evaluated_frames"), none.alias("max_frames"), of("error").alias("evaluated_cases"),
+        most("error", 50).alias("max_cases"),
+    )
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(ledger.worth_saving(record)).alias("saved"))
+
+
 # Sources
 
 
@@ -245,6 +273,27 @@ def best_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.best_report(rows, run="run", value="score", prefix="corrected-", key=["lane"])
 
 
+@registered(f"""
+{base.SUMMARY_SQL} SELECT c.seed, round(c.fitness_score, 6) AS current_fitness, round(b.fitness_score, 6) AS baseline_fitness, c.cumulative_reward - b.cumulative_reward AS reward_delta, (c.zero_progress - b.zero_progress)::DOUBLE AS zero_progress_delta
+FROM u c FULL JOIN (SELECT * FROM u WHERE side = 'baseline') b ON c.seed = b.seed WHERE c.side = 'current'
+""")
+def sweep_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of every seed with a current side, and their differences."""
+    told = reports.dashboard(rollouts.summaries(tables.watch_events(spark, sf_dir)), ["seed"]).filter("current IS NOT NULL")
+    return told.select(
+        "seed", F.round("current.fitness_score", 6).alias("current_fitness"), F.round("baseline.fitness_score", 6).alias("baseline_fitness"), F.col("deltas.cumulative_reward").alias("reward_delta"), F.col("deltas.zero_progress_episode").alias("zero_progress_delta")
+    )
+
+
+@registered(f"""
+WITH {tables.WATCH_SQL} SELECT seed, side, step::INTEGER AS step, md5('- action_id=' || coalesce(action_id::VARCHAR, 'None') || ' reward=' || reward::VARCHAR || ' total=' || cumulative_reward::VARCHAR || ' hp=' || hp || ' depth=' || depth || ' advanced=' || (NOT still)::VARCHAR) AS feedback_md5 FROM f
+""")
+def result_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback of every rollout step from its own result, up to the message."""
+    line = F.regexp_replace(history.feedback_text(F.array(history.result_feedback())), "^Recent action feedback:\n| message=.*$", "")
+    return tables.watch_events(spark, sf_dir).select("seed", "side", "step", F.md5(line.cast("binary")).alias("feedback_md5"))
+
+
 @registered("SELECT user_id, floor(epoch(max(ts)))::BIGINT AS last FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id DESC LIMIT 12")
 def newest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve reports: the limit is the feature."""
@@ -296,6 +345,24 @@ def unnested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Parsing
 
 
+@registered("""
+SELECT role, count(*) AS n, sum(CASE WHEN turn % 3 = 0 THEN turn % 5 + 1 ELSE 11 END)::BIGINT AS horizon_sum, count(*) FILTER (turn % 4 > 0) AS named, md5(string_agg(DISTINCT CASE WHEN turn % 4 = 0 THEN 'Kind' ELSE 'Kind.' || upper(role) END, ',' ORDER BY CASE WHEN turn % 4 = 0 THEN 'Kind' ELSE 'Kind.' || upper(role) END)) AS names_md5,
+       count(*) FILTER (coalesce(nullif(text, ''), role) = role) AS fallbacks FROM conversations GROUP BY 1
+""")
+def parsed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizons, names of actions and tasks, and first values that there are."""
+    t = F.col("turn")
+    horizons = scalars.horizon_list(F.when(t % 3 == 0, (t % 5 + 1).cast("string")).otherwise(" 1, 10,"))
+    name = scalars.action_name(F.lit("Kind"), F.when(t % 4 > 0, F.upper("role")))
+    tasks = scalars.name_list(F.lit("next_frame, policy_action,next_frame"), ["policy_action", "next_frame"])
+    rows = table(spark, sf_dir, "conversations").select("role", horizons.alias("h"), name.alias("name"), scalars.first_present(F.col("text"), F.col("role")).alias("first"), tasks.alias("tasks"))
+    rows = rows.filter(F.size("tasks") == 2)
+    return rows.groupBy("role").agg(
+        F.count("*").alias("n"), F.sum(F.aggregate("h", F.lit(0), lambda a, x: a + x)).alias("horizon_sum"), F.count_if(F.col("name") != "Kind").alias("named"),
+        F.md5(F.array_join(F.sort_array(F.collect_set("name")), ",").cast("binary")).alias("names_md5"), F.count_if(F.col("first") == F.col("role")).alias("fallbacks"),
+    )
+
+
 @registered("""
 WITH e AS (SELECT event_id, (props::JSON ->> '$.k')::INTEGER AS k FROM events)
 SELECT CASE WHEN k % 10 = 9 THEN 'unknown' WHEN k // 10 <= 1 THEN '1' WHEN k // 10 <= 3 THEN '2-3' WHEN k // 10 <= 6 THEN '4-6' ELSE '7+' END AS depth, CASE WHEN k + 30 BETWEEN 32 AND 126 THEN chr(k + 30) ELSE 'keycode_' || (k + 30) END AS label,

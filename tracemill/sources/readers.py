@@ -144,6 +144,38 @@ def eval_rows(spark: SparkSession, path: str, *, split: str, tasks: Sequence[str
     return rows
 
 
+def dataset_summary(spark: SparkSession, path: str) -> DataFrame:
+    """One row on a written dataset: name, mode, accepted rows as its manifest says and as there are, and rejected rows.
+
+    A dataset without manifest or rejection report was not completed, and reading it is an error.
+    """
+    manifest = spark.read.schema("dataset_name string, mode string, env_id string, accepted_rows bigint").json(f"{path}/manifest")
+    rows = spark.read.schema(schemas.SUPERVISED_ROW).json(f"{path}/rows").agg(F.count("*").alias("row_count"), F.countDistinct("gameid").alias("game_count"))
+    rejected = spark.read.schema(schemas.REJECTIONS).json(f"{path}/rejection_report").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rejected_rows"))
+    return manifest.crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(rejected))
+
+
+def games_of(plan: DataFrame, shard_index: int) -> DataFrame:
+    return plan.filter(F.col("shard_index") == shard_index).select("gameid")
+
+
+def initial_frames(rows: DataFrame, count: int) -> DataFrame:
+    """ordinal, frame: the current observations of the first rows, policy rows and next-frame rows alike."""
+    first = rows.orderBy("ordinal").limit(count)
+    user = F.element_at(F.filter("messages", lambda m: m["role"] == "user"), -1)["content"]
+    return first.select("ordinal", F.substring_index(user, "Current observation:\n", -1).alias("frame"))
+
+
+def valid_actions(manifest: DataFrame) -> DataFrame:
+    """One row: the action ids of a manifest in its order."""
+    return manifest.agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "action_id"))), lambda x: x["action_id"]).alias("valid_action_ids"))
+
+
+def file_entries(spark: SparkSession, path: str) -> DataFrame:
+    """path, name and size of the files below a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size_bytes"))
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with an ordinal from 0 in the given order (one task: for small tables such as manifests)."""
     return rows.withColumn("ordinal", F.row_number().over(W.orderBy(*order)) - 1)

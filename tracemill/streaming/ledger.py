@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -57,6 +57,25 @@ def restarts(records: DataFrame, counter: str, *, key: list[str], order: str) ->
     return records.withColumn("_fell", fell).groupBy(*key).agg(F.count("*").alias("event_count"), F.count_if("_fell").alias("restart_count"), F.coalesce(F.max(counter), F.lit(0)).alias(f"max_{counter}"))
 
 
+def progress_records(rows: DataFrame, interval: int, counters: dict[str, Column], *, number: str = "ordinal") -> DataFrame:
+    """A record after every ``interval`` rows by their number (from 0, without gaps) and after the last: processed rows and running counters.
+
+    Rows are counted per interval first, so that running sums go over one row for each interval.
+    """
+    blocks = rows.groupBy(F.floor(F.col(number) / interval).alias("_block")).agg(F.count("*").alias("_n"), F.max(number).alias("last"), *[F.count_if(c).alias(n) for n, c in counters.items()])
+    upto = W.orderBy("_block").rowsBetween(W.unboundedPreceding, 0)
+    return blocks.select(F.sum("_n").over(upto).alias("processed"), "last", *[F.sum(n).over(upto).alias(n) for n in counters])
+
+
+def worth_saving(record: Column, every: int = 32) -> Column:
+    """Whether evaluation progress is to be saved: each 32nd row, window, frame or case, and the last; the first counter that runs decides."""
+    out = F.lit(False)
+    for kind in ("cases", "frames", "windows", "rows"):
+        done, most = record[f"evaluated_{kind}"], record[f"max_{kind}"]
+        out = F.when(done > 0, (done % every == 0) | F.coalesce(done >= most, F.lit(False))).otherwise(out)
+    return out
+
+
 def windowed_counts(events: DataFrame, *, time: str, group: str, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events per window and group; on a stream, later records than ``late`` are dropped with their state."""
     return events.withWatermark(time, late).groupBy(F.window(time, length), group).agg(F.count("*").alias("n"))
