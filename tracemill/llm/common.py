@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, as one document may hold 100,000 characters and more."""
+    """Arrow batches of few rows, as one document may hold 100,000 characters and more. This stays set for the session: a lazy result reads it when it runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
