@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents through five operators, each stage written as Parquet and read again."""
+"""The corpus pipeline: documents through five operators, each stage written as Parquet and read again.
+
+Defined results: null and empty texts fail the quality rules and go; texts of any length go through whole; rows with the same doc_id are one document to line
+dedup and near-dedup and rows of their own to all else; ties are settled by each operator as it says; without labels of both classes only the fixed quality
+rules decide; extra columns, whatever their names, are kept up to the last stage; an empty table gives no rows. Only the last stage returns other columns.
+"""
 
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_bucket, rate
+from ..functions.scalars import depth_bucket, hash_bucket, missing_as, rate
+from .splits import RANGES
 
 #: Metrics in which lower is better, beside those that end in _mae.
 LOWER_IS_BETTER = ("next_frame_teacher_forced_mean_nll", "next_frame_teacher_forced_perplexity")
@@ -126,20 +127,22 @@ def one_identity(reports: DataFrame, identity: Sequence[str]) -> DataFrame:
 def shuffled_pairs(rows: DataFrame, *, group: Sequence[str], key: str, label: str, seed: int) -> DataFrame:
     """Each row with the next row of its group, in hash order and around the end, that has another label: (columns, other key).
 
-    Runs of equal labels are numbered in hash order; the row after a run's end is the partner of the whole run, so nothing is joined with all of its group.
+    A group is cut into ranges of the hash. Runs of equal labels are numbered within a range, and the row after a run's end is the partner of the whole run. For
+    the last run of a range it is found in a list of the group's ranges: the first row of each and its first one of another label. So no task sorts a
+    group, and nothing is joined with all of it.
     """
-    w = W.partitionBy(*group).orderBy("_h", key)
-    ranked = rows.withColumn("_h", hash_bucket(seed, F.col(key)))
-    starts = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)), 0).otherwise(1)
+    w = W.partitionBy(*group, "_range").orderBy("_h", key)
+    ranked = rows.withColumn("_h", hash_bucket(seed, F.col(key))).withColumn("_range", F.least(F.floor(F.col("_h") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    starts = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     runs = ranked.withColumn("_s", starts).withColumn("_run", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    first = runs.groupBy(*group, "_run").agg(F.min_by(F.struct(F.col(key).alias("other_key"), F.col(label).alias("other_label")), F.struct("_h", key)).alias("_first"), F.max(label).alias("_label"))
-    order = W.partitionBy(*group).orderBy("_run")
-    around = W.partitionBy(*group)
-    one, two = F.min_by("_first", "_run").over(around), F.min_by("_first", F.when(F.col("_run") == 2, 0).otherwise(F.col("_run") + 1)).over(around)
-    # the last run goes on with the first; where both have one label, with the second
-    following = F.coalesce(F.lead("_first").over(order), F.when(one["other_label"] != F.col("_label"), one).when(two["other_label"] != F.col("_label"), two))
-    partners = first.withColumn("_next", following).select(*group, "_run", "_next")
-    return runs.join(partners, [*group, "_run"]).filter("_next IS NOT NULL").select(*rows.columns, F.col("_next.other_key").alias("other_key"), F.col("_next.other_label").alias("other_label"))
+    first = runs.groupBy(*group, "_range", "_run").agg(F.min_by(F.struct(F.col(key).alias("other_key"), F.col(label).alias("other_label")), F.struct("_h", key)).alias("_first"), F.max(label).alias("_label"))
+    first = first.withColumn("_next", F.lead("_first").over(W.partitionBy(*group, "_range").orderBy("_run")))
+    heads = first.filter("_run = 1").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_range", F.col("_first").alias("a"), F.col("_next").alias("b")))).alias("_heads"))
+    around = F.concat(F.filter("_heads", lambda x: x["_range"] > F.col("_range")), F.filter("_heads", lambda x: x["_range"] <= F.col("_range")))
+    others = F.transform(around, lambda x: F.when(x["a"]["other_label"] != F.col("_label"), x["a"]).otherwise(x["b"]))
+    last = first.filter("_next IS NULL").join(heads, list(group)).withColumn("_next", F.get(F.filter(others, lambda x: x.isNotNull()), F.lit(0)))
+    partners = first.filter("_next IS NOT NULL").select(*group, "_range", "_run", "_next").union(last.select(*group, "_range", "_run", "_next"))
+    return runs.join(partners, [*group, "_range", "_run"]).filter("_next IS NOT NULL").select(*rows.columns, F.col("_next.other_key").alias("other_key"), F.col("_next.other_label").alias("other_label"))
 
 
 def context_length(recorded: Column, user_text: Column) -> Column:
@@ -147,6 +150,11 @@ def context_length(recorded: Column, user_text: Column) -> Column:
     return F.coalesce(recorded.cast("long"), F.regexp_count(user_text, F.lit("Previous action_id:")).cast("long"))
 
 
+def matching_key(mode: Column, length: Column, role: Column, depth: Column) -> Column:
+    """What rows have to agree in to be swapped with each other: mode, length of context, role and depth."""
+    return F.struct(missing_as(mode, "unknown").alias("mode"), length.alias("context_length"), missing_as(role, "unknown").alias("role"), depth_bucket(depth).alias("depth"))
+
+
 def sensitivity(cases: DataFrame, group: Sequence[str]) -> DataFrame:
     """One row over cases(group, target, natural, shuffled predictions; shuffled NULL where a row has no partner): how far predictions depend on the current state."""
     used = F.col("shuffled").isNotNull()

@@ -170,6 +170,12 @@ def predicted_rollouts(starts: DataFrame, predictor: Callable[[pd.Series, pd.Ser
     return starts.select(*key, frame, actions).mapInPandas(run, fields)
 
 
+def with_truth(predictions: DataFrame, truths: DataFrame, *, key: Sequence[str]) -> DataFrame:
+    """predictions(key, offset, prediction) with the true frame of truths(key, offset, truth), NULL past the last one, and the share of characters in place."""
+    joined = predictions.join(truths.select(*key, "offset", "truth"), [*key, "offset"], "left")
+    return joined.withColumns({"exact": F.col("prediction") == F.col("truth"), "char_accuracy": F.when(F.col("truth").isNotNull(), frames.char_accuracy(F.col("prediction"), F.col("truth")))})
+
+
 # Planes of cells: arrays of equal length
 
 

@@ -79,6 +79,15 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("split_code", F.when(good, F.col("split_code")).otherwise(F.raise_error(F.lit("a plane is missing or of another size"))))
 
 
+def split_failures(rows: DataFrame) -> DataFrame:
+    """rows(split, gameid): splits that have no rows (gameid NULL), and games that several splits have."""
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame([(s,) for s in SPLIT_CODES], "split string")
+    missing = wanted.join(rows.select("split").distinct(), "split", "left_anti").select("split", F.lit(None).cast("long").alias("gameid"), F.lit("split_without_rows").alias("failure"))
+    shared = rows.select("split", "gameid").distinct().withColumn("_n", F.count("*").over(W.partitionBy("gameid"))).filter("_n > 1")
+    return missing.union(shared.select("split", "gameid", F.lit("game_in_several_splits")))
+
+
 def round_trip(rows: DataFrame) -> DataFrame:
     """The table written as Parquet by split, and read again."""
     folder = shared_folder(rows.sparkSession, "planes")

@@ -68,6 +68,13 @@ TERMS = {
 }
 
 
+def paired_sides(current: DataFrame, baseline: DataFrame, *, key: Sequence[str] = ("run_id", "seed", "step")) -> DataFrame:
+    """Steps of two rollouts side by side: a struct for each side, NULL where it took no such step, and whether both did and acted alike."""
+    side = lambda rows, name: rows.select(*key, F.struct(*[c for c in rows.columns if c not in key]).alias(name))
+    joined = side(current, "current").join(side(baseline, "baseline"), list(key), "full_outer")
+    return joined.withColumn("same_action", F.coalesce(F.col("current.action_id") == F.col("baseline.action_id"), F.lit(False)))
+
+
 def long_events(reports: DataFrame, sides: Sequence[str] = ("current", "baseline")) -> DataFrame:
     """reports(run_id, seed, events: array<struct<step, current, baseline>>) -> a row per step and side that took part, the side's fields as columns."""
     steps = reports.select("run_id", "seed", F.explode("events").alias("e"))

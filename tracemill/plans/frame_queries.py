@@ -193,6 +193,10 @@ SELECT conv_id, turn, "offset", action, md5(CASE WHEN length(text) = 0 THEN '' E
 """)
 def predicted_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn played on for up to four actions by a predictor that turns its text by as many characters as the action says."""
+    return played(spark, sf_dir).select("conv_id", "turn", "offset", "action", F.md5(F.col("prediction").cast("binary")).alias("prediction_md5"))
+
+
+def played(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(0, 3)
     action = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
     starts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("frame"), F.collect_list(action).over(w).alias("actions"))
@@ -200,8 +204,24 @@ def predicted_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def turned(texts, actions):
         return [t[a % len(t) :] + t[: a % len(t)] if t else t for t, a in zip(texts, actions, strict=True)]
 
-    played = metrics.predicted_rollouts(starts, turned, key=["conv_id", "turn"])
-    return played.select("conv_id", "turn", "offset", "action", F.md5(F.col("prediction").cast("binary")).alias("prediction_md5"))
+    return metrics.predicted_rollouts(starts, turned, key=["conv_id", "turn"])
+
+
+@registered("""
+WITH s AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS a FROM conversations),
+p AS (SELECT x.conv_id, x.n, x.text, (y.n - x.n)::INTEGER + 1 AS "offset", sum(y.a) OVER (PARTITION BY x.conv_id, x.turn ORDER BY y.n) AS shift FROM s x JOIN s y ON x.conv_id = y.conv_id AND y.n BETWEEN x.n AND x.n + 3),
+q AS (SELECT p.*, CASE WHEN length(p.text) = 0 THEN '' ELSE substr(p.text, (shift % length(p.text))::BIGINT + 1) || left(p.text, (shift % length(p.text))::BIGINT) END AS prediction, z.text AS truth FROM p LEFT JOIN s z ON z.conv_id = p.conv_id AND z.n = p.n + p."offset"),
+r AS (SELECT *, greatest(length(prediction), length(truth)) AS total, len(list_filter(range(1, least(length(prediction), length(truth)) + 1), lambda k: substr(prediction, k, 1) = substr(truth, k, 1))) AS same FROM q WHERE truth IS NOT NULL),
+t AS (SELECT "offset", count(*) AS n FROM q GROUP BY 1)
+SELECT "offset", any_value(t.n) AS n, count(*) AS with_truth, count(*) FILTER (prediction = truth) AS exact, round(avg(CASE WHEN total = 0 THEN 1.0 ELSE same::DOUBLE / total END), 6) AS char_accuracy FROM r JOIN t USING ("offset") GROUP BY 1
+""")
+def rollout_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames played by the predictor against the turns that followed, as far as there are any."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("after", F.collect_list(F.coalesce("text", F.lit(""))).over(w.rowsBetween(1, 4)))
+    truths = c.select("conv_id", "turn", F.posexplode("after").alias("offset", "truth")).withColumn("offset", F.col("offset") + 1)
+    told = metrics.with_truth(played(spark, sf_dir), truths, key=["conv_id", "turn"])
+    return told.groupBy("offset").agg(F.count("*").alias("n"), F.count("truth").alias("with_truth"), F.count_if("exact").alias("exact"), F.round(F.avg("char_accuracy"), 6).alias("char_accuracy"))
 
 
 # Planes
@@ -267,6 +287,16 @@ def transition_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered("""
+WITH s AS (SELECT DISTINCT vec_id // 20 AS gameid, CASE WHEN vec_id % 40 = 7 THEN 'validation' ELSE 'train' END AS split FROM embeddings), n AS (SELECT *, count(*) OVER (PARTITION BY gameid) AS c FROM s)
+SELECT split, gameid::BIGINT AS gameid, 'game_in_several_splits' AS failure FROM n WHERE c > 1 UNION ALL SELECT 'test', NULL, 'split_without_rows'
+""")
+def plane_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits of a table that lacks one and has games in two."""
+    split = F.when(F.col("vec_id") % 40 == 7, "validation").otherwise("train")
+    return planes.split_failures(table(spark, sf_dir, "embeddings").select(split.alias("split"), F.floor(F.col("vec_id") / 20).alias("gameid")))
+
+
 # Candidates and rankings
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frames, scalars
 from ..operators import compare, history, planes, reports, rollouts, transitions
-from ..sources import readers
+from ..sources import readers, writers
 from ..streaming import ledger
 from . import queries as base
 from . import tables
@@ -126,9 +126,9 @@ def label_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def action_manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as an action list, written as one JSON document and read again."""
     kinds = table(spark, sf_dir, "events").groupBy("event_type").count().agg(F.sort_array(F.collect_list("event_type")).alias("k"))
-    entries = F.transform("k", lambda x, i: F.struct((i + 10).alias("action_id"), x.alias("nle_action_name"), (i + 97).alias("raw_key_code"), F.char(i + 97).alias("key_label")))
     path = ledger.shared_folder(spark, "action-manifest")
-    kinds.select(F.to_json(F.struct(F.lit("events-v0").alias("env_id"), entries.alias("entries")))).coalesce(1).write.text(path)
+    actions = kinds.select(F.posexplode("k").alias("ordinal", "nle_action_name")).select("*", (F.col("ordinal") + 10).alias("action_id"), (F.col("ordinal") + 97).alias("raw_key_code"), F.char(F.col("ordinal") + 97).alias("key_label"))
+    writers.write_action_manifest(actions, path, "events-v0")
     return readers.action_manifest(spark, path).select("env_id", "ordinal", "action_id", "nle_action_name")
 
 
@@ -342,9 +342,42 @@ def unnested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered(f"""
+WITH {tables.WATCH_SQL} SELECT seed, count(*) AS n_steps, count(c.step) AS current_steps, count(b.step) AS baseline_steps, count(*) FILTER (c.action_id = b.action_id) AS same_actions
+FROM (SELECT * FROM f WHERE side = 'current') c FULL JOIN (SELECT * FROM f WHERE side = 'baseline') b USING (seed, step) GROUP BY 1
+""")
+def paired_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts of both sides, step by step."""
+    rows = tables.watch_events(spark, sf_dir)
+    sides = [rows.filter(F.col("side") == s).select("run_id", "seed", "step", "action_id", "reward") for s in ("current", "baseline")]
+    return rollouts.paired_sides(*sides).groupBy("seed").agg(F.count("*").alias("n_steps"), F.count("current").alias("current_steps"), F.count("baseline").alias("baseline_steps"), F.count_if("same_action").alias("same_actions"))
+
+
+@registered("SELECT role, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars, (SELECT sum(1 + 1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))::BIGINT FROM conversations) AS lines FROM conversations GROUP BY 1")
+def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as one session of play, written as events and frames, and both read again."""
+    path = ledger.shared_folder(spark, "session")
+    steps = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("step"), "role", F.coalesce("text", F.lit("")).alias("frame"))
+    writers.write_session(steps, path)
+    lines = spark.read.text(f"{path}/frames").agg(F.count("*").alias("lines"))
+    events = spark.read.schema("step long, role string, frame string").json(f"{path}/events")
+    return events.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("frame")).cast("long").alias("chars")).crossJoin(F.broadcast(lines))
+
+
 # Parsing
 
 
+@registered(f"""
+{base.BUILT_SQL} SELECT 'context_2' AS mode, ((length(user_text) - length(replace(user_text, 'Previous action_id:', ''))) // 19)::BIGINT AS context_length, 'unknown' AS role,
+  CASE WHEN step <= 1 THEN '1' WHEN step <= 3 THEN '2-3' WHEN step <= 6 THEN '4-6' ELSE '7+' END AS depth, count(*) AS n FROM b GROUP BY ALL
+""")
+def matching_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of rows whose frames may be swapped."""
+    length = compare.context_length(F.lit(None), frames.last_content(F.col("messages"), "user"))
+    key = compare.matching_key(F.col("mode"), length, F.lit(""), F.col("step"))
+    return base.built_rows(spark, sf_dir).groupBy(key.alias("k")).agg(F.count("*").alias("n")).select("k.*", "n")
+
+
 @registered("""
 SELECT role, count(*) AS n, sum(CASE WHEN turn % 3 = 0 THEN turn % 5 + 1 ELSE 11 END)::BIGINT AS horizon_sum, count(*) FILTER (turn % 4 > 0) AS named, md5(string_agg(DISTINCT CASE WHEN turn % 4 = 0 THEN 'Kind' ELSE 'Kind.' || upper(role) END, ',' ORDER BY CASE WHEN turn % 4 = 0 THEN 'Kind' ELSE 'Kind.' || upper(role) END)) AS names_md5,
        count(*) FILTER (coalesce(nullif(text, ''), role) = role) AS fallbacks FROM conversations GROUP BY 1

@@ -30,6 +30,20 @@ def write_report(report: DataFrame, path: str) -> None:
     spark.createDataFrame([(report_text(report).rstrip("\n"),)], "value string").coalesce(1).write.text(path)
 
 
+def write_action_manifest(actions: DataFrame, path: str, env_id: str) -> None:
+    """actions(ordinal, action_id, nle_action_name, raw_key_code, key_label) as one JSON document."""
+    fields = ("action_id", "nle_action_name", "raw_key_code", "key_label")
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    actions.agg(entries.alias("entries")).select(F.to_json(F.struct(F.lit(env_id).alias("env_id"), "entries"))).coalesce(1).write.text(path)
+
+
+def write_session(steps: DataFrame, path: str, *, order: str = "step", frame: str = "frame") -> None:
+    """A session of play: its steps as JSON lines in order, and its frames as text, one after another, each under its number."""
+    own = steps.orderBy(order)
+    own.write.json(f"{path}/events")
+    own.select(F.concat(F.lit("--- "), F.col(order).cast("string"), F.lit("\n"), frame)).write.text(f"{path}/frames")
+
+
 def concatenated(parts: list[DataFrame], limit: int | None = None) -> DataFrame:
     """Rows of all parts, each with shard_index and ordinal; the first ``limit`` of them in that order."""
     tagged = [p.withColumn("shard_index", F.lit(k)) for k, p in enumerate(parts)]
