@@ -44,7 +44,7 @@ from . import common, words
 class PieceEncoder:
     """Ids of whole texts as bytes of ``dtype``; distinct words are encoded once, until ``limit`` of them are known."""
 
-    limit = 250_000
+    limit = 1_000_000
 
     def __init__(self, tokenizer_path: str, dtype: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
