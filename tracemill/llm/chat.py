@@ -143,3 +143,24 @@ def digests(turns: DataFrame, tokenizer_path: str) -> DataFrame:
 def round_trip(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     """Format, write to the shared folder, read back and digest."""
     return digests(common.written(formatted(conversations, tokenizer_path), "chat"), tokenizer_path)
+
+
+def _added(text: str) -> str:
+    """SQL for the escape characters that a text gets; no control string begins another or overlaps itself."""
+    return " + ".join(f"(length({text}) - length(replace({text}, {c}, ''))) // {n}" for c, n in [("chr(27)", 1), *((f"'{c}'", len(c)) for c in CONTROL)])
+
+
+CHAT_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
+), e AS (
+  SELECT *, {len(TURN) + len(SAYS) + len(END)} + length(role) + length(text) + {_added("role")} + {_added("text")} AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -191,3 +191,29 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     gone = near_duplicates(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
     gone = common.written(gone, "near-duplicates")
     return docs.join(common.small_side(gone), docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
+#: near_duplicates of width 4 and 80 percent, by comparing all classes that share a shingle.
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3]))) END AS shingles FROM d
+), k AS (
+  SELECT doc_id, len(shingles) AS n, shingles, CASE WHEN len(shingles) > 0 THEN min(doc_id) OVER (PARTITION BY shingles) ELSE doc_id END AS class_id FROM s
+), c AS (
+  SELECT class_id AS id, n, unnest(shingles) AS shingle FROM k WHERE doc_id = class_id
+), p AS (
+  SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS both_have FROM c a JOIN c b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p WHERE 100 * both_have >= 80 * (na + nb - both_have)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT DISTINCT class_id AS id, class_id AS root FROM k UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id
+), m AS (
+  SELECT id, min(root) AS component_id FROM r GROUP BY 1
+)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept, class_id FROM k JOIN m ON m.id = k.class_id
+"""

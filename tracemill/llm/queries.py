@@ -83,4 +83,4 @@ QUERIES: dict[str, Query] = {
         op6_mixing, op7_token_files, op8_pii, op9_chat, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.NEAR_SQL, "op6_mixing": mixing.MIX_SQL, "op9_chat": chat.CHAT_SQL}
