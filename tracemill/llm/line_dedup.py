@@ -448,3 +448,32 @@ def deduplicated(docs: DataFrame, percent: int = 80, drop_emptied: bool = True)
 
     # by place: the columns of docs may have any names
     return joined.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)], cut["cut_lines"].alias("gone")).mapInArrow(run, docs.schema)
+
+
+#: op2_line_dedup, by comparing all sets that share a word and are near enough in size.
+LINES_SQL = r"""
+WITH t AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM t
+), s AS (
+  SELECT doc_id, n, doc_id * 1000000 + n AS place,
+         list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l
+), c AS (
+  SELECT row_number() OVER () AS id, w, len(w) AS k, min(place) AS first FROM s WHERE len(w) > 0 GROUP BY w
+), x AS (
+  SELECT id, k, unnest(w) AS word FROM c
+), p AS (
+  SELECT a.id AS a, b.id AS b, a.k AS ka, b.k AS kb, count(*) AS both_have FROM x a JOIN x b ON a.word = b.word AND a.id < b.id AND 100 * least(a.k, b.k) >= 80 * greatest(a.k, b.k) GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p WHERE 100 * both_have >= 80 * (ka + kb - both_have) UNION ALL SELECT b, a FROM p WHERE 100 * both_have >= 80 * (ka + kb - both_have)
+), d AS (
+  SELECT e.a AS id, count(*) AS degree, min(c.first) AS earliest FROM e JOIN c ON c.id = e.b GROUP BY 1
+), j AS (
+  SELECT s.doc_id, s.n, coalesce(degree, 0) AS degree, s.place > c.first OR coalesce(d.earliest < c.first, false) AS gone, c.first // 1000000 AS class_doc FROM s JOIN c ON c.w = s.w LEFT JOIN d ON d.id = c.id
+), g AS (
+  SELECT doc_id, min(class_doc) AS class_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sum(degree)::BIGINT AS n_links, string_agg(n, ',' ORDER BY n) FILTER (gone) AS removed FROM j GROUP BY 1
+)
+SELECT doc_id, coalesce(class_id, doc_id)::BIGINT AS class_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(removed, '') AS removed
+FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id)
+"""

@@ -20,7 +20,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document; those without lines that hold words have none removed."""
+    """A row per document, removed line numbers as text; those without lines that hold words have none removed."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     found = line_dedup.removed_lines(docs).withColumnRenamed("doc_id", "found_id")
@@ -30,7 +30,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        "removed",
+        F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"),
     )
 
 
@@ -83,4 +83,4 @@ QUERIES: dict[str, Query] = {
         op6_mixing, op7_token_files, op8_pii, op9_chat, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.NEAR_SQL, "op6_mixing": mixing.MIX_SQL, "op9_chat": chat.CHAT_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.LINES_SQL, "op4_minhash_near_dedup": minhash.NEAR_SQL, "op6_mixing": mixing.MIX_SQL, "op9_chat": chat.CHAT_SQL}
