@@ -85,7 +85,7 @@ class _PieceTable:
 class PieceLattice:
     """Pieces and scores of a model; N-best of parts and of texts."""
 
-    limit = 150_000
+    limit = 300_000
     unknown_penalty = 10.0
 
     def __init__(self, model_path: str) -> None:
