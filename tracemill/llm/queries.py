@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, minhash, mixing, neighbours, pii, quality_classifier, quality_rules, sentencepiece_nbest, token_files
+from . import chat, decontaminate, line_dedup, minhash, mixing, neighbours, pii, quality_classifier, quality_rules, repair, runs, sentencepiece_nbest, token_files
 from .common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,11 +76,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(rows, repair.faulty(repair.damaged(rows)))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return runs.report(runs.damaged(table(spark, sf_dir, "documents")))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.report(decontaminate.located(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_line_dedup, op3_nearest_neighbours, op4_minhash_near_dedup, op5_quality_classifier,
         op6_mixing, op7_token_files, op8_pii, op9_chat, op10_quality_rules,
+        op11_conversation_repair, op12_periodic_runs, op13_decontamination,
     )
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.LINES_SQL, "op4_minhash_near_dedup": minhash.NEAR_SQL, "op6_mixing": mixing.MIX_SQL, "op9_chat": chat.CHAT_SQL}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.LINES_SQL,
+    "op4_minhash_near_dedup": minhash.NEAR_SQL,
+    "op6_mixing": mixing.MIX_SQL,
+    "op9_chat": chat.CHAT_SQL,
+    "op11_conversation_repair": repair.REPAIR_SQL,
+    "op13_decontamination": decontaminate.LEAK_SQL,
+}
