@@ -55,17 +55,18 @@ class _PieceTable:
             hashes = _rolled(hashes, codes[:, k])
         self.ids = np.array([x[1] for x in pieces])
         self.scores = np.array([x[2] for x in pieces])
-        self.hashes, left = hashes, np.arange(len(pieces))
-        for self.bits in range(max(8, 2 + len(pieces).bit_length()), 22):
+        self.hashes = hashes
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have the same hash")
+        for self.bits in range(max(8, 2 + len(pieces).bit_length()), 64):
             left, self.slots = np.arange(len(pieces)), []
-            for shift in (64 - self.bits, 64 - 2 * self.bits, 64 - 3 * self.bits):
+            for shift in (64 - self.bits, max(0, 64 - 2 * self.bits), max(0, 64 - 3 * self.bits)):
                 slot, table = self._slot(hashes[left], shift), np.zeros(1 << self.bits, dtype=np.int32)
                 table[slot] = left
                 self.slots.append((shift, table))
                 left = left[table[slot] != left]
                 if not len(left):
                     return
-        raise ValueError("two pieces have the same hash")
 
     def _slot(self, hashes: np.ndarray, shift: int) -> np.ndarray:
         return ((hashes * _SPREAD >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -82,10 +83,74 @@ class _PieceTable:
         return place, hit
 
 
+class _Grid:
+    """The edges of a long part in one row per end position and one column per width: no object per edge. Read like the lists of a short part."""
+
+    def __init__(self, part: str, tables: dict[int, _PieceTable], longest: int, unknown: float) -> None:
+        codes = np.frombuffer(part.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        n, columns = len(codes), {}
+        hashes = np.zeros(n, dtype=np.uint64)
+        for width in range(1, min(n, longest) + 1):
+            hashes = _rolled(hashes[: n - width + 1], codes[width - 1 :])
+            if width in tables:
+                place, hit = tables[width].find(hashes)
+                if width == 1 or hit.any():
+                    columns[width] = np.where(hit, tables[width].scores[place], unknown if width == 1 else -np.inf), np.where(hit, tables[width].ids[place], -1)
+        columns.setdefault(1, (np.full(n, unknown), np.full(n, -1)))
+        self.widths = sorted(columns, reverse=True)
+        self.scores = np.full((n + 1, len(columns)), -np.inf)
+        self.ids = np.full((n + 1, len(columns)), -1, dtype=np.int32)
+        for k, w in enumerate(self.widths):
+            self.scores[w:, k], self.ids[w:, k] = columns[w]
+
+    def __len__(self) -> int:
+        return len(self.scores)
+
+    def __getitem__(self, end: int) -> list[tuple[int, int, float]]:
+        return [(end - w, i, s) for w, i, s in zip(self.widths, self.ids[end].tolist(), self.scores[end].tolist(), strict=True) if s > -np.inf]
+
+    def _rows(self, ends: range) -> Iterator[tuple[int, list[float]]]:
+        """Rows of scores, some thousands at a time."""
+        for first in range(0, len(ends), 4096):
+            part = ends[first : first + 4096]
+            yield from zip(part, self.scores[np.array(part)].tolist(), strict=True)
+
+    def forward(self) -> tuple[list[float], list[int]]:
+        """Best score from the start to each position, and the width of its last edge."""
+        n = len(self) - 1
+        best, chosen = [0.0] * (n + 1), [0] * (n + 1)
+        for j, row in self._rows(range(1, n + 1)):
+            top, width = -np.inf, 0
+            for w, s in zip(self.widths, row):
+                if w <= j and (score := best[j - w] + s) > top:
+                    top, width = score, w
+            best[j], chosen[j] = top, width
+        return best, chosen
+
+    def second(self, forward: list[float], path: list[tuple[int, int, int]]) -> float:
+        """The score of the best path with an edge that the given one lacks."""
+        n = len(self) - 1
+        behind = [-np.inf] * n + [0.0]
+        for j, row in self._rows(range(n, 0, -1)):
+            own = behind[j]
+            for w, s in zip(self.widths, row):
+                if w <= j and own + s > behind[j - w]:
+                    behind[j - w] = own + s
+        ahead, out = np.array(forward), -np.inf
+        ends, starts = np.array([b for _, b, _ in path]), np.array([a for a, _, _ in path])
+        for k, w in enumerate(self.widths):
+            through = ahead[: n - w + 1] + self.scores[w:, k] + np.array(behind[w:])
+            through[starts[ends - starts == w]] = -np.inf
+            out = max(out, float(through.max()))
+        return out
+
+
 class PieceLattice:
     """Pieces and scores of a model; N-best of parts and of texts."""
 
     limit = 300_000
+    #: Parts of so many characters and more have their edges in columns.
+    long = 2_000
     unknown_penalty = 10.0
 
     def __init__(self, model_path: str) -> None:
@@ -121,8 +186,16 @@ class PieceLattice:
         self.loose: dict[str, tuple[bytes, float, float]] = {}
         # ids of whole words with what joins them, their scores and the gaps to the second best
         self.known = words.KnownUnits("<i4", 2, self.limit)
+        self.latest: tuple[str, list | _Grid, list[float], list] = ("", [[]], [0.0], [])
         self.feed = self._best_and_gap("\n")
 
+    def _lattice(self, part: str) -> tuple[str, list | _Grid, list[float], list]:
+        """The part, its edges by end position, forward scores and best last edges (of a long part: their widths); the latest is remembered."""
+        if part != self.latest[0]:
+            edges = self._edges(part) if len(part) < self.long else _Grid(part, self.tables, self.longest, self.unknown)
+            self.latest = (part, edges, *(self._forward(edges) if isinstance(edges, list) else edges.forward()))
+        return self.latest
+
     def _edges(self, part: str) -> list[list[tuple[int, int, float]]]:
         """By end position: (start, id or -1, score)."""
         n, get = len(part), self.pieces.get
@@ -152,13 +225,19 @@ class PieceLattice:
         return (piece,) if piece >= 0 else tuple(self.byte_ids[b] for b in part[start:end].encode())
 
     def nbest_part(self, part: str, n: int) -> list[Segmentation]:
-        """The n best segmentations of one part, best first: backward A-star with the forward scores as heuristic."""
-        edges = self._edges(part)
-        forward, _ = self._forward(edges)
+        """The n best segmentations of one part, best first: backward A-star with the forward scores as heuristic.
+
+        A position is left at most n times and by n edges, as its n best ways to the end are all that the n best segmentations can use; among ties the newest path
+        goes on, so that a run of one character, where very many paths tie, is walked through once.
+        """
+        _, edges, forward, _ = self._lattice(part)
         agenda: list[tuple[float, int, int, float, tuple | None]] = [(-forward[-1], 0, len(part), 0.0, None)]
-        count, out = 0, []
+        count, out, left = 0, [], [0] * len(edges)
         while agenda and len(out) < n:
             _, _, at, behind, chain = heapq.heappop(agenda)
+            left[at] += 1
+            if left[at] > n:
+                continue
             if at == 0:
                 ids: list[int] = []
                 while chain is not None:
@@ -166,8 +245,11 @@ class PieceLattice:
                     ids.extend(self._ids(part, *step))
                 out.append((behind, tuple(ids)))
                 continue
-            for start, piece, score in edges[at]:
-                count += 1
+            steps = edges[at]
+            if len(steps) > n:
+                steps = sorted(steps, key=lambda e: forward[e[0]] + e[2])[-n:]
+            for start, piece, score in steps:
+                count -= 1
                 heapq.heappush(agenda, (-(forward[start] + score + behind), count, start, behind + score, ((start, at, piece), chain)))
         return out
 
@@ -176,8 +258,14 @@ class PieceLattice:
 
         Any other path takes an edge that the best one lacks, so the second is the best path through such an edge.
         """
-        edges = self._edges(part)
-        forward, back = self._forward(edges)
+        _, edges, forward, back = self._lattice(part)
+        if isinstance(edges, _Grid):
+            path, at = [], len(part)
+            while at:
+                path.append((at - back[at], at, int(edges.ids[at, edges.widths.index(back[at])])))
+                at = path[-1][0]
+            ids = [k for step in reversed(path) for k in self._ids(part, *step)]
+            return np.array(ids, dtype="<i4").tobytes(), forward[-1], forward[-1] - edges.second(forward, path)
         backward = [-np.inf] * len(edges)
         backward[-1] = 0.0
         for j in range(len(edges) - 1, 0, -1):
