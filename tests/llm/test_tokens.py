@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -401,3 +402,62 @@ def test_probing_finds_every_code_in_the_radius():
     for radius in (0, 3, 7, 11, 32):
         for q in codes[:20]:
             assert tables.within(q, radius).tolist() == np.flatnonzero(neighbours._distances(codes, q) <= radius).tolist()
+
+
+def test_runs_of_one_character_are_encoded_soon():
+    lattice = sentencepiece_nbest.PieceLattice(PIECES)
+    columns = sentencepiece_nbest.PieceLattice(PIECES)
+    columns.long = 1  # all parts have their edges in columns
+    for mark in "-=a0_\0":
+        for size in (1, 2, 3, 7, 12):
+            brute = sorted(all_scores(lattice, " " + mark * size), reverse=True)[:4]
+            for own in (lattice, columns):
+                assert own.encode([(mark * size).encode()], 4)[0][1] == brute
+                assert [s for s, _ in own.nbest(mark * size, 4)] == brute
+        began = time.time()
+        (ids, scores), = lattice.encode([(mark * 100_000).encode()], 4)
+        assert time.time() - began < 20 and lattice.decode(np.frombuffer(ids[0], dtype="<i4").tolist()) == mark * 100_000 and scores == sorted(scores, reverse=True)
+
+
+def all_scores(lattice, part: str) -> list[float]:
+    """The scores of all segmentations of a part, in byte fallback for a character that is no piece."""
+    found: list[list[float]] = [[0.0]]
+    for end in range(1, len(part) + 1):
+        own = []
+        for start in range(end):
+            score = lattice.pieces.get(part[start:end], (0, lattice.unknown if end - start == 1 else None))[1]
+            own += [] if score is None else [s + score for s in found[start]]
+        found.append(own)
+    return found[-1]
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [
+        ("phone", "+33 (0)1 42 68 53 00"), ("phone", "06 12 34 56 78"), ("phone", "06.12.34.56.78"), ("phone", "(826) 555 4081"), ("iban", "gb29nwbk60161331926819"),
+        ("address", "2001:db8:85a3::8a2e:370:7334"), ("address", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334"), ("ssn", "123 45 6789"), ("email", "a.b-c@ex-am.co.uk"),
+    ],
+)
+def test_written_forms_are_found(kind, value):
+    shape = lambda x: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)))
+    for before, after in (("see ", " ok"), ("", ""), ("é ", "\n"), ("[", "]")):
+        text, found = pii.pseudonymised(before + value + after, KEY)
+        ((own, start, end, new),) = found
+        assert (own, start, end) == (kind, len(before), len(before) + len(value)) and text == before + new + after and new != value
+        if kind != "address":
+            assert shape(new) == shape(value)
+        else:
+            assert [len(g) for g in new.split(":")] == [len(g) for g in value.split(":")]
+
+
+@pytest.mark.parametrize("value", ["06 12 34 56 78 90", "ab12cdefghijklmnop", "12:30:45", "std::cout", "::1", "000 45 6789", "123 45 6789 1", "gb28nwbk60161331926819", "a" * 70 + "@x.com", "@x.com", "a@b"])
+def test_near_misses_stay(value):
+    assert pii.pseudonymised(f"see {value} ok", KEY) == (f"see {value} ok", [])
+
+
+@pytest.mark.parametrize("piece", ["7", ".", "a", "aB3+/", "1.", "a.", "a-", "a@", "99.99.2024.", "f:", "+1 23", "password=", "sk-0f"])
+def test_unbroken_runs_are_searched_once(piece):
+    for text in (piece * (600_000 // len(piece)), "@" + piece * (600_000 // len(piece)), "password=" + "0f" * 300_000):
+        began = time.time()
+        pii.pseudonymised(text, KEY)
+        assert time.time() - began < 15  # hours, when each start goes to the end of the run

@@ -1,7 +1,7 @@
 """Personal data: format-preserving pseudonyms from a keyed Feistel permutation.
 
 Found values are validated (Luhn and length for cards, mod 97 for IBANs, area rules for social security numbers, octets for
-addresses, the calendar for dates) and then replaced by the image under a keyed permutation of their own format: digits stay digits,
+addresses, at most 64 characters before the @ of emails, the calendar for dates) and then replaced by the image under a keyed permutation of their own format: digits stay digits,
 letters stay letters of their case, separators stay, check digits are valid again, dates stay dates. As the permutation
 depends on the key and the kind alone, equal values become equal pseudonyms in all documents, and different ones different ones.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,22 +32,25 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 DAY_ZERO, DAY_END = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-#: Kind -> pattern, in order of precedence. Numbers end at digit borders.
+#: Kind -> pattern, in order of precedence. Numbers end at digit borders, and begin at one, so that a run is entered once. An email is found from its @ on.
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|[0-9a-f]{40}|(?:ghp|gho|ghs)_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])|(?:(?<=password=)|(?<=passwd=)|(?<=api_key=)|(?<=secret=)|(?<=token=))[A-Za-z0-9]{8,}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[a-z]{2}\d{2}[a-z0-9]{11,30}(?![A-Za-z0-9])",
+    "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{6,39}(?![\w:])",
     "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
+    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![\d\-.,])(?<!\d )\d{3} \d{2} \d{4}(?![\d\-]| \d|[.,]\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(0\) ?)?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ \-]\d{4}(?!\d)|(?<![\d.\-])(?<!\d )0[1-9](?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?!\d|[ .\-]\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d]|[.\-]\d)",
 }
-_ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items()), re.A)
 _EACH = {kind: re.compile(pattern, re.A) for kind, pattern in KINDS.items()}
+_NUMBERS = [k for k in KINDS if k != "email"]
+_ANY = re.compile("|".join(f"(?P<{kind}>{KINDS[kind]})" for kind in _NUMBERS), re.A)
+#: Characters before an @, and how many there may be.
+_LOCAL, _LONGEST = re.compile(r"[A-Za-z0-9._%+\-]"), 64
 _RUN = re.compile(r"\w+|\W", re.A)
 #: What every match holds one of: a text without any needs no search.
-_HINT = re.compile(r"\d[ \-]?\d[ \-]?\d|\+\d|[A-Z]{2}\d\d|\d[./\-]\d|@|[0-9a-f]{40}|AKIA|gh[pos]_|sk-|(?:password|passwd|api_key|secret|token)=")
+_HINT = re.compile(r"\d[ \-]?\d[ \-]?\d|\+\d|[A-Za-z]{2}\d\d|\d[./\-]\d|@|:[0-9A-Fa-f]{0,4}:|[0-9a-f]{40}|AKIA|gh[pos]_|sk-|(?:password|passwd|api_key|secret|token)=")
 
 
 @lru_cache(maxsize=100_000)
@@ -72,7 +76,9 @@ def permuted(key: bytes, tweak: str, value: int, size: int) -> int:
 
 
 def _characters(key: bytes, tweak: str, text: str) -> str:
-    """Digits for digits, lower-case for lower-case and upper-case for upper-case letters; all else stays."""
+    """Digits for digits, lower-case for lower-case and upper-case for upper-case letters; all else stays. Long texts go piece by piece."""
+    if len(text) > 100:
+        return "".join(_characters(key, f"{tweak}|{len(text)}|{k}", text[k : k + 100]) for k in range(0, len(text), 100))
     value, size = 0, 1
     kinds = [("0", 10) if c.isdigit() else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else None for c in text]
     for c, kind in zip(text, kinds, strict=True):
@@ -116,10 +122,10 @@ def _mod97(text: str) -> int:
 
 def _iban(key: bytes, text: str) -> str | None:
     plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _mod97(plain) != 1:
+    if not 15 <= len(plain) <= 34 or _mod97(plain) != 1 or (plain.islower() and sum(map(str.isdigit, plain)) < 10):
         return None
     body = _characters(key, "iban", plain[4:])
-    return _refill(text, f"{plain[:2]}{98 - _mod97(plain[:2] + '00' + body):02d}{body}")
+    return _refill(text, f"{plain[:2]}{98 - _mod97(plain[:2] + '00' + body):02d}{body}")  # letters keep their case
 
 
 def _ssn(key: bytes, text: str) -> str | None:
@@ -127,7 +133,7 @@ def _ssn(key: bytes, text: str) -> str | None:
         area, group, serial = n // 10**6, n // 10**4 % 100, n % 10**4
         return area not in (0, 666) and area < 900 and group > 0 and serial > 0
 
-    value = int(text.replace("-", ""))
+    value = int(re.sub("[ -]", "", text))
     if not valid(value):
         return None
     image = permuted(key, "ssn", value, 10**9)
@@ -137,6 +143,16 @@ def _ssn(key: bytes, text: str) -> str | None:
 
 
 def _address(key: bytes, text: str) -> str | None:
+    if ":" in text:
+        try:
+            value = ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        digits = text.replace(":", "")
+        if sum(map(bool, text.split(":"))) < 3 or not any(c.isdigit() for c in digits) or not value.is_global and not value.is_private:
+            return None
+        image = f"{permuted(key, f'address|{text.count(":")}', int(digits, 16), 16 ** len(digits)):0{len(digits)}x}"
+        return _refill(text, image.upper() if digits.isupper() else image)
     octets = [int(x) for x in text.split(".")]
     if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
         return None
@@ -188,7 +204,7 @@ def _email(key: bytes, text: str) -> str | None:
 
 
 def _secret(key: bytes, text: str) -> str | None:
-    if re.fullmatch("[0-9a-f]+", text):
+    if re.fullmatch("[0-9a-f]+", text) and len(text) <= 100:
         return f"{permuted(key, 'hex', int(text, 16), 16 ** len(text)):0{len(text)}x}"
     head = next((len(p) for p in ("AKIA", "ghp_", "gho_", "ghs_", "sk-") if text.startswith(p)), 0)
     return text[:head] + _characters(key, "secret", text[head:])
@@ -236,19 +252,39 @@ def _valid(kind: str, key: bytes, text: str, start: int) -> tuple[int, str] | No
     return end, new
 
 
+def _local(text: str, mark: int, floor: int) -> int | None:
+    """Where the email with its @ at ``mark`` begins: a letter or digit, not before ``floor``; None if there is none, or more than 64 characters before the @."""
+    start, first = mark, None
+    while start > floor and mark - start <= _LONGEST and _LOCAL.match(text, start - 1):
+        start -= 1
+        if text[start].isalnum():
+            first = start
+    return first if mark - start <= _LONGEST else None
+
+
 def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The new text and what was replaced: kind, start, end in the new text, and the pseudonym."""
     if not _HINT.search(text):
         return text, []
     out, found, at, length = [], [], 0, 0
     place = 0
-    while m := _ANY.search(text, place):
-        start = m.start()
-        # what fails as one kind may hold another; else look again one run of digits or letters later
-        kinds = (m.lastgroup, *(k for k in KINDS if k != m.lastgroup))
-        kind, best = next(((k, w) for k in kinds if (w := _valid(k, key, text, start)) is not None), (None, None))
+    mail, other = _EACH["email"].search(text), _ANY.search(text)
+    while mail or other:
+        # an email goes back from its @ as far as its characters and the last finding allow
+        start = _local(text, mail.start(), at) if mail else None
+        if mail and start is None:
+            mail = _EACH["email"].search(text, mail.end())
+            continue
+        if mail and (other is None or start <= other.start()):
+            kind, best = "email", (mail.end(), _email(key, text[start : mail.end()]))
+        else:
+            start = other.start()
+            # what fails as one kind may hold another; else look again one run of digits or letters later
+            kinds = (other.lastgroup, *(k for k in _NUMBERS if k != other.lastgroup))
+            kind, best = next(((k, w) for k in kinds if (w := _valid(k, key, text, start)) is not None), (None, None))
         if best is None:
             place = _RUN.match(text, start).end()
+            other = _ANY.search(text, place)
             continue
         end, new = best
         out += [text[at:start], new]
@@ -256,6 +292,10 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int,
         found.append((kind, length, length + len(new), new))
         length += len(new)
         at = place = end
+        if mail and mail.start() < at:
+            mail = _EACH["email"].search(text, at)
+        if other and other.start() < at:
+            other = _ANY.search(text, at)
     return "".join([*out, text[at:]]), found
 
 
