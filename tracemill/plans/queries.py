@@ -721,4 +721,4 @@ def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.run_to_end(ledger.latest_status(rows), ["name"])
 
 
-from . import audit_queries, frame_queries, run_queries  # noqa: E402, F401  (they register themselves)
+from . import audit_queries, build_queries, frame_queries, run_queries  # noqa: E402, F401  (they register themselves)

@@ -27,8 +27,13 @@ def day(ts: Column) -> Column:
 
 def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as traces: ordinal, gameid, step, raw_key (role), observation_text, next_value, split, n_actions, action_id."""
-    rows = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("gameid"), F.col("turn").alias("step"), F.col("role").alias("raw_key_code"), F.col("text").alias("observation_text"), (F.col("conv_id") * 100000 + F.col("turn")).alias("ordinal")
+    return steps_of(table(spark, sf_dir, "conversations"))
+
+
+def steps_of(conversations: DataFrame) -> DataFrame:
+    spark, more = conversations.sparkSession, [c for c in ("shard_index",) if c in conversations.columns]
+    rows = conversations.select(
+        F.col("conv_id").alias("gameid"), F.col("turn").alias("step"), F.col("role").alias("raw_key_code"), F.col("text").alias("observation_text"), (F.col("conv_id") * 100000 + F.col("turn")).alias("ordinal"), *more
     )
     paired = transitions.pair_next(rows, "observation_text", lane=["gameid"], order=["step"])
     split = splits.with_split(paired, "gameid", SEED)
