@@ -1,21 +1,14 @@
-"""What built-in functions can't express: a similarity ratio, terminal recordings, and pluggable scorers."""
+"""What built-in functions can't express: terminal recordings, and pluggable scorers."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, StructType
-
-
-@F.pandas_udf(DoubleType())
-def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts (with its rule for popular characters in texts of 200 and more); NULL counts as empty."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+from pyspark.sql.types import BinaryType, StructType
 
 
 @F.pandas_udf(BinaryType())

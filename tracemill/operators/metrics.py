@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frames
 from ..functions.scalars import f1, missing_as, rate
-from ..functions.udfs import similarity_ratio
+from ..functions.similarity import similarity_ratio
 
 
 def policy_metrics(rows: DataFrame, valid: Column, *, prediction: str = "prediction", label: str = "label", parsed: Column | None = None) -> DataFrame:

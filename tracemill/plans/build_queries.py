@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import build, progressive
+from ..functions.similarity import similarity_ratio
+from ..operators import progressive, transitions
 from ..streaming import ledger
 from . import tables
 from .registry import registered
@@ -35,3 +36,10 @@ def early_stopping_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.col("shard_index").cast("long") * 1_000_000_000_000 + F.col("ordinal")
     opened = F.lit(progressive.totals(told)["shards"]).cast("long")
     return kept.groupBy("split", "task").agg(F.count("*").alias("n"), F.min(place).alias("first_place"), F.max(place).alias("last_place"), F.first(opened).alias("shards_opened"))
+
+
+@registered()
+def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of whole turns that follow each other (tested against difflib)."""
+    rows = transitions.pair_next(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), "text", lane=["conv_id"], order=["turn"])
+    return rows.filter("next_value IS NOT NULL").select("conv_id", "turn", F.round(similarity_ratio("text", "next_value"), 6).alias("similarity"))

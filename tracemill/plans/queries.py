@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import frames, scalars
-from ..functions.udfs import similarity_ratio
+from ..functions.similarity import similarity_ratio
 from ..operators import audit, build, compare, history, labels, metrics, rollouts, splits, transitions
 from ..sources import readers
 from ..streaming import ledger
