@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_ratio
 from ..operators import progressive, transitions
+from ..sources import recordings
 from ..streaming import ledger
 from . import tables
 from .registry import registered
@@ -43,3 +44,17 @@ def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of whole turns that follow each other (tested against difflib)."""
     rows = transitions.pair_next(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), "text", lane=["conv_id"], order=["turn"])
     return rows.filter("next_value IS NOT NULL").select("conv_id", "turn", F.round(similarity_ratio("text", "next_value"), 6).alias("similarity"))
+
+
+@registered("""
+WITH r AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM conversations)
+SELECT conv_id AS gameid, step::INTEGER AS step, step * 0.25::DOUBLE AS seconds, sha256(replace(text, chr(13), '')) AS frame FROM r WHERE conv_id % 3 = 1 AND step < 3
+""")
+def decoded_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations recorded, then the first three frames of every third decoded: the prefix is the feature."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("gameid"), F.col("turn").alias("step"), F.replace("text", F.lit("\r"), F.lit("")).alias("frame"))
+    folder = ledger.shared_folder(spark, "recordings")
+    written = recordings.write_recordings(rows, folder)
+    ledger.drained(written)
+    frames = recordings.decoded_games(rows.filter("gameid % 3 = 1"), folder, frames=3)
+    return frames.select("gameid", "step", "seconds", F.sha2(F.col("frame").cast("binary"), 256).alias("frame"))
