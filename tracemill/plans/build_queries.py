@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_ratio
 from ..operators import progressive, transitions
-from ..sources import recordings
+from ..sources import index, recordings
 from ..streaming import ledger
 from . import tables
 from .registry import registered
@@ -58,3 +58,19 @@ def decoded_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.drained(written)
     frames = recordings.decoded_games(rows.filter("gameid % 3 = 1"), folder, frames=3)
     return frames.select("gameid", "step", "seconds", F.sha2(F.col("frame").cast("binary"), 256).alias("frame"))
+
+
+@registered("""
+SELECT o_orderpriority AS role, count(*) AS n_recordings, count(DISTINCT l_orderkey) AS n_games, sum(l_linenumber)::BIGINT AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1
+""")
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines as games and recordings in index files, read again as one table: the subset of some customers as players."""
+    orders, folder = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("gameid"), F.col("o_orderpriority").alias("role"), "o_custkey"), ledger.shared_folder(spark, "index")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("gameid"), F.col("l_linenumber").cast("long").alias("part"))
+    taken = lines.join(orders, "gameid").select(F.concat_ws("/", F.col("o_custkey").cast("string"), "gameid").alias("path"), "part", "gameid")
+    roots = table(spark, sf_dir, "region").agg(F.min("r_name").alias("dataset_name")).select("dataset_name", F.lit("/").alias("root"), F.lit(3).cast("long").alias("ttyrec_version"))
+    ledger.drained(index.write_index(roots, orders.select("gameid", "role"), taken, folder, shards=8))
+    chosen = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("player"))
+    _, games, own = index.index_subset(spark, folder, chosen)
+    return own.join(games, "gameid").groupBy("role").agg(F.count("*").alias("n_recordings"), F.countDistinct("gameid").alias("n_games"), F.sum("part").alias("parts"))
