@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import similarity_ratio
 from ..operators import progressive, transitions
 from ..sources import index, recordings
-from ..streaming import ledger
+from ..streaming import ledger, running
 from . import tables
 from .registry import registered
 from .tables import STEPS_SQL, table
@@ -74,3 +74,15 @@ def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("player"))
     _, games, own = index.index_subset(spark, folder, chosen)
     return own.join(games, "gameid").groupBy("role").agg(F.count("*").alias("n_recordings"), F.countDistinct("gameid").alias("n_games"), F.sum("part").alias("parts"))
+
+
+@registered("""
+WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events)
+SELECT a.user_id, a.event_id, coalesce(string_agg(b.event_id::VARCHAR, ',' ORDER BY b.n), '') AS items FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.n BETWEEN a.n - 16 AND a.n - 1 GROUP BY ALL
+""")
+def streaming_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream with the last 16 of their user before them, kept as state; run until all there is was read."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    steps = source.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"))
+    made = running.running_history(steps, game="user_id", step="event_id", time="at", items=["event_id"])
+    return ledger.appended(made.select("user_id", "event_id", F.array_join(F.transform("history", lambda x: x["event_id"].cast("string")), ",").alias("items")))

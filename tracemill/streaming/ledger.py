@@ -95,6 +95,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def appended(rows: DataFrame) -> DataFrame:
+    """Read all a stream has so far and give the rows it has let out, as Parquet beside its checkpoint."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
+    run = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 def drained(rows: DataFrame) -> None:
     """Run a job for what its tasks do, keeping no rows."""
     rows.write.format("noop").mode("overwrite").save()
