@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import similarity_ratio
 from ..operators import progressive, transitions
 from ..sources import index, recordings
-from ..streaming import ledger, running
+from ..streaming import ledger, progress, running
 from . import tables
 from .registry import registered
 from .tables import STEPS_SQL, table
@@ -86,3 +86,23 @@ def streaming_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = source.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"))
     made = running.running_history(steps, game="user_id", step="event_id", time="at", items=["event_id"])
     return ledger.appended(made.select("user_id", "event_id", F.array_join(F.transform("history", lambda x: x["event_id"].cast("string")), ",").alias("items")))
+
+
+@registered("SELECT count(*) AS processed, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors FROM events")
+def live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last record says that a build over the events, run as a stream, tells while it runs."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    live = progress.LiveProgress({"clicks": F.col("event_type") == "click", "errors": F.col("event_type") == "error"}, 1000, lambda record: None)
+    folder = ledger.shared_folder(spark, "build")
+    last = progress.watched(source, live, lambda df: df.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    return spark.range(1).select(*[F.lit(last[c]).cast("long").alias(c) for c in ("processed", "clicks", "errors")])
+
+
+@registered("SELECT event_type AS status, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def ledger_written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of a ledger with numbered batches and commits, then counted by status."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    folder = ledger.shared_folder(spark, "ledger")
+    once = progress.OnceLedger(spark, folder, "event_id long, status string")
+    progress.run_ledger(source.select(F.col("event_id").cast("long").alias("event_id"), F.col("event_type").alias("status")), once, f"{folder}-state")
+    return once.read().groupBy("status").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
