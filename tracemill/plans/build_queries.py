@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_ratio
 from ..operators import progressive, transitions
-from ..sources import index, recordings
+from ..sources import index, recordings, shapes
 from ..streaming import ledger, progress, running
 from . import tables
 from .registry import registered
@@ -106,3 +106,25 @@ def ledger_written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = progress.OnceLedger(spark, folder, "event_id long, status string")
     progress.run_ledger(source.select(F.col("event_id").cast("long").alias("event_id"), F.col("event_type").alias("status")), once, f"{folder}-state")
     return once.read().groupBy("status").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+SHAPES_SQL = """
+WITH t AS (SELECT event_id, CASE event_id % 7 WHEN 1 THEN left(props, 3) WHEN 2 THEN '[1, 2]' WHEN 3 THEN '{"k": "x"}' WHEN 4 THEN '{}' WHEN 5 THEN '{"k": {"n": 3}}' ELSE props END AS text FROM events),
+j AS (SELECT event_id, json_valid(text) AS valid, CASE WHEN json_valid(text) THEN text::JSON END AS v FROM t),
+k AS (SELECT *, json_type(v) AS whole, json_type(v, '$.k') AS k, json_type(v, '$.k.n') AS n FROM j),
+p AS (
+  SELECT '$' AS path, CASE WHEN NOT valid THEN 'malformed' ELSE 'not_an_object' END AS problem, CASE WHEN valid THEN lower(whole) END AS found FROM k WHERE NOT valid OR whole <> 'OBJECT'
+  UNION ALL SELECT '$.k', CASE WHEN k IS NULL THEN 'missing' ELSE 'wrong_kind' END, CASE k WHEN 'VARCHAR' THEN 'string' ELSE lower(k) END FROM k WHERE valid AND whole = 'OBJECT' AND (k IS NULL OR k NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE'))
+  UNION ALL SELECT '$.k.n', 'missing', NULL FROM k WHERE valid AND whole = 'OBJECT' AND n IS NULL
+)
+SELECT path, problem, found, count(*) AS n FROM p GROUP BY ALL
+"""
+
+
+@registered(SHAPES_SQL)
+def report_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' props as reports, some torn or of another shape: what is malformed, missing or of another kind."""
+    case = F.col("event_id") % 7
+    text = F.when(case == 1, F.substring("props", 1, 3)).when(case == 2, "[1, 2]").when(case == 3, '{"k": "x"}').when(case == 4, "{}").when(case == 5, '{"k": {"n": 3}}').otherwise(F.col("props"))
+    rows = shapes.parsed(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text")
+    return shapes.problems(rows, {"$.k": "number", "$.k.n": "number"}, key="event_id").groupBy("path", "problem", "found").agg(F.count("*").alias("n"))
