@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import frames
-from ..operators import metrics, planes, rollouts, transitions
+from ..operators import evaluation, metrics, planes, rollouts, transitions
 from . import queries as base
 from .registry import registered, split_sql
 from .tables import SEED, table
@@ -365,3 +365,24 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the mean difference of the first two components of all vectors (tested against brute force)."""
     pairs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.get("embedding", F.lit(0)).cast("double").alias("baseline"), F.get("embedding", F.lit(1)).cast("double").alias("candidate"))
     return metrics.bootstrap_interval(pairs, seed=SEED, samples=1000)
+
+
+@registered(f"""
+{PLANES_SQL}, x AS (
+  SELECT vec_id // 10 AS game, (vec_id % 3 + 1)::INTEGER AS horizon, count(*) AS cells, count(*) FILTER (p = t) AS char_correct, (count(*) FILTER (p <> t) = 0)::BIGINT AS exact_frames, count(*) FILTER (t <> c) AS true_changed, count(*) FILTER (p <> c) AS predicted_changed,
+         count(*) FILTER (t <> c AND p <> c) AS true_positive_changed, count(*) FILTER (t <> c OR tk <> ck) AS tc, count(*) FILTER (p <> c OR pk <> ck) AS pc, count(*) FILTER ((t <> c OR tk <> ck) AND (p <> c OR pk <> ck)) AS tp
+  FROM j GROUP BY vec_id
+), f AS (
+  SELECT *, CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp::DOUBLE / pc) * (tp::DOUBLE / tc) / (tp::DOUBLE / pc + tp::DOUBLE / tc) END AS own FROM x
+), g AS (
+  SELECT CASE WHEN grouping(game) = 0 THEN 'game' WHEN grouping(horizon) = 0 THEN 'horizon' ELSE 'all' END AS grain, game, horizon, count(*) AS examples, sum(cells)::BIGINT AS cells, sum(char_correct)::BIGINT AS char_correct, sum(exact_frames)::BIGINT AS exact_frames,
+         sum(true_changed)::DOUBLE AS t, sum(predicted_changed)::DOUBLE AS p, sum(true_positive_changed)::DOUBLE AS b, round(avg(own), 9) AS mean_example_f1
+  FROM f GROUP BY GROUPING SETS ((), (game), (horizon))
+)
+SELECT grain, coalesce(game, -1)::BIGINT AS game, coalesce(horizon, -1)::INTEGER AS horizon, examples, cells, char_correct, exact_frames, round(char_correct::DOUBLE / cells, 9) AS char_accuracy, round(CASE WHEN b = 0 THEN 0 ELSE 2 * (b / p) * (b / t) / (b / p + b / t) END, 9) AS changed_cell_f1, mean_example_f1 FROM g
+""")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as planes, ten to a game and three horizons: figures of all, of each game and of each horizon from one expansion."""
+    rows = signed_planes(spark, sf_dir).withColumns({"game": F.floor(F.col("vec_id") / 10).cast("long"), "horizon": (F.col("vec_id") % 3 + 1).cast("int")})
+    found = evaluation.evaluated(rows, [[], ["game"], ["horizon"]], map_cells=48, digits=9)
+    return found.select("grain", F.coalesce("game", F.lit(-1)).alias("game"), F.coalesce("horizon", F.lit(-1)).alias("horizon"), "examples", "cells", "char_correct", "exact_frames", "char_accuracy", "changed_cell_f1", "mean_example_f1")
