@@ -73,10 +73,10 @@ def sampled_labels(labels: DataFrame, label: str, bound: int, *, hold_out: bool)
     return rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def small_side(df: DataFrame, rows: int = 300_000, size: int = 2**24) -> DataFrame:
-    """df, to be broadcast if it has few rows and bytes as counted, else left to a shuffled join. df must be cheap to count (written)."""
+def fits(df: DataFrame, rows: int = 300_000, size: int = 2**24) -> bool:
+    """Whether df has few rows and bytes, as counted. df must be cheap to count (written)."""
     if df.limit(rows + 1).count() > rows:
-        return df
+        return False
 
     def held(name: str, kind: str) -> Column:
         if kind.startswith("array"):
@@ -84,7 +84,33 @@ def small_side(df: DataFrame, rows: int = 300_000, size: int = 2**24) -> DataFra
         return F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(8)
 
     held_bytes = sum((held(name, kind) for name, kind in df.dtypes), F.lit(8))
-    return F.broadcast(df) if (df.agg(F.sum(held_bytes.cast("long"))).first()[0] or 0) <= size else df
+    return (df.agg(F.sum(held_bytes.cast("long"))).first()[0] or 0) <= size
+
+
+def small_side(df: DataFrame, rows: int = 300_000, size: int = 2**24) -> DataFrame:
+    """df, to be broadcast if it fits, else left to a shuffled join."""
+    return F.broadcast(df) if fits(df, rows, size) else df
+
+
+#: A key is hot if it has more than this many rows and more than a thousandth of all, so that there are fewer than 1,000 hot keys, whatever the input.
+HOT_ROWS, HOT_SHARE = 10_000, 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> dict[int, int]:
+    """The hot keys of rows and how many parts, of at most the hot size on average, each is to be dealt into. rows must be cheap to count (written)."""
+    size = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    return {r[key]: -(-r["n"] // size) for r in rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > size).collect()}
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: str, hot: dict[int, int]) -> DataFrame:
+    """rows joined with side (one row a key) on key. Rows of hot keys are dealt by a hash of ``spread``; their rows of side are copied to each part."""
+    if not hot:
+        return rows.join(side, key)
+    parts = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), "_hot long, _parts long"))
+    with_parts = lambda df: df.join(parts, df[key] == parts["_hot"], "left").drop("_hot").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
+    dealt = with_parts(rows).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_parts"))).drop("_parts")
+    copied = with_parts(side).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 200, size: int = 2**20) -> Iterator[pa.RecordBatch]:

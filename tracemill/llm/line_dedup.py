@@ -12,7 +12,7 @@ has a set with Jaccard similarity of 0.8 or more; whether that earlier line goes
    the overlap needed (positional filter); sizes must be within 0.8 (length filter).
 4. A further filter compares parities of words in 128 bits: sets that match differ in few words, so their parities in few bits.
    In each word's bucket all pairs of up to 512 classes go through the filters, and what they leave is verified on full sets.
-5. Larger buckets are cut into parts with full sets, and parts meet in pairs: intersections of all their classes are products of
+5. Larger buckets are cut into parts by size, with full sets, and parts whose sizes are near enough meet in pairs: intersections of all their classes are products of
    two 0/1 matrices, so that a large group of near copies is counted where it is compared, and its pairs aren't listed. A
    pair counts in the bucket of the first word that both sets have, there alone.
 6. Each match is a link of both its classes: links are counted on both sides, and the later line of a link goes.
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, shingles, words
@@ -276,13 +277,30 @@ def _sets(bodies: DataFrame, lines: DataFrame, rarity: np.ndarray) -> DataFrame:
     return common.written(rows.mapInArrow(run, "id long, elements array<long>").dropDuplicates(["id"]), "line-sets")
 
 
-def _split(large: DataFrame, lines: DataFrame, sets: DataFrame, ranges: int) -> DataFrame:
-    """Large buckets (word, class), dealt into parts of about 512 classes or 2**16 elements: each with its own part and with every other one."""
+def _bands(sized: DataFrame, percent: int) -> DataFrame:
+    """sized(word, n: set size, sets) -> word, n, base, parts, low, high: how sets of a bucket are dealt into parts by size, and which parts they meet.
+
+    Neighbouring sizes make a band of about one part (512 sets or 2**16 elements); a band of more is dealt into ``parts`` parts, numbered from ``base``. Sets
+    can match only where the smaller has ``percent`` of the larger one's size at least, so those of a band meet the parts of the bands from ``low`` to ``high`` alone.
+    """
+    weighed = sized.withColumn("weight", F.col("sets") * F.greatest(F.col("n"), F.lit(_ELEMENTS // _COMPARED)))
+    before = lambda order: W.partitionBy("word").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    banded = weighed.withColumn("band", F.floor(F.coalesce(F.sum("weight").over(before("n")), F.lit(0)) / _ELEMENTS).cast("long"))
+    bands = banded.groupBy("word", "band").agg(F.ceil(F.sum("weight") / _ELEMENTS).cast("long").alias("parts"), F.min("n").alias("least"), F.max("n").alias("most"))
+    bands = bands.withColumn("base", F.coalesce(F.sum("parts").over(before("band")), F.lit(0)))
+    others = bands.select("word", *[F.col(c).alias(f"{c}_o") for c in ("base", "parts", "least", "most")])
+    near = (F.lit(100) * F.col("most_o") >= F.lit(percent) * F.col("least")) & (F.lit(100) * F.col("most") >= F.lit(percent) * F.col("least_o"))
+    reach = bands.join(others, "word").filter(near).groupBy("word", "band", "base", "parts").agg(F.min("base_o").alias("low"), F.max(F.col("base_o") + F.col("parts_o") - 1).alias("high"))
+    return banded.select("word", "n", "band").join(reach, ["word", "band"]).drop("band")
+
+
+def _split(large: DataFrame, lines: DataFrame, sets: DataFrame, ranges: int, percent: int) -> DataFrame:
+    """Large buckets (word, class), dealt into parts by size: each with its own part and with every other one whose sets are near enough in size to match."""
     placed = large.join(sets.select(F.col("id").alias("class"), "elements"), "class").join(lines.withColumnRenamed("id", "class"), "class")
-    placed = common.written(placed, "line-large")
-    count = F.greatest(F.ceil(F.count("*") / _COMPARED), F.ceil(F.sum(F.size("elements")) / _ELEMENTS))
-    parts = common.written(placed.groupBy("word").agg(count.cast("long").alias("parts")), "line-parts")
-    dealt = placed.join(common.small_side(parts), "word").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = common.written(placed.withColumn("n", F.size("elements").cast("long")), "line-large")
+    sized = common.written(placed.groupBy("word", "n").agg(F.count("*").alias("sets")), "line-sizes")
+    bands = common.written(_bands(sized, percent), "line-parts")
+    dealt = placed.join(common.small_side(bands), ["word", "n"]).withColumn("part", F.col("base") + F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence("low", "high")))
     pair = dealt.select("word", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"), "class", "doc_id", "line", "elements")
     return pair.repartition(ranges, "word", "p", "q").sortWithinPartitions("word", "p", "q")
 
@@ -371,7 +389,8 @@ def _matched(met: DataFrame, firsts: DataFrame, bodies: DataFrame, rarity: np.nd
     lines = common.written(firsts.withColumnRenamed("class", "id").join(common.small_side(used), "id").select("id", "first.*"), "line-firsts")
     sets = _sets(bodies, lines, rarity)
     side = lambda s: sets.select(F.col("id").alias(s), F.col("elements").alias(f"e{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.array_intersect("ea", "eb"))
+    both = common.salted_join(pairs, side("b"), "b", "a", common.hot_keys(pairs, "b"))
+    both = common.salted_join(both, side("a"), "a", "b", common.hot_keys(pairs, "a")).withColumn("common", F.array_intersect("ea", "eb"))
     shared, total = F.size("common").cast("long"), (F.size("ea") + F.size("eb")).cast("long")
     links = both.filter(F.lit(100) * shared >= F.lit(percent) * (total - shared)).select("a", "b", F.element_at("common", 1).alias("word"))
     # those of a large bucket are counted there
@@ -379,10 +398,21 @@ def _matched(met: DataFrame, firsts: DataFrame, bodies: DataFrame, rarity: np.nd
     at = lambda s: lines.select(F.col("id").alias(s), F.struct("doc_id", "line").alias(f"at_{s}"))
     ordered = links.join(common.small_side(at("a")), "a").join(common.small_side(at("b")), "b")
     sides = ordered.select(F.explode(F.array(*(F.struct(F.col(x).alias("class"), F.lit(1).cast("long").alias("degree"), (F.col(f"at_{x}") > F.col(f"at_{y}")).alias("later")) for x, y in ("ab", "ba")))).alias("s"))
-    counted = _counted(_split(large, lines, sets, ranges), percent)
+    counted = _counted(_split(large, lines, sets, ranges, percent), percent)
     return sides.select("s.*").union(counted).groupBy("class").agg(F.sum("degree").alias("degree"), F.max("later").alias("later"))
 
 
+def _judged(lines: DataFrame, judging: DataFrame) -> DataFrame:
+    """lines with what judging (j_class, times; written) says of their class. Where judging is large, the lines of hot classes aren't shuffled by their class."""
+    own = lambda df, side, how: df.join(side, df["class"] == side["j_class"], how)
+    if common.fits(judging):
+        return own(lines, F.broadcast(judging), "left")
+    # more lines than 1 in 10,000, so there are fewer than 10,000 such classes
+    often = F.coalesce(F.col("times"), F.lit(0)) > lines.count() // 10_000
+    hot, rest = F.broadcast(judging.filter(often)), judging.filter(~often)
+    return own(lines, hot, "inner").unionByName(own(own(lines, hot.select("j_class"), "left_anti"), rest, "left"))
+
+
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_lines (with words), removed (line numbers from 0), n_links, class_id; for documents with such lines.
 
@@ -400,9 +430,9 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = _matched(met, firsts.select("class", "first"), bodies, rarity, percent)
 
     # classes of one line without links need no look
-    judging = firsts.filter("times > 1").select("class", "first").join(links, "class", "full_outer").withColumnRenamed("class", "j_class")
-    judging = common.small_side(common.written(judging, "line-judging"))
-    judged = lines.join(judging, lines["class"] == judging["j_class"], "left").select(
+    judging = firsts.filter("times > 1").select("class", "first", "times").join(links, "class", "full_outer").withColumnRenamed("class", "j_class")
+    joined = _judged(lines, common.written(judging, "line-judging"))
+    judged = joined.select(
         "doc_id",
         "line",
         F.coalesce("degree", F.lit(0)).alias("degree"),

@@ -77,9 +77,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
+    """The pairs (a, b; written) with 100 * intersection >= percent * union on full sets. The pairs of an id with very many are dealt over many tasks."""
+    with_b = common.salted_join(pairs, sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b", "a", common.hot_keys(pairs, "b"))
+    both = common.salted_join(with_b, sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a", "b", common.hot_keys(pairs, "a"))
     counted = both.select("a", "b", F.size(F.array_intersect("ea", "eb")).cast("long").alias("common"), (F.size("ea") + F.size("eb")).cast("long").alias("total"))
     return counted.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).select("a", "b")
 
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = common.written(popularity.select("id"), "wanted")
     bodies = texts.withColumnRenamed("doc_id", "id").join(common.small_side(wanted), "id", "left_semi").select("id", F.col("text").cast("binary").alias("body"))
     sets = common.written(_sets(bodies, width).filter(F.size("elements") > 0), "sets")
-    star_links = common.written(_verified(stars, sets, percent), "star-links")
+    star_links = common.written(_verified(common.written(stars, "stars"), sets, percent), "star-links")
     # rows with the same doc_id and different texts: their classes are linked by the id
     members = filled.select("doc_id", F.col("k1").alias("m1"), F.col("k2").alias("m2"))
     of_doc = members.join(classes.select("k1", "k2", "class_id"), (F.col("m1") == F.col("k1")) & (F.col("m2") == F.col("k2"))).select("doc_id", "class_id")
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         & (F.lit(100 + percent) * reach >= F.lit(percent) * (F.col("n1") + F.col("n2"))),
     )
     pairs = pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
-    more = common.written(_verified(pairs, sets, percent), "links")
+    more = common.written(_verified(common.written(pairs, "prefix-pairs"), sets, percent), "links")
     final = components.components(star_links.union(more))
 
     members = sketched.select("doc_id", "n_shingles", F.col("k1").alias("m1"), F.col("k2").alias("m2"))
