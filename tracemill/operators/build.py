@@ -204,10 +204,10 @@ def merge_splits(shards: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), shards).select("split", "gameid").distinct()
 
 
-def mergeable(manifests: DataFrame) -> DataFrame:
-    """One row: whether dataset_name, mode, tasks, label_source and env_id agree over all shards' manifests."""
+def mergeable(manifests: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Per key (or one row): whether dataset_name, mode, tasks, label_source and env_id agree over all shards' manifests."""
     identity = F.struct("dataset_name", "mode", "tasks", "label_source", "env_id")
-    return manifests.agg((F.count_distinct(F.to_json(identity, {"ignoreNullFields": "false"})) <= 1).alias("mergeable"))
+    return manifests.groupBy(*key).agg((F.count_distinct(F.to_json(identity, {"ignoreNullFields": "false"})) <= 1).alias("mergeable"))
 
 
 def interleaved(rows: DataFrame, per_task: int, *, order: Sequence[str] = ("ordinal",)) -> DataFrame:

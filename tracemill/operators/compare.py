@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import depth_bucket, hash_bucket, missing_as, rate
-from .splits import RANGES
+from .splits import range_count, range_of
 
 #: Metrics in which lower is better, beside those that end in _mae.
 LOWER_IS_BETTER = ("next_frame_teacher_forced_mean_nll", "next_frame_teacher_forced_perplexity")
@@ -127,20 +127,26 @@ def one_identity(reports: DataFrame, identity: Sequence[str]) -> DataFrame:
 def shuffled_pairs(rows: DataFrame, *, group: Sequence[str], key: str, label: str, seed: int) -> DataFrame:
     """Each row with the next row of its group, in hash order and around the end, that has another label: (columns, other key).
 
-    A group is cut into ranges of the hash. Runs of equal labels are numbered within a range, and the row after a run's end is the partner of the whole run. For
-    the last run of a range it is found in a list of the group's ranges: the first row of each and its first one of another label. So no task sorts a
-    group, and nothing is joined with all of it.
+    A group is cut into ranges of the hash, one for each shuffle partition. Runs of equal labels are numbered within a range, and the row after a run's end is
+    the partner of the whole run. The last run of a range takes its partner from the next range that holds another label: ranges, one row each, are gone
+    through twice in order, from their last to their first. So no task sorts a group, and nothing is joined with all of it. A null is a label of its own.
     """
     w = W.partitionBy(*group, "_range").orderBy("_h", key)
-    ranked = rows.withColumn("_h", hash_bucket(seed, F.col(key))).withColumn("_range", F.least(F.floor(F.col("_h") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    ranked = rows.withColumn("_h", hash_bucket(seed, F.col(key))).withColumn("_range", range_of(F.col("_h"), range_count(rows)))
     starts = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     runs = ranked.withColumn("_s", starts).withColumn("_run", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0)))
     first = runs.groupBy(*group, "_range", "_run").agg(F.min_by(F.struct(F.col(key).alias("other_key"), F.col(label).alias("other_label")), F.struct("_h", key)).alias("_first"), F.max(label).alias("_label"))
     first = first.withColumn("_next", F.lead("_first").over(W.partitionBy(*group, "_range").orderBy("_run")))
-    heads = first.filter("_run = 1").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_range", F.col("_first").alias("a"), F.col("_next").alias("b")))).alias("_heads"))
-    around = F.concat(F.filter("_heads", lambda x: x["_range"] > F.col("_range")), F.filter("_heads", lambda x: x["_range"] <= F.col("_range")))
-    others = F.transform(around, lambda x: F.when(x["a"]["other_label"] != F.col("_label"), x["a"]).otherwise(x["b"]))
-    last = first.filter("_next IS NULL").join(heads, list(group)).withColumn("_next", F.get(F.filter(others, lambda x: x.isNotNull()), F.lit(0)))
+    ends = first.groupBy(*group, "_range").agg(
+        F.min_by(F.struct(F.col("_first").alias("a"), F.col("_next").alias("b")), "_run").alias("_head"), F.max_by(F.struct("_run", "_label"), "_run").alias("_last")
+    )
+    laps = ends.withColumn("_lap", F.explode(F.array(F.lit(0), F.lit(1))))
+    onward = W.partitionBy(*group).orderBy("_lap", "_range")
+    # what a range offers to those before it: its first row, or its first one of another label, if either differs from the label before
+    differs = ~F.col("_head.a.other_label").eqNullSafe(F.lag("_last").over(onward)["_label"])
+    offered = laps.withColumn("_offer", F.when(differs, F.col("_head.a")).otherwise(F.col("_head.b")))
+    back = W.partitionBy(*group).orderBy(F.desc("_lap"), F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    last = offered.withColumn("_next", F.last("_offer", ignorenulls=True).over(back)).filter("_lap = 0").select(*group, "_range", F.col("_last._run").alias("_run"), "_next")
     partners = first.filter("_next IS NOT NULL").select(*group, "_range", "_run", "_next").union(last.select(*group, "_range", "_run", "_next"))
     return runs.join(partners, [*group, "_range", "_run"]).filter("_next IS NOT NULL").select(*rows.columns, F.col("_next.other_key").alias("other_key"), F.col("_next.other_label").alias("other_label"))
 

@@ -24,11 +24,9 @@ def policy_metrics(rows: DataFrame, valid: Column, *, prediction: str = "predict
     cells = rows.groupBy(label, prediction).agg(F.count("*").alias("n"), F.count_if(parsed).alias("parsed"), F.count_if(parsed & valid).alias("in_space"), F.count_if(F.col(prediction) == F.col(label)).alias("exact"))
     targets = cells.groupBy(label).agg(F.sum("n").alias("n"), F.sum("exact").alias("exact"))
     predicted = cells.groupBy(prediction).agg(F.sum("in_space").alias("n")).filter("n > 0")
-    first = lambda name: F.max_by(name, F.struct("n", -F.col("rank_of")))
-    # ranks make the smallest action win ties for any type of action
-    ranked = lambda df, name: df.withColumn("rank_of", F.rank().over(W.orderBy(name)))
-    top = ranked(targets, label).agg(first(label).alias("target_dominant"), F.count("*").alias("target_unique"), F.avg(rate(F.col("exact"), F.col("n"))).alias("macro"))
-    top_predicted = ranked(predicted, prediction).agg(first(prediction).alias("predicted_dominant"), F.count("*").alias("predicted_unique"), F.coalesce(F.max("n"), F.lit(0)).alias("predicted_top"))
+    first = lambda name: F.min_by(name, F.struct(-F.col("n"), name))
+    top = targets.agg(first(label).alias("target_dominant"), F.count("*").alias("target_unique"), F.avg(rate(F.col("exact"), F.col("n"))).alias("macro"))
+    top_predicted = predicted.agg(first(prediction).alias("predicted_dominant"), F.count("*").alias("predicted_unique"), F.coalesce(F.max("n"), F.lit(0)).alias("predicted_top"))
     total = cells.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "parsed", "in_space", "exact")])
     others = targets.crossJoin(top).filter(F.col(label) != F.col("target_dominant")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("other_n"), F.coalesce(F.sum("exact"), F.lit(0)).alias("other_exact"))
     one = total.crossJoin(top).crossJoin(top_predicted).crossJoin(others)

@@ -88,3 +88,13 @@ def space_failures(manifest: DataFrame, environment: DataFrame) -> DataFrame:
     joined = m.join(e, "action_id", "full_outer")
     failure = F.when(F.col("environment_name").isNull(), "missing_in_environment").when(F.col("manifest_name").isNull(), "missing_in_manifest").when(F.col("manifest_name") != F.col("environment_name"), "name_differs")
     return joined.withColumn("failure", failure).filter("failure IS NOT NULL").select("action_id", "manifest_name", "environment_name", "failure")
+
+
+def failure_reports(attempts: DataFrame, key: Sequence[str] = ("run_id",)) -> DataFrame:
+    """attempts(key, ordinal, stage, error_type, error_message, contract_path, mode, tracker) -> a report for each run with an error, of its first one.
+
+    An attempt without error_type has gone well. A missing message is told as empty, and the tracker's own report is left out where it is missing or empty.
+    """
+    told = F.struct("stage", "error_type", F.coalesce("error_message", F.lit("")).alias("error_message"), "contract_path", "mode", F.nullif("tracker", F.lit("")).alias("tracker"))
+    first = attempts.filter("error_type IS NOT NULL").groupBy(*key).agg(F.min_by(told, F.struct("ordinal", told)).alias("_f"))
+    return first.select(*key, F.lit("failed").alias("status"), F.col("_f.stage").alias("failure_stage"), *[f"_f.{c}" for c in ("error_type", "error_message", "contract_path", "mode", "tracker")])

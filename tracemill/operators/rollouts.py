@@ -188,21 +188,38 @@ def sweep_means(summary: DataFrame, metrics: Sequence[str], group: Sequence[str]
 def sequence_similarity(sequences: DataFrame, *, key: str, actions: str) -> DataFrame:
     """One row: over all unordered pairs of sequences, the share that are equal and the mean share of equal places (of the longer length).
 
+    For sequences that come as arrays; ``step_similarity`` takes them as rows.
+    """
+    own = sequences.select(F.col(actions).alias("a"), F.size(actions).alias("n"))
+    placed = own.select("n", F.posexplode("a").alias("at", "x"))
+    return _similarity(own.groupBy("n", "a").agg(F.count("*").alias("c")), placed)
+
+
+def step_similarity(steps: DataFrame, *, key: str, place: str, action: str) -> DataFrame:
+    """sequence_similarity of sequences that come as rows (key, place, action), each place once: no sequence is gathered, however long.
+
+    Equal sequences are told by their length and 128 bits of hashes of their places and actions, which add up in any order (by exclusive or).
+    """
+    own = steps.select(F.col(key).alias("k"), F.col(place).alias("at"), F.col(action).alias("x"))
+    told = own.groupBy("k").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(salt), "at", "x")).alias(f"h{salt}") for salt in (1, 2)])
+    return _similarity(told.groupBy("n", "h1", "h2").agg(F.count("*").alias("c")), own.join(told.select("k", "n"), "k"))
+
+
+def _similarity(classes: DataFrame, steps: DataFrame) -> DataFrame:
+    """One row from classes(n, c) of equal sequences of length n and all steps(n, at, x).
+
     The equal share comes from counts of whole sequences, and the place share, for sequences of one length, from counts of actions per place: no
     pair is formed. Sequences of different lengths meet only as counts per (place, action, length), summed up over the shorter ones.
     """
-    own = sequences.select(F.col(key).alias("k"), F.col(actions).alias("a"), F.size(actions).alias("n"))
-    total = own.agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
-    equal = own.groupBy("a").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("equal_pairs"))
-    placed = own.select("n", F.posexplode("a").alias("at", "x")).filter("x IS NOT NULL").groupBy("at", "x", "n").agg(F.count("*").alias("c"))
+    twos = lambda c: c * (c - 1) / 2
+    one_row = classes.agg(twos(F.sum("c")).alias("pairs"), F.sum(twos(F.col("c"))).alias("equal_pairs"), F.coalesce(F.sum(F.when(F.col("n") == 0, twos(F.col("c")))), F.lit(0.0)).alias("empty_pairs"))
+    placed = steps.filter("x IS NOT NULL").groupBy("at", "x", "n").agg(F.count("*").alias("c"))
     shorter = F.coalesce(F.sum("c").over(W.partitionBy("at", "x").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     met = placed.select("n", (F.col("c") * shorter + F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
     places = met.agg(F.sum(F.col("pairs") / F.col("n")).alias("same"))
     # two empty sequences are equal in full
-    empty = own.filter("n = 0").agg((F.count("*") * (F.count("*") - 1) / 2).alias("empty_pairs"))
-    one = total.crossJoin(equal).crossJoin(places).crossJoin(empty)
-    return one.select(
-        F.col("pairs").cast("long").alias("pair_count"),
+    return one_row.crossJoin(places).select(
+        F.coalesce("pairs", F.lit(0)).cast("long").alias("pair_count"),
         F.coalesce("equal_pairs", F.lit(0)).cast("long").alias("equal_pairs"),
         F.round(rate(F.col("equal_pairs"), F.col("pairs")), 6).alias("identity_rate"),
         F.round(rate(F.coalesce("same", F.lit(0.0)) + F.col("empty_pairs"), F.col("pairs")), 6).alias("mean_similarity"),

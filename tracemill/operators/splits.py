@@ -26,15 +26,26 @@ def top_by_hash(rows: DataFrame, key: str, seed: int, counts: dict[str, int]) ->
     return ranked.filter(F.col("_n") <= max(counts.values())).filter(F.col("_n") <= wanted).drop("_n")
 
 
-RANGES = 64
+LEAST_RANGES = 64
+
+
+def range_count(rows: DataFrame) -> int:
+    """Into how many ranges an order is cut: one for each shuffle partition, which a cluster sets by the size of its data, and LEAST_RANGES at least."""
+    return max(LEAST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def range_of(position: Column, ranges: int) -> Column:
+    """The range, from 0, that a position from 0 to 1 falls into."""
+    return F.least(F.floor(position * ranges), F.lit(ranges - 1)).cast("int")
 
 
 def ranked(rows: DataFrame, *, groups: Sequence[str], position: Column, order: Sequence[Column | str], alias: str) -> DataFrame:
     """rows with their rank from 0 within the group, in the order of ``position`` (a number from 0 to 1) and then of ``order``.
 
-    Positions are cut into ranges; ranks within a range go on from the summed counts of the ranges before, so that no task sorts a group.
+    Positions are cut into ranges; ranks within a range go on from the summed counts of the ranges before, so that no task sorts a group. There are as
+    many ranges as shuffle partitions, so a range of the largest group gets smaller as the cluster's settings grow with the data.
     """
-    cut = rows.withColumn("_position", position).withColumn("_range", F.least(F.floor(F.col("_position") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    cut = rows.withColumn("_position", position).withColumn("_range", range_of(F.col("_position"), range_count(rows)))
     keys = [*groups, "_range"]
     before = W.partitionBy(*[f"_b{k}" for k in range(len(groups))]).orderBy("_b_range").rowsBetween(W.unboundedPreceding, -1)
     counts = cut.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_b{k}") for k, c in enumerate(groups)], F.col("_range").alias("_b_range"), "_n")
@@ -44,11 +55,6 @@ def ranked(rows: DataFrame, *, groups: Sequence[str], position: Column, order: S
     return joined.withColumn(alias, (F.col("_base") + F.col("_k")).cast("int")).select(*rows.columns, alias)
 
 
-def round_robin(rows: DataFrame, *, groups: Sequence[str], order: Sequence[Column | str], ranks: Sequence[Column | str] | None = None) -> DataFrame:
-    """rows with ``turn`` (their place within the group); ordering by turn, then by ranks, takes one row of each group in turn."""
-    return rows.withColumn("turn", F.row_number().over(W.partitionBy(*groups).orderBy(*order)) - 1)
-
-
 def split_role_order(games: DataFrame, seed: int) -> DataFrame:
     """games(gameid, role) with split, role filled and (turn, role, split_rank), by which a build visits them."""
     rows = with_split(games, "gameid", seed).withColumn("role", missing_as(F.col("role"), "<missing>"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-from .splits import RANGES, ranked
+from .splits import range_count, ranked
 
 
 def flatten_batches(batches: DataFrame, arrays: Sequence[str], *, nested: bool) -> DataFrame:
@@ -83,16 +83,25 @@ def rollout_starts(rows: DataFrame, *, sequence: str, step: str, horizon: int, c
 def dense_numbers(rows: DataFrame, *, key: str, order: Sequence[str], alias: str = "sequence_number") -> DataFrame:
     """rows with a number from 0 for each key, in the order of its first row.
 
-    The first column of ``order`` (a number or a time) is cut at approximate percentiles; numbers in a range go on from the counts of those before.
+    The first column of ``order`` (a number or a time) is cut at approximate percentiles, as many as there are ranges; numbers in a range go on from the
+    counts of those before. The cuts are one row of the same plan, in blocks of about the square root of their number, so a row is compared with two
+    blocks' worth of them. Keys that share that column's value share a range; a null of it comes first.
     """
     first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
     lead = F.col("_first")[order[0]]
     if dict(rows.dtypes)[order[0]].startswith(("timestamp", "date")):
         lead = lead.cast("timestamp")
     lead = lead.cast("double")
-    cuts = first.agg(F.percentile_approx(lead, [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).first()["c"] or []
-    place = sum(((lead > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    numbered = ranked(first, groups=[], position=place / RANGES, order=["_first", key], alias=alias)
+    ranges = range_count(rows)
+    width = math.isqrt(ranges) + 1
+    cuts = first.agg(F.array_sort(F.array_distinct(F.percentile_approx(lead, [k / ranges for k in range(1, ranges)], 20 * ranges))).alias("_c"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_c"), F.lit(1)), F.lit(width))
+    blocks = cuts.select(F.transform(starts, lambda k: F.slice("_c", k, width)).alias("_blocks"))
+    begun = F.size(F.filter("_blocks", lambda b: F.get(b, F.lit(0)) < F.col("_lead")))
+    within = F.size(F.filter(F.get("_blocks", F.col("_begun") - 1), lambda c: c < F.col("_lead")))
+    place = F.when(F.col("_begun") > 0, (F.col("_begun") - 1) * width + within).otherwise(0)
+    placed = first.crossJoin(F.broadcast(blocks)).withColumn("_lead", lead).withColumn("_begun", begun).select(key, "_first", place.alias("_place"))
+    numbered = ranked(placed, groups=[], position=(F.col("_place") + 0.5) / ranges, order=["_first", key], alias=alias)
     return rows.join(numbered.select(key, alias), key)
 
 

@@ -616,23 +616,15 @@ def sweep_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""
-WITH {EVENTS_SQL}, s AS (SELECT user_id, list(action_id ORDER BY step) AS a FROM e WHERE step <= 20 GROUP BY 1),
-p AS (SELECT x.a AS a, y.a AS b FROM s x JOIN s y ON x.user_id < y.user_id), q AS (SELECT a = b AS same, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[k] = b[k]))::DOUBLE / greatest(len(a), len(b)) AS share FROM p)
-SELECT count(*) AS pair_count, count(*) FILTER (same) AS equal_pairs, round(count(*) FILTER (same)::DOUBLE / count(*), 6) AS identity_rate, round(avg(share), 6) AS mean_similarity FROM q
+WITH {EVENTS_SQL}, s AS (SELECT user_id, count(*) AS n, list(action_id ORDER BY step) AS a FROM e GROUP BY 1),
+k AS (SELECT count(*) AS c FROM s GROUP BY n, a), t AS (SELECT sum(c) * (sum(c) - 1) / 2 AS pairs, sum(c * (c - 1) / 2) AS equal FROM k),
+p AS (SELECT step, action_id, n, count(*) AS c FROM e JOIN s USING (user_id) GROUP BY ALL),
+m AS (SELECT n, c * coalesce(sum(c) OVER (PARTITION BY step, action_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + c * (c - 1) / 2 AS met FROM p)
+SELECT pairs::BIGINT AS pair_count, equal::BIGINT AS equal_pairs, round(equal::DOUBLE / pairs, 6) AS identity_rate, round((SELECT sum(met::DOUBLE / n) FROM m) / pairs, 6) AS mean_similarity FROM t
 """)
 def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the first 20 actions of all users (a definition of the sequences, not a cap on users)."""
-    steps = tables.event_steps(spark, sf_dir).filter("step <= 20")
-    sequences = steps.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "action_id"))), lambda x: x["action_id"]).alias("actions"))
-    return rollouts.sequence_similarity(sequences, key="user_id", actions="actions")
-
-
-@registered()
-def whole_sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of all actions of all users."""
-    steps = tables.event_steps(spark, sf_dir)
-    sequences = steps.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "action_id"))), lambda x: x["action_id"]).alias("actions"))
-    return rollouts.sequence_similarity(sequences, key="user_id", actions="actions")
+    return rollouts.step_similarity(tables.event_steps(spark, sf_dir), key="user_id", place="step", action="action_id")
 
 
 @registered(f"WITH {WATCH_SQL} SELECT seed, side, count(*) FILTER (stuck) AS stuck, count(*) FILTER (prompted) AS prompts FROM f GROUP BY ALL")
@@ -721,4 +713,4 @@ def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.run_to_end(ledger.latest_status(rows), ["name"])
 
 
-from . import audit_queries, build_queries, frame_queries, run_queries  # noqa: E402, F401  (they register themselves)
+from . import audit_queries, build_queries, frame_queries, report_queries, run_queries  # noqa: E402, F401  (they register themselves)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -155,6 +154,16 @@ def dataset_summary(spark: SparkSession, path: str) -> DataFrame:
     return manifest.crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(rejected))
 
 
+def dataset_source(index: Column, root: Column, manifest: Column) -> Column:
+    """archive_manifest or nld_db, from the paths that a run was given; none, or a manifest beside another path, fails the job."""
+    return (
+        F.when(manifest.isNotNull() & (index.isNotNull() | root.isNotNull()), F.raise_error(F.lit("a manifest can't be combined with an index or a root")))
+        .when(manifest.isNotNull(), "archive_manifest")
+        .when(index.isNull(), F.raise_error(F.lit("a run needs an index or a manifest")))
+        .otherwise("nld_db")
+    )
+
+
 def games_of(plan: DataFrame, shard_index: int) -> DataFrame:
     return plan.filter(F.col("shard_index") == shard_index).select("gameid")
 
@@ -174,8 +183,3 @@ def valid_actions(manifest: DataFrame) -> DataFrame:
 def file_entries(spark: SparkSession, path: str) -> DataFrame:
     """path, name and size of the files below a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size_bytes"))
-
-
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with an ordinal from 0 in the given order (one task: for small tables such as manifests)."""
-    return rows.withColumn("ordinal", F.row_number().over(W.orderBy(*order)) - 1)

@@ -6,7 +6,7 @@ boolean and null; a path runs through objects by name ($.a.b) and through arrays
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +60,23 @@ def problems(rows: DataFrame, required: Mapping[str, str], *, key: str, report:
         .otherwise(F.array_compact(F.array(*parts)))
     )
     return rows.select(key, F.explode(found).alias("p")).select(key, "p.*")
+
+
+def first_text(report: Column, paths: Sequence[str], default: str) -> Column:
+    """The first part of the paths that is a text and not empty, else the default; what is of another kind is passed over."""
+    return F.coalesce(*[F.nullif(nested(report, p, "string", "string"), F.lit("")) for p in paths], F.lit(default))
+
+
+def objective_version(rollout: Column, default: str) -> Column:
+    """By which version of the objective a rollout report was scored: as its current side says, else its baseline, else the default."""
+    return first_text(rollout, [f"$.rollout_metrics.{side}.fitness_objective_version" for side in ("current", "baseline")], default)
+
+
+def context_text(context: Column) -> Column:
+    """A policy's context (VARIANT: an array of objects and of pairs of observation and action) as JSON, with pairs as objects.
+
+    Objects stay as they are. No context, or one that is no array, is null; a pair whose action is no number fails the job.
+    """
+    pair = lambda x: F.struct(F.coalesce(F.variant_get(x, "$[0]", "string"), F.lit("None")).alias("observation_text"), F.variant_get(x, "$[1]", "int").alias("action_id"))
+    told = F.transform(F.try_variant_get(context, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.to_json(x)).otherwise(F.to_json(pair(x))))
+    return F.concat(F.lit("["), F.array_join(told, ","), F.lit("]"))
