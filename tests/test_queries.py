@@ -55,7 +55,8 @@ def test_whole_sequences_are_compared(spark, tmp_path):
     assert {u: len(a) for u, a in of.items()} == lengths
     pairs = list(combinations(of.values(), 2))
     share = [sum(x == y for x, y in zip(a, b)) / max(len(a), len(b)) for a, b in pairs]
-    got = plans.QUERIES["sequence_similarity"](spark, folder).head()
+    got = plans.QUERIES["whole_sequence_similarity"](spark, folder).head()
+    assert plans.QUERIES["sequence_similarity"](spark, folder).head() == got
     assert (got.pair_count, got.equal_pairs) == (len(pairs), sum(a == b for a, b in pairs))
     assert got.mean_similarity == pytest.approx(sum(share) / len(pairs), abs=1e-6)
     first = [a[:20] for a in of.values()]

@@ -615,18 +615,27 @@ def sweep_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({m: F.round(m, 6) for m in DELTAS})
 
 
-@registered(f"""
+SIMILARITY_SQL = f"""
 WITH {EVENTS_SQL}, s AS (SELECT user_id, count(*) AS n, list(action_id ORDER BY step) AS a FROM e GROUP BY 1),
 k AS (SELECT count(*) AS c FROM s GROUP BY n, a), t AS (SELECT sum(c) * (sum(c) - 1) / 2 AS pairs, sum(c * (c - 1) / 2) AS equal FROM k),
 p AS (SELECT step, action_id, n, count(*) AS c FROM e JOIN s USING (user_id) GROUP BY ALL),
 m AS (SELECT n, c * coalesce(sum(c) OVER (PARTITION BY step, action_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + c * (c - 1) / 2 AS met FROM p)
 SELECT pairs::BIGINT AS pair_count, equal::BIGINT AS equal_pairs, round(equal::DOUBLE / pairs, 6) AS identity_rate, round((SELECT sum(met::DOUBLE / n) FROM m) / pairs, 6) AS mean_similarity FROM t
-""")
+"""
+
+
+@registered(SIMILARITY_SQL)
 def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of all actions of all users."""
     return rollouts.step_similarity(tables.event_steps(spark, sf_dir), key="user_id", place="step", action="action_id")
 
 
+@registered(SIMILARITY_SQL)
+def whole_sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the name it had while sequence_similarity was cut."""
+    return sequence_similarity(spark, sf_dir)
+
+
 @registered(f"WITH {WATCH_SQL} SELECT seed, side, count(*) FILTER (stuck) AS stuck, count(*) FILTER (prompted) AS prompts FROM f GROUP BY ALL")
 def stuck_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import events
