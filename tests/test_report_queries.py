@@ -92,3 +92,33 @@ def test_dominant_action_ties_go_to_the_smallest(spark):
     rows = spark.createDataFrame([("b", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("c", None)], "label string, prediction string")
     got = metrics.policy_metrics(rows, F.lit(True)).head()
     assert (got.target_dominant, got.predicted_dominant) == ("a", "b")
+
+
+def test_halves_of_scores_round_up_in_any_order(spark, tmp_path):
+    import random
+    from functools import reduce
+
+    from tracemill.plans import queries as plans
+
+    def given(seed):
+        rng = random.Random(seed)
+        return [rng.randrange(1, 40_000) for _ in range(64)]
+
+    # the first values whose mean is a half of the sixth place, and less if doubles are summed
+    cents = next(c for c in map(given, range(10_000)) if sum(c) % 4 == 2 and reduce(float.__add__, [x / 100 for x in c]) / 64 < sum(c) / 6400)
+    values, want = [x / 100 for x in cents], (sum(cents) * 10_000 // 64 + 1) / 10**6
+    for name, order in (("one", values), ("other", values[::-1])):
+        spark.createDataFrame([(0, v) for v in order], "user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        assert [tuple(r) for r in plans.QUERIES["best_reports"](spark, f"{tmp_path}/{name}").collect()] == [(0, "corrected-0", want)]
+
+
+def test_means_of_other_doubles(spark):
+    rows = spark.createDataFrame([("third", 1 / 3), ("third", 2 / 3), ("large", 1e300), ("nan", float("nan")), ("nan", 1.0), ("null", None), ("some", None), ("some", 0.5)], "k string, x double")
+    got = {r.k: r.m for r in rows.groupBy("k").agg(scalars.mean(F.col("x")).alias("m")).collect()}
+    assert got.pop("nan") != 1.0 and got == {"third": 0.5, "large": 1e300, "null": None, "some": 0.5}
+
+
+def test_best_reports_and_ties(spark):
+    rows = spark.createDataFrame([(1, "run-9", 9.0), (1, "corrected-2", None), (1, "corrected-1", 0.0), (2, "run-b", -1.0), (2, "run-a", -1.0), (3, "corrected-1", -1.0), (3, "corrected-2", None)], "lane int, run string, score double")
+    got = reports.best_report(rows, run="run", value="score", prefix="corrected-", key=["lane"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "corrected-1", 0.0), (2, "run-a", -1.0), (3, "corrected-2", None)]

@@ -52,11 +52,10 @@ def build_activity(listed: Column, tasks: Column) -> Column:
 
 def best_report(reports: DataFrame, *, run: str, value: str, prefix: str, key: Sequence[str]) -> DataFrame:
     """Per key the report with the greatest value (missing counts as 0), among those whose run has the prefix if any has; ties to the smallest run."""
-    preferred = reports.withColumn("_p", F.col(run).startswith(prefix).cast("int"))
-    order = F.struct(F.col("_p"), F.coalesce(F.col(value), F.lit(0.0)).alias("v"))
-    top = preferred.groupBy(*key).agg(F.max(order).alias("_top"))
-    joined = preferred.join(top, list(key)).filter(order == F.col("_top"))
-    return joined.groupBy(*key).agg(F.min_by(F.struct(*[c for c in reports.columns if c not in key]), run).alias("_r")).select(*key, "_r.*")
+    others = [c for c in reports.columns if c not in key]
+    place = [F.col(run).startswith(prefix).alias("_p"), F.coalesce(F.col(value), F.lit(0.0)).alias("_v")]
+    least = reports.groupBy(*key, *place).agg(F.min_by(F.struct(*others), run).alias("_r"))
+    return least.groupBy(*key).agg(F.max_by("_r", F.struct("_p", "_v")).alias("_r")).select(*key, "_r.*")
 
 
 #: Metrics of a rollout that a summary shows.

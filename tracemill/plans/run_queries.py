@@ -269,7 +269,7 @@ SELECT lane, run, score FROM k WHERE n = 1
 def best_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best report of each lane, corrected runs before others."""
     run = F.concat(F.when(F.col("user_id") % 4 == 0, "corrected-").otherwise("run-"), F.col("user_id").cast("string"))
-    rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 30).alias("lane"), run.alias("run")).agg(F.round(F.avg("value"), 6).alias("score"))
+    rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 30).alias("lane"), run.alias("run")).agg(F.round(scalars.mean(F.col("value")), 6).alias("score"))
     return reports.best_report(rows, run="run", value="score", prefix="corrected-", key=["lane"])
 
 
