@@ -103,3 +103,27 @@ def test_subset_is_consistent(spark, made, tmp_path):
         db.close()
     none = index.index_subset(spark, folder, chosen.filter("player = 'nobody'"))
     assert [df.count() for df in none] == [0, 0, 0]
+
+
+def test_shards_are_written_batch_by_batch(spark, tmp_path):
+    large = (1 << 60) + 1
+    games = spark.createDataFrame([(g, "Val" if g % 2 else None) for g in range(500)], "gameid long, role string")
+    recordings = spark.createDataFrame([(f"p/{g}", None if g % 7 else large, 500 - g) for g in range(500)], "path string, part long, gameid long")
+    roots = spark.createDataFrame([("d", "/r", 3)], "dataset_name string, root string, ttyrec_version long")
+    out, before = str(tmp_path / "out"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        made = index.write_index(roots, games, recordings, out, shards=3)
+        assert "Pandas" not in made._jdf.queryExecution().toString()  # no group is held whole
+        told = {r.shard: (r.games, r.recordings) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(told) == {0, 1, 2} and tuple(map(sum, zip(*told.values(), strict=True))) == (500, 500)
+    # whole numbers stay whole beside nulls
+    for table, df in (("games", games), ("ttyrecs", recordings)):
+        assert rows(index.index_table(spark, out, table, rows=60)) == rows(df)
+    for shard, (n, _) in told.items():
+        with sqlite3.connect(f"{out}/index-{shard}.db") as db:
+            ids = [g for (g,) in db.execute("SELECT gameid FROM games ORDER BY rowid")]
+            assert ids == sorted(ids) and len(ids) == n
+        db.close()

@@ -15,9 +15,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import closing
 from dataclasses import dataclass
+from itertools import chain
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith
@@ -69,6 +70,7 @@ class IndexReader(DataSourceReader):
         self.schema, self.known = schema, {f.name: f.dataType for f in schema.fields}
         self.where: list[str] = []
         self.values: list = []
+        self.looked_up = False  # whether an index of the file may find the rows faster than a walk
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 (Spark's name)
         for f in filters:
@@ -78,6 +80,7 @@ class IndexReader(DataSourceReader):
             else:
                 self.where.append(said[0])
                 self.values += said[1]
+                self.looked_up |= isinstance(f, (EqualTo, In))
 
     def _said(self, f: Filter) -> tuple[str, list] | None:
         """The filter in SQL with its values; None if it is left to Spark."""
@@ -112,16 +115,17 @@ class IndexReader(DataSourceReader):
             if [n for n, _ in own] != list(self.known):
                 raise ValueError(f"{file} declares other columns of {self.table}: {own}")
             with _opened(file) as index:
-                ids = index.execute(f"SELECT rowid FROM {_quoted(self.table)} WHERE 1{self._filter()} ORDER BY rowid", self.values)
-                low = high = None
-                for k, (rowid,) in enumerate(ids):  # a walk along the key, nothing kept
-                    if k % self.rows == 0:
-                        if low is not None:
-                            out.append(RowRange(file, low, high))
-                        low = rowid
-                    high = rowid
-                if low is not None:
+                # a walk along the key by SQLite: the last row of a range is so many rows on, or the last that passes
+                passing = f"FROM {_quoted(self.table)}{'' if self.looked_up else ' NOT INDEXED'} WHERE rowid >= ?{self._filter()}"
+                low = -(1 << 63)
+                while low < 1 << 63:
+                    (low,) = index.execute(f"SELECT min(rowid) {passing}", [low, *self.values]).fetchone()
+                    if low is None:
+                        break
+                    found = index.execute(f"SELECT rowid {passing} ORDER BY rowid LIMIT 1 OFFSET ?", [low, *self.values, self.rows - 1]).fetchone()
+                    (high,) = found or index.execute(f"SELECT max(rowid) {passing}", [low, *self.values]).fetchone()
                     out.append(RowRange(file, low, high))
+                    low = high + 1
         return out
 
     def read(self, partition: RowRange | None) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,8 @@ def index_subset(spark: SparkSession, path: str, chosen: DataFrame) -> tuple[Dat
 def write_index(roots: DataFrame, games: DataFrame, recordings: DataFrame, folder: str, *, shards: int) -> DataFrame:
     """Index files ``index-<k>.db`` with the games of a hash and their recordings together, and all roots in each; gives (shard, games, recordings).
 
-    A task holds one shard; choose their number by that. A file is moved to its name once it is complete, so a task may run twice. Roots are few (a dataset each).
+    A task writes one shard, batch by batch, and SQLite orders its rows by game on disk, so that a shard may be larger than a task's memory. A file is moved to its
+    name once it is complete, so a task may run twice. Roots are few (a dataset each).
     """
     held = [tuple(r) for r in roots.select("dataset_name", "root", "ttyrec_version").limit(10_001).collect()]
     if len(held) > 10_000:
@@ -188,19 +193,35 @@ def write_index(roots: DataFrame, games: DataFrame, recordings: DataFrame, folde
     made = {t: [(f.name, {LongType(): "INTEGER", DoubleType(): "REAL", BinaryType(): "BLOB"}.get(f.dataType, "TEXT")) for f in df.schema.fields] for t, df in (("roots", roots.select("dataset_name", "root", "ttyrec_version")), ("games", games), ("ttyrecs", recordings))}
     target = _local(folder)
 
-    def run(key: tuple, own: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
         os.makedirs(target, exist_ok=True)
-        shard, part = key[0], os.path.join(target, f".{uuid.uuid4().hex}")
+        shard, part, counts = first.column("_shard")[0], os.path.join(target, f".{uuid.uuid4().hex}"), dict.fromkeys(("games", "ttyrecs"), 0)
+        put = {t: f"VALUES ({', '.join('?' * len(columns))})" for t, columns in made.items()}
         with closing(sqlite3.connect(part)) as index, index:
-            for table, rows in (("roots", held), ("games", own), ("ttyrecs", taken)):
-                index.execute(f"CREATE TABLE {table} ({', '.join(f'{_quoted(n)} {k}' for n, k in made[table])})")
-                if not isinstance(rows, list):
-                    rows = rows.drop(columns="_shard").sort_values("gameid").astype(object).where(lambda d: d.notna(), None).values.tolist()
-                index.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(made[table]))})", rows)
+            index.execute("PRAGMA temp_store = FILE")
+            for table, columns in made.items():
+                for name in (f"main.{table}", f"temp.came_{table}"):
+                    index.execute(f"CREATE TABLE {name} ({', '.join(f'{_quoted(n)} {k}' for n, k in columns)})")
+            index.executemany(f"INSERT INTO roots {put['roots']}", held)
+            for batch in chain([first], batches):
+                if not pc.all(pc.equal(batch.column("_shard"), shard)).as_py():
+                    raise ValueError("a task got rows of two shards")
+                for table in counts:
+                    rows = batch.column(table)
+                    rows = rows.filter(rows.is_valid())
+                    index.executemany(f"INSERT INTO came_{table} {put[table]}", zip(*[c.to_pylist() for c in rows.flatten()], strict=True))
+                    counts[table] += len(rows)
+            for table in counts:
+                index.execute(f"INSERT INTO main.{table} SELECT * FROM came_{table} ORDER BY gameid")
             index.execute("CREATE INDEX ttyrecs_gameid ON ttyrecs (gameid)")
         os.replace(part, os.path.join(target, f"index-{shard}.db"))
-        return pd.DataFrame({"shard": [shard], "games": [len(own)], "recordings": [len(taken)]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard.as_py()], pa.int32()), "games": [counts["games"]], "recordings": [counts["ttyrecs"]]})
 
-    shard = F.pmod(F.xxhash64(F.col("gameid").cast("long")), F.lit(shards)).cast("int")
-    sides = [df.withColumn("_shard", shard).groupBy("_shard") for df in (games, recordings)]
-    return sides[0].cogroup(sides[1]).applyInPandas(run, "shard int, games long, recordings long")
+    shard = F.pmod(F.xxhash64(F.col("gameid").cast("long")), F.lit(shards)).cast("int").alias("_shard")
+    own, taken = games.select(shard, F.struct(*games.columns).alias("games")), recordings.select(shard, F.struct(*recordings.columns).alias("ttyrecs"))
+    both = own.unionByName(taken, allowMissingColumns=True).repartitionById(shards, "_shard")
+    return both.mapInArrow(run, "shard int, games long, recordings long")
