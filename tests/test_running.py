@@ -83,3 +83,42 @@ def test_streamed_query_is_the_batch(spark):
     want = history.with_history(events.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))), game="user_id", order=["ms", "event_id"], items=["event_id"])
     want = {(r.event_id, ",".join(str(x.event_id) for x in r.history)) for r in want.collect()}
     assert {(r.event_id, r.items) for r in plans.QUERIES["streaming_history"](spark, SMALL).collect()} == want
+
+
+class _Counted:
+    """One state of a game or the handle of all, counting calls."""
+
+    def __init__(self, calls=None):
+        self.calls, self.kept = [] if calls is None else calls, []
+
+    def __getattr__(self, name):
+        if name.startswith("get") and name.endswith("State"):
+            return lambda *a: _Counted(self.calls)
+        put = {"put": lambda x: self.kept.__setitem__(slice(None), x), "update": lambda x: self.kept.__setitem__(slice(None), [x]), "appendValue": self.kept.append, "clear": self.kept.clear}
+        read = {"get": lambda: list(self.kept) if self.kept and isinstance(self.kept[0][0], list) else next(iter(self.kept), None) or ()}
+        return lambda *a: (self.calls.append(name), (put | read).get(name, lambda *a: None)(*a))[1]
+
+
+def test_states_are_called_per_batch_not_per_step():
+    import pandas as pd
+
+    class Times:
+        passed = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.passed
+
+    handle, times = _Counted(), Times()
+    made = running._Running(running.NEVER)
+    made.init(handle)
+    steps = [*range(100, 1000), *range(100)]
+    rows = pd.DataFrame({"time_ms": [s + 1 for s in steps], "step": steps, "item": [f"i{s}" for s in steps]})
+    for _ in range(2):  # the second time all come again
+        list(made.handleInputRows((1,), iter([rows]), times))
+    times.passed = 500
+    first = pd.concat(made.handleExpiredTimer((1,), times, None))
+    times.passed = 5000
+    rest = pd.concat(made.handleExpiredTimer((1,), times, None))
+    assert first["step"].tolist() == list(range(500)) and rest["step"].tolist() == list(range(500, 1000))
+    assert rest["history"].tolist()[0] == [f"i{k}" for k in range(484, 500)]
+    assert len(handle.calls) < 20

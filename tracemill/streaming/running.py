@@ -1,6 +1,6 @@
 """Running histories: every step of a stream with the last 16 steps of its game before it, as state that survives restarts.
 
-A game's state is the list of its last items and the steps that wait for the watermark: steps may come out of order by as much as it allows. A timer at the earliest
+A game's state is its last place and items as one value, and the steps that wait for the watermark, packed by batch: steps may come out of order by as much as it allows. A timer at the earliest
 waiting step lets out, in order, all that the watermark has passed; another forgets a game that has been still for long, so state doesn't grow with games
 that have ended: a step that long after the one before begins anew. Steps later than the watermark are dropped, and so are steps at or before the last one let out (a file that is read twice adds nothing).
 """
@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..operators.history import MAX_ITEMS
 
@@ -27,51 +27,55 @@ class _Running(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getListState("items", "item string")
-        self.waiting = handle.getMapState("waiting", "time long, step long", "item string")
-        self.last = handle.getValueState("last", "time long, step long")
+        # each call of a state is a round trip to the JVM: what waits is packed by batch, what is held is one value
+        self.waiting = handle.getListState("waiting", "times array<long>, steps array<long>, items array<string>")
+        self.held = handle.getValueState("held", "time long, step long, items array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
         earliest, passed = NEVER, timerValues.getCurrentWatermarkInMs()
         for batch in rows:
-            for time, step, item in zip(batch["time_ms"].tolist(), batch["step"].tolist(), batch["item"].tolist(), strict=True):
-                if time <= passed and passed > 0:  # its place has been let out
-                    continue
-                self.waiting.updateValue((time, step), (item,))
-                earliest = min(earliest, time)
+            if passed > 0:  # the places before have been let out
+                batch = batch[batch["time_ms"] > passed]
+            if len(batch):
+                times = batch["time_ms"].tolist()
+                self.waiting.appendValue((times, batch["step"].tolist(), batch["item"].tolist()))
+                earliest = min(earliest, *times)
         if earliest < NEVER:
             self.handle.registerTimer(earliest)
-        yield pd.DataFrame()
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator())
-        ready = [w for w in waiting if w[0][0] <= passed]
-        last = tuple(self.last.get()) if self.last.exists() else (-NEVER, -NEVER)
+        # a place that came again has its last item
+        waiting = sorted({(t, s): x for packed in self.waiting.get() for t, s, x in zip(*packed, strict=True)}.items())
+        ready = sum(place[0] <= passed for place, _ in waiting)
+        time, step, held = self.held.get() or (-NEVER, -NEVER, [])
         if not waiting:
-            if last[0] + self.still_ms <= passed:
-                for state in (self.items, self.waiting, self.last):
-                    state.clear()
-            yield pd.DataFrame()
+            if time + self.still_ms <= passed:
+                self.waiting.clear()
+                self.held.clear()
             return
-        held = [x[0] for x in self.items.get()]
-        out = []
-        for place, item in ready:
-            self.waiting.removeKey(place)
+        out, last, held = [], (time, step), list(held)
+        for place, item in waiting[:ready]:
             if place > last:
                 if place[0] - last[0] > self.still_ms:
                     held = []
-                out.append((key[0], place[1], item, list(held)))
+                out.append((key[0], place[1], item, held))
                 held = [*held, item][-MAX_ITEMS:]
                 last = place
         if out:
-            self.items.put([(x,) for x in held])
-            self.last.update(last)
-        if len(ready) < len(waiting):
-            self.handle.registerTimer(waiting[len(ready)][0][0])
-        elif self.still_ms < NEVER:
-            self.handle.registerTimer(last[0] + self.still_ms)
-        yield pd.DataFrame(out, columns=["game", "step", "item", "history"]) if out else pd.DataFrame()
+            self.held.update((*last, held))
+        if ready == len(waiting):
+            self.waiting.clear()
+            if self.still_ms < NEVER:
+                self.handle.registerTimer(last[0] + self.still_ms)
+        else:
+            left = waiting[ready:]
+            if ready:
+                self.waiting.put([([p[0] for p, _ in left], [p[1] for p, _ in left], [x for _, x in left])])
+            self.handle.registerTimer(left[0][0][0])
+        if out:
+            yield pd.DataFrame(out, columns=["game", "step", "item", "history"])
 
     def close(self) -> None:
         pass
@@ -96,7 +100,6 @@ def running_history(steps: DataFrame, *, game: str, step: str, time: str, items:
     )
     told = packed.groupBy("game").transformWithStateInPandas(_Running(still_ms), outputStructType="game long, step long, item string, history array<string>", outputMode="Append", timeMode="EventTime")
 
-    def unpacked(x: Column) -> Column:
-        return F.from_json(x, kinds)
-
-    return told.select(F.col("game").alias(game), F.col("step").alias(step), unpacked(F.col("item")).alias("_own"), F.transform("history", unpacked).alias("history")).select(game, step, *[F.col(f"_own.{i}").alias(i) for i in items if i != step], "history")
+    # the objects of a history are parsed at once, as one list
+    history = F.from_json(F.concat(F.lit("["), F.array_join("history", ","), F.lit("]")), ArrayType(kinds))
+    return told.select(F.col("game").alias(game), F.col("step").alias(step), F.from_json("item", kinds).alias("_own"), history.alias("history")).select(game, step, *[F.col(f"_own.{i}").alias(i) for i in items if i != step], "history")
