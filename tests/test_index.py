@@ -127,3 +127,20 @@ def test_shards_are_written_batch_by_batch(spark, tmp_path):
             ids = [g for (g,) in db.execute("SELECT gameid FROM games ORDER BY rowid")]
             assert ids == sorted(ids) and len(ids) == n
         db.close()
+
+
+def test_joins_of_a_subset_are_not_merged_into_few_parts(spark):
+    from tracemill.operators import splits
+
+    recordings = spark.range(2000).select(F.concat(F.lit("p"), F.col("id") % 5, F.lit("/"), "id").alias("path"), (F.col("id") % 400).alias("gameid"))
+    games, chosen = spark.range(400).select(F.col("id").alias("gameid")), spark.createDataFrame([("p1",), ("p2",)], "player string")
+    own, kept = readers.player_subset(recordings, games, chosen)
+    met = own.join(kept, "gameid")
+    assert (met.count(), kept.count()) == (800, 160)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = own.join(kept, "gameid")
+        assert met.count() == 800 and met.rdd.getNumPartitions() == splits.range_count(games) == 64
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)

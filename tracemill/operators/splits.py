@@ -34,6 +34,11 @@ def range_count(rows: DataFrame) -> int:
     return max(LEAST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in as many parts by a hash of the key as there are ranges: a join on it sorts these parts, which aren't merged into larger ones before."""
+    return rows.repartition(range_count(rows), key)
+
+
 def range_of(position: Column, ranges: int) -> Column:
     """The range, from 0, that a position from 0 to 1 falls into."""
     return F.least(F.floor(position * ranges), F.lit(ranges - 1)).cast("int")

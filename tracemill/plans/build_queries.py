@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_ratio
-from ..operators import progressive, transitions
+from ..operators import progressive, splits, transitions
 from ..sources import index, recordings, shapes
 from ..streaming import ledger, progress, running
 from . import tables
@@ -68,7 +68,7 @@ def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and their lines as games and recordings in index files, read again as one table: the subset of some customers as players."""
     orders, folder = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("gameid"), F.col("o_orderpriority").alias("role"), "o_custkey"), ledger.shared_folder(spark, "index")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("gameid"), F.col("l_linenumber").cast("long").alias("part"))
-    taken = lines.join(orders, "gameid").select(F.concat_ws("/", F.col("o_custkey").cast("string"), "gameid").alias("path"), "part", "gameid")
+    taken = splits.dealt(lines, "gameid").join(splits.dealt(orders.select("gameid", "o_custkey"), "gameid"), "gameid").select(F.concat_ws("/", F.col("o_custkey").cast("string"), "gameid").alias("path"), "part", "gameid")
     roots = table(spark, sf_dir, "region").agg(F.min("r_name").alias("dataset_name")).select("dataset_name", F.lit("/").alias("root"), F.lit(3).cast("long").alias("ttyrec_version"))
     ledger.drained(index.write_index(roots, orders.select("gameid", "role"), taken, folder, shards=8))
     chosen = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("player"))

@@ -36,7 +36,8 @@ WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDIN
 def player_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     chosen = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("player"))
-    recordings = table(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("/", F.col("o_custkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"), F.col("l_orderkey").alias("gameid"))
+    lines, players = splits.dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey"), splits.dealt(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    recordings = lines.join(players, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("/", F.col("o_custkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"), F.col("l_orderkey").alias("gameid"))
     own, games = readers.player_subset(recordings, orders.withColumnRenamed("o_orderkey", "gameid"), chosen)
     return own.join(games.select("gameid", "o_orderpriority"), "gameid").groupBy("o_orderpriority").agg(F.count("*").alias("n_recordings"), F.countDistinct("gameid").alias("n_games"))
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import splits
 from . import schemas
 
 
@@ -97,8 +98,11 @@ def players(recordings: DataFrame) -> DataFrame:
 
 
 def player_subset(recordings: DataFrame, games: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Recordings of the chosen players, and the games of those recordings."""
-    own = recordings.withColumn("player", player(F.col("path"))).join(chosen.select("player").distinct(), "player", "left_semi")
+    """Recordings of the chosen players, and the games of those recordings.
+
+    The recordings are dealt out by game once they are chosen: few of them meet their games then, in as many parts as the shuffle has.
+    """
+    own = splits.dealt(recordings.withColumn("player", player(F.col("path"))).join(chosen.select("player").distinct(), "player", "left_semi"), "gameid")
     return own, games.join(own.select("gameid").distinct(), "gameid", "left_semi")
 
 
