@@ -95,3 +95,38 @@ def test_near_copies_of_a_hub(spark, monkeypatch, low_bounds):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 4).collect()}
     assert got == {i: (len(sets[i]), want[i]) for i in texts}
     assert [i for i in range(40) if want[i] == 0] == list(range(40))
+
+
+def unlike_lines(seed, n):
+    """Lines of a few words from a small vocabulary: words are in many lines, and few lines match."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{k}" for k in range(60)]
+    return [(i, " ".join(rng.sample(vocabulary, rng.randrange(8, 30)))) for i in range(n)]
+
+
+def test_buckets_of_unlike_sets_are_not_split(spark, monkeypatch):
+    """A bucket with many classes and few pairs lists its pairs; its sets aren't copied to parts. One of near copies gives back those that are in pairs."""
+    monkeypatch.setattr(line_dedup, "_COMPARED", 16)
+    base = [f"n{k}" for k in range(20)]
+    rows = unlike_lines(7, 400)
+    bodies = line_dedup._bodies(spark.createDataFrame(rows, "doc_id long, text string"))
+    met = lambda b: line_dedup._met(line_dedup._prefixes(b, line_dedup._rarity(line_dedup._keyed(b).cache()), 80).repartition(4, "word").sortWithinPartitions("word"), 80)
+    sizes = line_dedup._prefixes(bodies, line_dedup._rarity(line_dedup._keyed(bodies).cache()), 80).groupBy("word").count()
+    assert sizes.filter("count > 16").count() > 10
+    assert met(bodies).filter("b IS NULL").count() == 0
+    near_copies = [(1000 + i, " ".join([*base, f"x{i}"])) for i in range(40)]
+    both = line_dedup._bodies(spark.createDataFrame(rows + near_copies, "doc_id long, text string"))
+    large = {(r.word, r.a) for r in met(both).filter("b IS NULL").collect()}
+    assert large and len({c for _, c in large}) == 40
+
+
+@pytest.mark.parametrize("compared, block", [(16, 50_000), (512, 40), (2, 50_000)])
+def test_lines_of_frequent_words(spark, monkeypatch, compared, block):
+    monkeypatch.setattr(line_dedup, "_COMPARED", compared)
+    monkeypatch.setattr(line_dedup, "_BLOCK", block)
+    base = [f"n{k}" for k in range(20)]
+    rows = unlike_lines(8, 250) + [(1000 + i, " ".join([*base, f"x{i}"])) for i in range(30)]
+    rows += [(2000 + i, t.replace("v1 ", "") + f" v{i % 60}") for i, t in rows[:80]]
+    got = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, k) for r in got for k in r.removed} == removed(rows)
+    assert {r.doc_id: r.n_links for r in got} == line_links(rows)

@@ -11,8 +11,9 @@ has a set with Jaccard similarity of 0.8 or more; whether that earlier line goes
    positions. Two sets that match share a word in their prefixes, and at the first such word the rest of both must still reach
    the overlap needed (positional filter); sizes must be within 0.8 (length filter).
 4. A further filter compares parities of words in 128 bits: sets that match differ in few words, so their parities in few bits.
-   In each word's bucket all pairs of up to 512 classes go through the filters, and what they leave is verified on full sets.
-5. Larger buckets are cut into parts by size, with full sets, and parts whose sizes are near enough meet in pairs: intersections of all their classes are products of
+   In each word's bucket all pairs go through the filters, by rising size, so that a class meets only those that length and position allow; what they leave is
+   verified on full sets.
+5. Buckets of over 512 classes with over 32 such pairs a class are cut into parts by size, with full sets of the classes in pairs, and parts whose sizes are near enough meet in pairs: intersections of all their classes are products of
    two 0/1 matrices, so that a large group of near copies is counted where it is compared, and its pairs aren't listed. A
    pair counts in the bucket of the first word that both sets have, there alone.
 6. Each match is a link of both its classes: links are counted on both sides, and the later line of a link goes.
@@ -182,19 +183,41 @@ def _prefixes(bodies: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     return bodies.mapInArrow(run, "word long, class long, low long, high long, n int, place int")
 
 
-def _possible(percent: int, x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Length, positional and parity filter for entries (low, high, n, place) of one word."""
-    (l1, h1, n1, p1), (l2, h2, n2, p2) = x, y
-    longest = 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1)
-    good = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * longest >= percent * (n1 + n2))
-    return good & ((100 + percent) * (np.bitwise_count((l1 ^ l2).view(np.uint64)).astype(np.int64) + np.bitwise_count((h1 ^ h2).view(np.uint64))) <= (100 - percent) * (n1 + n2))
+def _windows(percent: int, starts: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries (sizes rising within the buckets that begin at ``starts``) that have later ones to meet in their bucket, and how many: the next so many.
+
+    Of a pair, the smaller set bounds the larger one's size twice: by the length filter, and as its words from ``place`` on must reach the overlap needed.
+    """
+    bucket = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
+    most = np.minimum(100 * n // percent, (100 + percent) * (n - place) // percent - n)
+    a = np.flatnonzero(most >= n)
+    width = int(n.max()) * 3 + 1 if len(n) else 1
+    ends = np.searchsorted(bucket * width + n, bucket[a] * width + np.minimum(most[a], width - 1), side="right")
+    return a, np.maximum(ends - a - 1, 0)
+
+
+def _possible(percent: int, low: np.ndarray, high: np.ndarray, n: np.ndarray, place: np.ndarray, a: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each entry of ``a`` and the next ``times`` after it that pass the positional filter of the later one and the parity filter, some 2**20 looked at at a time."""
+    a, times = a[times > 0], times[times > 0]
+    ends, first = np.cumsum(times), 0
+    while first < len(a):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + 2**20, side="right")))
+        x = np.repeat(a[first:last], times[first:last])
+        y = x + 1 + np.arange(len(x)) - np.repeat(ends[first:last] - times[first:last] - before, times[first:last])
+        good = (100 + percent) * (n[y] - place[y]) >= percent * (n[x] + n[y])
+        x, y = x[good], y[good]
+        differ = np.bitwise_count((low[x] ^ low[y]).view(np.uint64)).astype(np.int64) + np.bitwise_count((high[x] ^ high[y]).view(np.uint64))
+        good = (100 + percent) * differ <= (100 - percent) * (n[x] + n[y])
+        yield x[good], y[good]
+        first = last
 
 
 def _met(entries: DataFrame, percent: int) -> DataFrame:
     """Buckets of entries by word: rows a, b for the pairs of classes that the filters leave.
 
-    Buckets of over 512 classes come back as they are (word, and a the class), to be split. Rows come sorted by word; a bucket of
-    more than 50,000 rows goes through in pieces, which may repeat a class.
+    Of buckets of over 512 classes where the filters leave over 32 pairs a class, the classes that are left in pairs come back (word, and a the class), to be
+    split. Rows come sorted by word; a bucket of more than 50,000 rows goes through in pieces, which may repeat a class, and comes back whole.
     """
     names = ["word", "class", "low", "high", "n", "place"]
 
@@ -210,21 +233,39 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
         word, cls, low, high, n, place = (x[first] for x in rows)
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         sizes = np.diff(np.append(starts, len(word)))
-        ends = np.repeat(starts + sizes, sizes)
-        large = (np.repeat(sizes, sizes) > _COMPARED) | (word == hot if hot is not None else False)
-        if large.any():
-            yield row(cls[large], None, word[large])
-        # each with the next, the one after that and so on, as long as sizes are near enough: they rise in a bucket
-        a, d, waiting, count = np.flatnonzero(~large), 1, [], 0
-        while len(a := a[a + d < ends[a]]) and len(a := a[100 * n[a] >= percent * n[a + d]]):
-            b = a + d
-            good = _possible(percent, (low[a], high[a], n[a], place[a]), (low[b], high[b], n[b], place[b]))
-            waiting.append((cls[a[good]], cls[b[good]]))
-            count += len(waiting[-1][0])
+        whole = np.repeat(sizes, sizes) > _BLOCK
+        if hot is not None:
+            whole |= word == hot
+        if whole.any():
+            yield row(cls[whole], None, word[whole])
+        x, times = _windows(percent, starts, n, place)
+        times[whole[x]] = 0
+        pairs = lambda k: _possible(percent, low, high, n, place, x[k], times[k])
+        waiting, count = [], 0
+        small = np.repeat(sizes <= _COMPARED, sizes)[x]
+        for p, q in pairs(small):
+            waiting.append((cls[p], cls[q]))
+            count += len(p)
+            if count > 500_000:
+                yield row(*map(np.concatenate, zip(*waiting, strict=True)), None)
+                waiting, count = [], 0
+        for k in np.flatnonzero(sizes > _COMPARED):
+            own, found = [], 0
+            met_here = np.zeros(sizes[k], dtype=bool)
+            for p, q in pairs(slice(*np.searchsorted(x, (starts[k], starts[k] + sizes[k])))):
+                found += len(p)
+                if found <= sizes[k] * (_COMPARED // 16):
+                    own.append((cls[p], cls[q]))
+                met_here[p - starts[k]] = met_here[q - starts[k]] = True
+            if found > sizes[k] * (_COMPARED // 16):
+                at = starts[k] + np.flatnonzero(met_here)
+                yield row(cls[at], None, word[at])
+            else:
+                waiting += own
+                count += found
             if count > 500_000:
                 yield row(*map(np.concatenate, zip(*waiting, strict=True)), None)
                 waiting, count = [], 0
-            d += 1
         if count:
             yield row(*map(np.concatenate, zip(*waiting, strict=True)), None)
 
@@ -352,6 +393,8 @@ def _counted(dealt: DataFrame, percent: int) -> DataFrame:
 
     def counted(rows: pa.Table) -> pa.RecordBatch:
         second, cls, doc_id, line = (rows.column(k).to_numpy() for k in names[3:7])
+        if rows.column("p")[0].as_py() != rows.column("q")[0].as_py() and not second.any():  # no class was dealt into the second part
+            return pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64()), pa.nulls(0, pa.int64()), pa.nulls(0, pa.bool_())], names=["class", "degree", "later"])
         elements = [np.asarray(x.values) for x in rows.column("elements").combine_chunks()]
         order = np.lexsort((line, doc_id))
         new = np.ones(len(order), dtype=bool)
@@ -394,7 +437,7 @@ def _matched(met: DataFrame, firsts: DataFrame, bodies: DataFrame, rarity: np.nd
     shared, total = F.size("common").cast("long"), (F.size("ea") + F.size("eb")).cast("long")
     links = both.filter(F.lit(100) * shared >= F.lit(percent) * (total - shared)).select("a", "b", F.element_at("common", 1).alias("word"))
     # those of a large bucket are counted there
-    links = common.written(links.join(common.small_side(common.written(large.select("word").distinct(), "line-words")), "word", "left_anti").select("a", "b"), "line-links")
+    links = common.written(links.join(common.small_side(common.written_clean(large.select("word").distinct(), "line-words")), "word", "left_anti").select("a", "b"), "line-links")
     at = lambda s: lines.select(F.col("id").alias(s), F.struct("doc_id", "line").alias(f"at_{s}"))
     ordered = links.join(common.small_side(at("a")), "a").join(common.small_side(at("b")), "b")
     sides = ordered.select(F.explode(F.array(*(F.struct(F.col(x).alias("class"), F.lit(1).cast("long").alias("degree"), (F.col(f"at_{x}") > F.col(f"at_{y}")).alias("later")) for x, y in ("ab", "ba")))).alias("s"))
