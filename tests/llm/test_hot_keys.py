@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import time
 
 import pytest
 
@@ -130,3 +132,16 @@ def test_lines_of_frequent_words(spark, monkeypatch, compared, block):
     got = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, k) for r in got for k in r.removed} == removed(rows)
     assert {r.doc_id: r.n_links for r in got} == line_links(rows)
+
+
+def test_shuffle_files_go_with_their_write(spark):
+    """Spark removes the shuffle files of the write; the setting is as before afterwards, and what is read back stays."""
+    before = spark.conf.get(common.CLEANUP)
+    left = lambda: sum(name.startswith("shuffle_") for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _, _, names in os.walk(d) for name in names)
+    was = left()
+    out = common.written_clean(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "clean")
+    for _ in range(50):
+        if left() <= was:
+            break
+        time.sleep(0.1)
+    assert left() <= was and spark.conf.get(common.CLEANUP) == before and out.count() == 7

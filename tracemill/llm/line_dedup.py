@@ -303,7 +303,7 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
 
 def _sets(bodies: DataFrame, lines: DataFrame, rarity: np.ndarray) -> DataFrame:
     """id (class), elements (words, rarest first) of the first lines (id, doc_id, line) given."""
-    wanted = common.written(lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "line-places")
+    wanted = common.written_clean(lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "line-places")
     shared = bodies.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def _sets(bodies: DataFrame, lines: DataFrame, rarity: np.ndarray) -> DataFrame:
         common.release()
 
     rows = bodies.join(common.small_side(wanted), "doc_id").select("body", "lines")
-    return common.written(rows.mapInArrow(run, "id long, elements array<long>").dropDuplicates(["id"]), "line-sets")
+    return common.written_clean(rows.mapInArrow(run, "id long, elements array<long>").dropDuplicates(["id"]), "line-sets")
 
 
 def _bands(sized: DataFrame, percent: int) -> DataFrame:
@@ -338,9 +338,9 @@ def _bands(sized: DataFrame, percent: int) -> DataFrame:
 def _split(large: DataFrame, lines: DataFrame, sets: DataFrame, ranges: int, percent: int) -> DataFrame:
     """Large buckets (word, class), dealt into parts by size: each with its own part and with every other one whose sets are near enough in size to match."""
     placed = large.join(sets.select(F.col("id").alias("class"), "elements"), "class").join(lines.withColumnRenamed("id", "class"), "class")
-    placed = common.written(placed.withColumn("n", F.size("elements").cast("long")), "line-large")
-    sized = common.written(placed.groupBy("word", "n").agg(F.count("*").alias("sets")), "line-sizes")
-    bands = common.written(_bands(sized, percent), "line-parts")
+    placed = common.written_clean(placed.withColumn("n", F.size("elements").cast("long")), "line-large")
+    sized = common.written_clean(placed.groupBy("word", "n").agg(F.count("*").alias("sets")), "line-sizes")
+    bands = common.written_clean(_bands(sized, percent), "line-parts")
     dealt = placed.join(common.small_side(bands), ["word", "n"]).withColumn("part", F.col("base") + F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence("low", "high")))
     pair = dealt.select("word", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"), "class", "doc_id", "line", "elements")
     return pair.repartition(ranges, "word", "p", "q").sortWithinPartitions("word", "p", "q")
@@ -426,10 +426,10 @@ def _counted(dealt: DataFrame, percent: int) -> DataFrame:
 def _matched(met: DataFrame, firsts: DataFrame, bodies: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     """Met pairs and large buckets -> class, degree (other classes that match), later (whether one of them is seen before it)."""
     ranges = max(1, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = common.written(met.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    large = common.written(met.filter("b IS NULL").select("word", F.col("a").alias("class")).distinct(), "line-buckets-large")
-    used = common.written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select(F.col("class").alias("id"))).distinct(), "line-ids")
-    lines = common.written(firsts.withColumnRenamed("class", "id").join(common.small_side(used), "id").select("id", "first.*"), "line-firsts")
+    pairs = common.written_clean(met.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    large = common.written_clean(met.filter("b IS NULL").select("word", F.col("a").alias("class")).distinct(), "line-buckets-large")
+    used = common.written_clean(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select(F.col("class").alias("id"))).distinct(), "line-ids")
+    lines = common.written_clean(firsts.withColumnRenamed("class", "id").join(common.small_side(used), "id").select("id", "first.*"), "line-firsts")
     sets = _sets(bodies, lines, rarity)
     side = lambda s: sets.select(F.col("id").alias(s), F.col("elements").alias(f"e{s}"))
     both = common.salted_join(pairs, side("b"), "b", "a", common.hot_keys(pairs, "b"))
@@ -437,7 +437,7 @@ def _matched(met: DataFrame, firsts: DataFrame, bodies: DataFrame, rarity: np.nd
     shared, total = F.size("common").cast("long"), (F.size("ea") + F.size("eb")).cast("long")
     links = both.filter(F.lit(100) * shared >= F.lit(percent) * (total - shared)).select("a", "b", F.element_at("common", 1).alias("word"))
     # those of a large bucket are counted there
-    links = common.written(links.join(common.small_side(common.written_clean(large.select("word").distinct(), "line-words")), "word", "left_anti").select("a", "b"), "line-links")
+    links = common.written_clean(links.join(common.small_side(common.written_clean(large.select("word").distinct(), "line-words")), "word", "left_anti").select("a", "b"), "line-links")
     at = lambda s: lines.select(F.col("id").alias(s), F.struct("doc_id", "line").alias(f"at_{s}"))
     ordered = links.join(common.small_side(at("a")), "a").join(common.small_side(at("b")), "b")
     sides = ordered.select(F.explode(F.array(*(F.struct(F.col(x).alias("class"), F.lit(1).cast("long").alias("degree"), (F.col(f"at_{x}") > F.col(f"at_{y}")).alias("later")) for x, y in ("ab", "ba")))).alias("s"))
@@ -462,19 +462,19 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     n_links sums over the document's lines the number of classes other than their own that match them, earlier or later.
     """
     bodies = _bodies(docs)
-    keyed = common.written(_keyed(bodies), "lines")
+    keyed = common.written_clean(_keyed(bodies), "lines")
     rarity = _rarity(keyed)
     lines = keyed.filter("doc_id IS NOT NULL").select("doc_id", "line", "class")
-    firsts = common.written(lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")), "line-classes")
+    firsts = common.written_clean(lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")), "line-classes")
 
     ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     entries = _prefixes(bodies, rarity, percent).repartition(ranges, "word").sortWithinPartitions("word")
-    met = common.written(_met(entries, percent), "line-buckets")
+    met = common.written_clean(_met(entries, percent), "line-buckets")
     links = _matched(met, firsts.select("class", "first"), bodies, rarity, percent)
 
     # classes of one line without links need no look
     judging = firsts.filter("times > 1").select("class", "first", "times").join(links, "class", "full_outer").withColumnRenamed("class", "j_class")
-    joined = _judged(lines, common.written(judging, "line-judging"))
+    joined = _judged(lines, common.written_clean(judging, "line-judging"))
     judged = joined.select(
         "doc_id",
         "line",
@@ -495,9 +495,9 @@ def deduplicated(docs: DataFrame, percent: int = 80, drop_emptied: bool = True)
 
     A document that had words and has none left is dropped, unless ``drop_emptied`` is false: all it said is in earlier documents.
     """
-    cut = common.written(removed_lines(docs, percent).filter(F.size("removed") > 0).select(F.col("doc_id").alias("cut_id"), F.col("removed").alias("cut_lines"), (F.col("n_lines") == F.size("removed")).alias("cut_all")), "removed-lines")
+    cut = common.written_clean(removed_lines(docs, percent).filter(F.size("removed") > 0).select(F.col("doc_id").alias("cut_id"), F.col("removed").alias("cut_lines"), (F.col("n_lines") == F.size("removed")).alias("cut_all")), "removed-lines")
     if drop_emptied:
-        emptied = common.written(cut.filter("cut_all").select("cut_id"), "emptied")
+        emptied = common.written_clean(cut.filter("cut_all").select("cut_id"), "emptied")
         docs = docs.join(common.small_side(emptied), docs["doc_id"].cast("long") == emptied["cut_id"], "left_anti")
         cut = cut.filter("NOT cut_all")
     joined = docs.join(common.small_side(cut), docs["doc_id"].cast("long") == cut["cut_id"], "left")
